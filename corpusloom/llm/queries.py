@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from corpusloom.llm.mixing import op2_mixing
+from corpusloom.llm.ngram_join import op9_ngram_jaccard
 from corpusloom.llm.packing import op10_best_fit_packing
 from corpusloom.llm.quality_knn import op6_quality_classifier
 from corpusloom.llm.quality_rules import op3_quality_rules
 from corpusloom.llm.secrets import op4_secret_scan
 from corpusloom.llm.token_counts import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality_rules, op4_secret_scan, op5_token_counts, op6_quality_classifier, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality_rules, op4_secret_scan, op5_token_counts, op6_quality_classifier, op9_ngram_jaccard, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
