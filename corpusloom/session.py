@@ -61,3 +61,16 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: str, spread: Column, per: int = 100_000) -> DataFrame:
+    """Left join where a key may hold a third of left's rows.
+
+    right has one row per key, with left's number of rows in the column rows. Keys of more than per rows
+    are repeated in right and left's rows are dealt over the repeats by spread.
+    """
+    lots = F.greatest(F.lit(1), F.least(F.lit(512), F.floor(F.col(rows) / per))).cast("int")
+    wide = right.where(F.col(rows) >= 2 * per).select(key, lots.alias("_lots"))
+    dealt = left.join(wide, key, "left").withColumn("_lot", F.pmod(F.xxhash64(spread), F.coalesce("_lots", F.lit(1))).cast("int")).drop("_lots")
+    spread_out = right.withColumn("_lot", F.explode(F.sequence(F.lit(0), lots - 1)))
+    return dealt.join(spread_out, [key, "_lot"], "left").drop("_lot", rows)
