@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from corpusloom.llm.textbytes import BASE, VALUE, Texts, batches, power_table, scrambled
 
@@ -27,6 +28,7 @@ SAMPLE_ROWS = 4_000
 TERMS = 2_048
 DIMENSIONS = 64
 BLOCK = 512
+STRETCH = 2_000
 
 SHAPE = np.full(256, 0, np.uint8)
 SHAPE[97:123], SHAPE[65:91], SHAPE[48:58] = 1, 2, 3
@@ -127,26 +129,31 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     return fit(counts, sample["label"].to_numpy(), neighbours)
 
 
-def classify(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs(doc_id, text) -> score and predicted; the model's size is bounded by its sample."""
+def scored_text(spark: SparkSession, model: Model):
+    """A column function text -> score, for filters that keep other columns."""
     shared = spark.sparkContext.broadcast(model)
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for own, t in batches(frames):
-            scores = np.concatenate([shared.value.scores(term_counts_of(t, a, b)) for a, b in cuts(t.n)]) if t.n else np.empty(0)
-            yield pd.DataFrame({"doc_id": own["doc_id"], "score": scores, "predicted": (scores >= threshold).astype(np.int32)})
+    @F.pandas_udf(DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        frames = batches(iter([pd.DataFrame({"text": texts.reset_index(drop=True)})]))
+        parts = [score_of(shared.value, t) for _, t in frames]
+        return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored_rows = rows.mapInPandas(scored, "doc_id long, score double, predicted int")
-    return scored_rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
+    return score
 
 
-def cuts(n: int, step: int = 2_000) -> list[tuple[int, int]]:
-    return [(a, min(n, a + step)) for a in range(0, n, step)]
+def score_of(model: Model, t: Texts) -> np.ndarray:
+    """Scores of a batch's texts, in stretches that bound the size of the term matrix."""
+    if t.n <= STRETCH:
+        return model.scores(term_counts(t))
+    return np.concatenate([model.scores(term_counts(t.part(a, min(t.n, a + STRETCH)))) for a in range(0, t.n, STRETCH)])
 
 
-def term_counts_of(t: Texts, a: int, b: int) -> np.ndarray:
-    return term_counts(t) if (a, b) == (0, t.n) else term_counts(t.part(a, b))
+def classify(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """docs(doc_id, text) -> held_out, score and predicted; the model's size is bounded by its sample."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored_text(spark, model)(F.col("text")).alias("score"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusloom.llm.mixing import op2_mixing
+from corpusloom.llm.neighbours import op1_nn_descent
 from corpusloom.llm.ngram_join import op9_ngram_jaccard
 from corpusloom.llm.packing import op10_best_fit_packing
 from corpusloom.llm.quality_knn import op6_quality_classifier
@@ -12,5 +13,5 @@ from corpusloom.llm.token_counts import op5_token_counts
 from corpusloom.llm.url_filter import op8_url_filter
 from corpusloom.llm.warc import op7_warc
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_quality_rules, op4_secret_scan, op5_token_counts, op6_quality_classifier, op7_warc, op8_url_filter, op9_ngram_jaccard, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_mixing, op3_quality_rules, op4_secret_scan, op5_token_counts, op6_quality_classifier, op7_warc, op8_url_filter, op9_ngram_jaccard, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
