@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
 from corpusloom.llm.textbytes import BASE, Texts, batches, keyed, power_table
-from corpusloom.session import BROADCAST_ROWS, Scratch, partitions, small
+from corpusloom.session import Scratch, partitions, small
 
 #: Shingles met in this many texts of one batch are reported as frequent; at most HOT of them are kept.
 LOCAL_MANY = 4
@@ -142,27 +142,33 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
     stars = rows_of.unionByName(pivots).where("pivot != rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     stars = scratch.save(stars, "stars")
 
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = scratch.save(wanted, "wanted")
+    scratch.drop("measured")
+    bits = described(spark, docs, stars, scratch, width, "bits")
+    passed = scratch.save(bounded_pairs(stars, bits, percent), "passed-1")
+    first = scratch.save(exact_links(passed, described(spark, docs, passed, scratch, width, "shingles"), percent), "links-1")
+    joined = components(spark, first, scratch, "first")
+    left = scratch.save(open_pairs(spark, rows_of, joined, bits, scratch, percent), "passed-2")
+    scratch.drop("posts", "stars", "bits", "shingles", "open", "passed-1")
+    if not left.isEmpty():
+        second = scratch.save(exact_links(left, described(spark, docs, left, scratch, width, "shingles"), percent), "links-2")
+        joined = components(spark, first.unionByName(second), scratch, "second")
+        scratch.drop("shingles", "passed-2")
+    return rows, joined
+
+
+def described(spark: SparkSession, docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, what: str) -> DataFrame:
+    """(rep, n, bits or shingles) of the sets in pairs, made from their texts."""
+    wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     n_wanted = wanted.count()
 
-    def described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own, t in batches(frames):
             sets, at = shingle_sets(t, width)
             own_sets = [sets[a:b] for a, b in zip(at, at[1:])]
-            yield pd.DataFrame({"rep": own["doc_id"], "n": np.diff(at), "bits": list(map(bitmap, own_sets)), "shingles": [s.tobytes() for s in own_sets]})
-
-    texts = docs.join(small(wanted, n_wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]) if n_wanted > BROADCAST_ROWS else docs.join(F.broadcast(wanted), "doc_id", "left_semi")
-    described_sets = texts.mapInPandas(described, "rep long, n long, bits binary, shingles binary")
-    sets = scratch.save(described_sets, "sets")
+            yield pd.DataFrame({"rep": own["doc_id"], "n": np.diff(at), what: [bitmap(x) if what == "bits" else x.tobytes() for x in own_sets]})
 
-    first = scratch.save(decided(stars, sets, percent), "links-1")
-    joined = components(spark, first, scratch, "first")
-    second = scratch.save(decided(open_pairs(spark, rows_of, joined, sets, scratch, percent), sets, percent), "links-2")
-    if not second.isEmpty():
-        joined = components(spark, first.unionByName(second), scratch, "second")
-    scratch.drop("measured", "posts", "stars", "wanted", "sets", "open")
-    return rows, joined
+    found = docs.join(small(wanted, n_wanted), "doc_id", "left_semi").mapInPandas(made, f"rep long, n long, {what} binary")
+    return scratch.save(found.dropDuplicates(["rep"]), what)
 
 
 def runs(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -206,16 +212,28 @@ def bounded(na: np.ndarray, nb: np.ndarray, a: list[bytes], b: list[bytes], perc
     return out
 
 
-def decided(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets are alike enough: bitmaps first, then exact intersections of sorted arrays."""
-    side = lambda k, *cols: sets.select(F.col("rep").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in cols])
-    schema = "a long, b long"
+def with_sides(pairs: DataFrame, sets: DataFrame, what: str) -> DataFrame:
+    """Pairs (a, b) with n and what of both sides."""
+    for k in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("rep").alias(k), F.col("n").alias(f"{k}_n"), F.col(what).alias(f"{k}_{what}")), k)
+    return pairs
+
+
+def bounded_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and bitmaps leave open."""
 
     def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             ok = bounded(f["a_n"].to_numpy(), f["b_n"].to_numpy(), f["a_bits"].tolist(), f["b_bits"].tolist(), percent)
             yield f.loc[ok, ["a", "b"]]
 
+    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
+    return with_sides(pairs, bits, "bits").where(fits).mapInPandas(bound, "a long, b long")
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sorted shingle arrays have the overlap that was asked for."""
+
     def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             ok = np.zeros(len(f), bool)
@@ -225,13 +243,10 @@ def decided(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both) and both > 0
             yield f.loc[ok, ["a", "b"]]
 
-    sized = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)"
-    kept = sized.where(fits).mapInPandas(bound, schema)
-    return kept.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").mapInPandas(exact, schema)
+    return with_sides(pairs, sets, "shingles").mapInPandas(exact, "a long, b long")
 
 
-def open_pairs(spark: SparkSession, rows: DataFrame, joined: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+def open_pairs(spark: SparkSession, rows: DataFrame, joined: DataFrame, bits: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs from tiles whose members belong to several components, less those that bitmaps rule out.
 
     The rows of a shingle and band are dealt to tile rows of about TILE members; tile rows of the same
@@ -255,7 +270,7 @@ def open_pairs(spark: SparkSession, rows: DataFrame, joined: DataFrame, sets: Da
     own = F.transform(lots, lambda y: meet(F.col("band"), F.least("lot", y), F.col("band"), F.greatest("lot", y)))
     up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda y: meet(F.col("band"), F.col("lot"), F.col("band") + 1, y))).otherwise(no)
     down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda x: meet(F.col("band") - 1, x, F.col("band"), F.col("lot")))).otherwise(no)
-    here = here.join(sets.select("rep", "bits"), "rep").withColumn("meeting", F.explode(F.concat(own, up, down)))
+    here = here.join(bits.select("rep", "bits"), "rep").withColumn("meeting", F.explode(F.concat(own, up, down)))
 
     here = here.select("shingle", "meeting.*", "rep", "n", "component", "bits", (F.col("band") * (1 << 20) + F.col("lot")).alias("side"))
     here = here.repartition(partitions(spark), *MEETING).sortWithinPartitions(*MEETING, "rep")

@@ -11,7 +11,7 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text looked at together; one document longer than this is a batch of its own.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
