@@ -29,9 +29,10 @@ from corpusloom.llm.components import components
 from corpusloom.llm.textbytes import BASE, Texts, batches, keyed, power_table
 from corpusloom.session import Scratch, partitions, small
 
-#: Shingles met in this many texts of one batch are reported as frequent; at most HOT of them are kept.
-LOCAL_MANY = 4
-HOT = 1 << 18
+#: Shingles met in this many texts of a stretch of STRETCH shingles are reported as frequent; about HOT of them, the most frequent, are kept.
+LOCAL_MANY = 3
+STRETCH = 4_000_000
+HOT = 1 << 20
 #: Members of a tile row; a full comparison holds two of them.
 TILE = 512
 MAX_BITS = 4096
@@ -55,6 +56,18 @@ def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     return found, np.searchsorted(doc, np.arange(t.n + 1))
 
 
+def frequent(held: list[np.ndarray]) -> pd.DataFrame:
+    """Shingles that LOCAL_MANY of the texts share, with their numbers."""
+    hashes, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+    many = counts >= LOCAL_MANY
+    return pd.DataFrame({"kind": np.ones(many.sum(), np.int32), "doc_id": pd.array([None] * many.sum(), "Int64"), "n": counts[many], "print": None, "shingle": hashes[many].view(np.int64)})
+
+
+def least_shared(n):
+    """Shingles that the prefixes of a set of n and of any set linked with it share at least: prefixes are longer by one less than this."""
+    return 1 + n // 256
+
+
 def band(n: Column, percent: int) -> Column:
     """Size band: sets that may link lie in the same or in neighbouring bands."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
@@ -86,17 +99,23 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
         for own, t in batches(frames):
             sets, at = shingle_sets(t, width)
             prints = [hashlib.md5(sets[a:b].tobytes()).digest() if b > a else None for a, b in zip(at, at[1:])]
             yield pd.DataFrame({"kind": 0, "doc_id": own["doc_id"].astype("Int64"), "n": np.diff(at), "print": prints, "shingle": 0})
-            hashes, counts = np.unique(sets, return_counts=True)
-            many = counts >= LOCAL_MANY
-            if many.any():
-                yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * many.sum(), "Int64"), "n": counts[many], "print": None, "shingle": hashes[many].view(np.int64)})
+            held.append(sets)
+            if sum(map(len, held)) >= STRETCH:
+                yield frequent(held)
+                held = []
+        yield frequent(held)
 
     found = scratch.save(docs.mapInPandas(measured, "kind int, doc_id long, n long, print binary, shingle long"), "measured")
-    hot = found.where("kind = 1").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HOT).toPandas()
+    hot = scratch.save(found.where("kind = 1").groupBy("shingle").agg(F.sum("n").alias("n")), "hot")
+    many = hot.count()
+    if many > HOT:
+        hot = hot.where(F.col("n") > hot.agg(F.percentile_approx("n", 1 - HOT / many, 10_000)).first()[0])
+    hot = hot.select("shingle").toPandas()
     hot_list = spark.sparkContext.broadcast(np.sort(hot["shingle"].to_numpy(np.int64).view(np.uint64)))
 
     found = found.where("kind = 0")
@@ -126,7 +145,7 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
             often = late[slot] == sets if len(late) else np.zeros(len(sets), bool)
             order = np.lexsort((sets, often, doc))
             place = np.arange(len(sets)) - at[doc]
-            keep = place < (n - -(-percent * n // 100) + 1)[doc]
+            keep = place < (n - -(-percent * n // 100) + least_shared(n))[doc]
             sets, doc, often = sets[order][keep], doc[keep], often[order][keep]
             ids = own["doc_id"].to_numpy(np.int64)[doc]
             salt = np.where(often, keyed(doc, ids.view(np.uint64)) % np.uint64(64), 0)
@@ -142,7 +161,7 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
     stars = rows_of.unionByName(pivots).where("pivot != rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     stars = scratch.save(stars, "stars")
 
-    scratch.drop("measured")
+    scratch.drop("measured", "hot")
     bits = described(spark, docs, stars, scratch, width, "bits")
     passed = scratch.save(bounded_pairs(stars, bits, percent), "passed-1")
     first = scratch.save(exact_links(passed, described(spark, docs, passed, scratch, width, "shingles"), percent), "links-1")
@@ -274,7 +293,9 @@ def open_pairs(spark: SparkSession, rows: DataFrame, joined: DataFrame, bits: Da
 
     here = here.select("shingle", "meeting.*", "rep", "n", "component", "bits", (F.col("band") * (1 << 20) + F.col("lot")).alias("side"))
     here = here.repartition(partitions(spark), *MEETING).sortWithinPartitions(*MEETING, "rep")
-    return here.mapInPandas(lambda frames: met(frames, percent), "a long, b long").distinct()
+    found = here.mapInPandas(lambda frames: met(frames, percent), "a long, b long, least long")
+    # a pair is met once in each tile that it shares, and prefixes of linked sets share the lesser of their two numbers
+    return found.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
 
 
 MEETING = ("shingle", "p", "x", "q", "y")
@@ -308,8 +329,8 @@ def compared(f: pd.DataFrame, starts: np.ndarray, percent: int) -> pd.DataFrame:
             if len(j):
                 room = n[i] + n[j] - np.bitwise_count(m[j - start] ^ m[i - start]).sum(axis=1).astype(np.int64)
                 j = j[room >= 2 * least_overlap(n[i], n[j], percent)]
-                out += [(min(ids[i], x), max(ids[i], x)) for x in ids[j]]
-    return pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"], dtype=np.int64)
+                out += [(min(ids[i], ids[x]), max(ids[i], ids[x]), least_shared(min(n[i], n[x]))) for x in j]
+    return pd.DataFrame(out, columns=["a", "b", "least"], dtype=np.int64)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 75) -> DataFrame:
