@@ -1,4 +1,306 @@
-"""The retrieval engine's queries by name, and their SQL."""
+"""The retrieval engine's queries by name, and their SQL, over corpora made from the test tables.
+
+Vector corpus: a passage per embedding, each with one triple (label, co occurs with, bucket); entity and
+fact vectors are means of their passages; the first ten passages are the queries.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions.scores import min_max, truncated_min_max
+from corpusloom.functions.text import content_id, extracted_answer, normalize_answer, qa_prompt, text_processing
+from corpusloom.operators import graph as G
+from corpusloom.operators import retrieval as R
+from corpusloom.operators import store as S
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+ROUNDS = 20
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.concat(F.lit("p"), "vec_id").alias("chunk"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
+
+
+def triples(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.concat(F.lit("p"), "vec_id").alias("chunk"), F.concat(F.lit("label "), "label").alias("s"), F.lit("co occurs with").alias("p"), F.concat(F.lit("bucket "), F.col("vec_id") % 37).alias("o"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
+
+
+def fact_vectors(spark: SparkSession, d: str) -> DataFrame:
+    cells = triples(spark, d).join(vectors(spark, d).select("chunk", F.posexplode("v").alias("dim", "x")), "chunk")
+    means = cells.groupBy("s", "o", "dim").agg(F.avg("x").alias("x"))
+    return means.groupBy("s", "o").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("v")).withColumn("fact", F.concat_ws("|", "s", "o"))
+
+
+BASE = """WITH t AS MATERIALIZED (SELECT 'p' || vec_id AS chunk, vec_id, embedding::DOUBLE[] AS v, 'label ' || label AS s, 'co occurs with' AS p, 'bucket ' || (vec_id % 37) AS o FROM embeddings),
+m AS MATERIALIZED (SELECT DISTINCT unnest([s, o]) AS entity, chunk FROM t),
+q AS (SELECT vec_id AS query, v AS qv FROM t WHERE vec_id < 10),
+ps AS MATERIALIZED (SELECT query, chunk, list_dot_product(qv, v) AS raw FROM q, t),
+fd AS (SELECT s, o, dim, avg(v[dim]) AS x FROM t, (SELECT unnest(range(1, 65)) AS dim) GROUP BY ALL),
+fv AS (SELECT s, o, list(x ORDER BY dim) AS v FROM fd GROUP BY ALL),
+fs AS MATERIALIZED (SELECT query, s, o, s || '|' || o AS fact, list_dot_product(qv, v) AS raw FROM q, fv),
+fn AS (SELECT *, CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1.0::DOUBLE ELSE (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) END AS score FROM fs WINDOW w AS (PARTITION BY query)),
+pn AS (SELECT *, (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) AS score FROM ps WINDOW w AS (PARTITION BY query)),
+ft AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, fact) AS rank FROM fn QUALIFY rank <= 5),
+ec AS (SELECT entity, count(*) AS chunks FROM m GROUP BY 1),
+pw AS MATERIALIZED (SELECT query, entity, avg(score / chunks) AS weight FROM (SELECT query, score, unnest([s, o]) AS entity FROM ft) JOIN ec USING (entity) GROUP BY ALL),
+fe AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT s AS src, o AS dst FROM t UNION ALL SELECT o, s FROM t) WHERE src <> dst GROUP BY ALL),
+pe AS (SELECT entity AS src, chunk AS dst, 1.0::DOUBLE AS weight FROM m UNION ALL SELECT chunk, entity, 1.0 FROM m),
+dd AS (SELECT entity, dim, avg(v[dim] * v[dim]) AS sq, avg(v[dim]) AS mean, count(*) AS n FROM m JOIN t USING (chunk), (SELECT unnest(range(1, 65)) AS dim) GROUP BY ALL),
+dv AS (SELECT entity, CASE WHEN max(n) < 2 THEN 0.0::DOUBLE ELSE sum(sq - mean * mean) END AS diversity FROM dd GROUP BY 1),
+dq AS (SELECT quantile_cont(diversity, 0.01) AS lo, quantile_cont(diversity, 0.99) AS hi FROM dv),
+dn AS MATERIALIZED (SELECT entity, diversity, CASE WHEN hi <= lo THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (diversity - lo) / (hi - lo))) END AS norm FROM dv, dq),
+rr AS (SELECT query, entity, max(raw) AS relevance FROM m JOIN ps USING (chunk) GROUP BY ALL),
+rq AS (SELECT query, quantile_cont(relevance, 0.01) AS lo, quantile_cont(relevance, 0.99) AS hi FROM rr GROUP BY 1),
+rn AS MATERIALIZED (SELECT query, entity, relevance, CASE WHEN hi <= lo THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, (relevance - lo) / (hi - lo))) END AS norm FROM rr JOIN rq USING (query)),
+de AS (SELECT query, src, dst, round(b.norm - a.norm, 9) AS delta, round(b.norm - a.norm, 9) > 0 AS up, greatest(1e-6::DOUBLE, rn.norm - abs(round(b.norm - a.norm, 9))) AS score FROM fe JOIN dn a ON a.entity = src JOIN dn b ON b.entity = dst JOIN rn ON rn.entity = dst),
+db AS (SELECT *, sum(score) OVER (PARTITION BY query, src, up) AS total, count(*) FILTER (up) OVER (PARTITION BY query, src) AS ups, count(*) FILTER (NOT up) OVER (PARTITION BY query, src) AS downs FROM de),
+dw AS MATERIALIZED (SELECT query, src, dst, CASE WHEN up THEN 0.1::DOUBLE WHEN ups = 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END * score / total AS weight FROM db UNION ALL SELECT DISTINCT query, src, src, 0.9::DOUBLE FROM db WHERE downs = 0),
+rs AS MATERIALIZED (SELECT query, entity AS node, weight AS r FROM pw UNION ALL SELECT query, chunk, 0.08::DOUBLE * score FROM pn)
+"""
+
+
+def ppr_sql(edges: str, keyed: bool) -> str:
+    """BASE, then one table expression per round."""
+    on = "query, src" if keyed else "src"
+    out = BASE + f""", ed AS MATERIALIZED ({edges}),
+sh AS MATERIALIZED (SELECT *, weight / sum(weight) OVER (PARTITION BY {on}) AS share FROM ed WHERE weight > 0),
+r0 AS MATERIALIZED (SELECT query, node, r / sum(r) OVER (PARTITION BY query) AS rank FROM rs WHERE r > 0)"""
+    join = "x.node = sh.src AND x.query = sh.query" if keyed else "x.node = sh.src"
+    for k in range(1, ROUNDS + 1):
+        out += f""",
+r{k} AS MATERIALIZED (SELECT query, node, sum(part) AS rank FROM (SELECT x.query, sh.dst AS node, 0.5::DOUBLE * x.rank * sh.share AS part FROM r{k - 1} x JOIN sh ON {join} UNION ALL SELECT query, node, 0.5::DOUBLE * rank FROM r0) GROUP BY ALL)"""
+    return out
+
+
+@query("SELECT doc_id, 'chunk-' || md5(text) AS chunk_id FROM documents")
+def hash_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", content_id("chunk-", F.col("text")).alias("chunk_id"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^A-Za-z0-9 ]', ' ', 'g'), ' ')) AS processed FROM documents")
+def processed_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text_processing(F.col("text"))).alias("processed"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS answer FROM documents WHERE lang = 'en'")
+def normalized_answers(spark, d):
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(normalize_answer(F.col("text"))).alias("answer"))
+
+
+@query("SELECT DISTINCT 'chunk-' || md5(text) AS hash_id, text AS content FROM documents")
+def dedup_chunks(spark, d):
+    return S.chunked(table(spark, d, "documents"))
+
+
+@query("SELECT DISTINCT 'chunk-' || md5(text) AS hash_id, text AS content FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0)")
+def upsert_missing(spark, d):
+    docs = table(spark, d, "documents")
+    return S.missing(S.chunked(docs), S.chunked(docs.where("doc_id % 3 = 0")))
+
+
+@query("SELECT DISTINCT 'chunk-' || md5(text) AS hash_id, text AS content FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 7 = 0)")
+def store_delete(spark, d):
+    docs = table(spark, d, "documents")
+    return S.deleted(S.chunked(docs), S.chunked(docs.where("doc_id % 7 = 0")))
+
+
+@query("SELECT conv_id, turn, trim(coalesce(nullif(split_part(text || '', 'Answer:', 2), ''), text), ' ') AS answer FROM (SELECT conv_id, turn, 'Thought: ' || role || ' Answer: ' || conv_id AS text FROM conversations)")
+def answer_extraction(spark, d):
+    made = F.concat(F.lit("Thought: "), "role", F.lit(" Answer: "), F.col("conv_id").cast("string"))
+    return table(spark, d, "conversations").select("conv_id", "turn", extracted_answer(made).alias("answer"))
+
+
+@query("SELECT conv_id, turn, md5('Wikipedia Title: ' || role || chr(10) || chr(10) || 'Wikipedia Title: ' || text || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Thought: ') AS prompt FROM conversations")
+def prompts(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(qa_prompt(F.array("role", "text", "role"), F.col("text"), 2)).alias("prompt"))
+
+
+@query(BASE + "SELECT DISTINCT entity FROM m")
+def entity_nodes(spark, d):
+    return G.mentions(triples(spark, d)).select("entity").distinct()
+
+
+@query(BASE + "SELECT DISTINCT s, p, o FROM t")
+def distinct_facts(spark, d):
+    return G.facts(triples(spark, d))
+
+
+@query(BASE + "SELECT * FROM m")
+def mentions(spark, d):
+    return G.mentions(triples(spark, d))
+
+
+@query(BASE + "SELECT * FROM fe")
+def fact_edge_counts(spark, d):
+    return G.fact_edges(triples(spark, d))
+
+
+@query(BASE + "SELECT * FROM pe")
+def passage_edges_directed(spark, d):
+    return G.passage_edges(G.mentions(triples(spark, d)))
+
+
+@query(BASE + "SELECT least(src, dst) AS a, greatest(src, dst) AS b, arg_min(weight, src) AS weight FROM fe GROUP BY ALL")
+def merge_edges_undirected(spark, d):
+    return G.merged_undirected(G.fact_edges(triples(spark, d)))
+
+
+@query(BASE + "SELECT DISTINCT entity AS src, entity AS dst, 0.0::DOUBLE AS weight FROM m")
+def self_loops(spark, d):
+    return G.self_loops(G.mentions(triples(spark, d)).select(F.col("entity").alias("node")).distinct(), G.fact_edges(triples(spark, d)))
+
+
+@query(BASE + "SELECT count(DISTINCT entity) AS entities, count(DISTINCT chunk) AS passages, (SELECT count(*) FROM fe) AS fact_edges, count(*) AS passage_edges FROM m")
+def graph_info(spark, d):
+    m = G.mentions(triples(spark, d))
+    return m.agg(F.countDistinct("entity").alias("entities"), F.countDistinct("chunk").alias("passages"), F.count("*").alias("passage_edges")).join(G.fact_edges(triples(spark, d)).agg(F.count("*").alias("fact_edges")))
+
+
+@query(BASE + "SELECT entity, round(diversity, 6) AS diversity, round(norm, 6) AS norm FROM dn")
+def entity_diversity(spark, d):
+    return diversity_of(spark, d).select("entity", F.round("diversity", 6).alias("diversity"), F.round("norm", 6).alias("norm"))
+
+
+def diversity_of(spark, d):
+    return G.diversity(G.mentions(triples(spark, d)), vectors(spark, d)).withColumn("norm", truncated_min_max(F.col("diversity")))
+
+
+def passages_of(spark, d):
+    return R.scored(asked(spark, d), vectors(spark, d), "chunk")
+
+
+def relevance_of(spark, d):
+    return R.relevance(G.mentions(triples(spark, d)), passages_of(spark, d)).withColumn("norm", truncated_min_max(F.col("relevance"), "query"))
+
+
+@query(BASE + "SELECT query, chunk, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM pn QUALIFY rank <= 10")
+def dense_retrieval(spark, d):
+    s = passages_of(spark, d).select("query", "chunk", F.round(min_max(F.col("raw"), "query"), 9).alias("score"))
+    return R.ranked(s, "score", "chunk", 10).withColumn("score", F.round("score", 6))
+
+
+def facts_of(spark, d):
+    s = fact_vectors(spark, d).join(F.broadcast(asked(spark, d))).select("query", "s", "o", "fact", R.dot(F.col("qv"), F.col("v")).alias("raw"))
+    return s.select("query", "s", "o", "fact", min_max(F.col("raw"), "query").alias("score"))
+
+
+@query(BASE + "SELECT query, fact, round(score, 6) AS score FROM fn")
+def fact_scores(spark, d):
+    return facts_of(spark, d).select("query", "fact", F.round("score", 6).alias("score"))
+
+
+def picked_of(spark, d):
+    return R.ranked(facts_of(spark, d).withColumn("by", F.round("score", 9)), "by", "fact", 5)
+
+
+@query(BASE + "SELECT query, fact, rank FROM ft")
+def fact_topk(spark, d):
+    return picked_of(spark, d).select("query", "fact", "rank")
+
+
+@query(BASE + "SELECT query, entity, round(weight, 6) AS weight FROM pw")
+def phrase_weights(spark, d):
+    return R.phrase_weights(picked_of(spark, d), G.mentions(triples(spark, d))).select("query", "entity", F.round("weight", 6).alias("weight"))
+
+
+@query(BASE + "SELECT query, entity, round(relevance, 6) AS relevance, round(norm, 6) AS norm FROM rn")
+def entity_relevance(spark, d):
+    return relevance_of(spark, d).select("query", "entity", F.round("relevance", 6).alias("relevance"), F.round("norm", 6).alias("norm"))
+
+
+def reset_of(spark, d):
+    seeds = R.phrase_weights(picked_of(spark, d), G.mentions(triples(spark, d))).select("query", F.col("entity").alias("node"), F.col("weight").alias("r"))
+    prior = passages_of(spark, d).select("query", F.col("chunk").alias("node"), (0.08 * min_max(F.col("raw"), "query")).alias("r"))
+    return seeds.unionByName(prior)
+
+
+@query(BASE + "SELECT query, node, round(r, 6) AS r FROM rs")
+def reset_vector(spark, d):
+    return reset_of(spark, d).select("query", "node", F.round("r", 6).alias("r"))
+
+
+def weights_of(spark, d):
+    return R.directed_weights(G.fact_edges(triples(spark, d)), diversity_of(spark, d), relevance_of(spark, d))
+
+
+@query(BASE + "SELECT query, src, dst, round(weight, 6) AS weight FROM dw")
+def directed_weights(spark, d):
+    return weights_of(spark, d).select("query", "src", "dst", F.round("weight", 6).alias("weight"))
+
+
+UNDIRECTED = "SELECT src, dst, weight FROM fe UNION ALL SELECT * FROM pe"
+DIRECTED = "SELECT query, src, dst, weight FROM dw UNION ALL SELECT query, src, dst, weight FROM pe, (SELECT DISTINCT query FROM q)"
+
+
+def vanilla_of(spark, d):
+    t = triples(spark, d)
+    return R.pagerank(spark, G.fact_edges(t).unionByName(G.passage_edges(G.mentions(t))), reset_of(spark, d), rounds=ROUNDS)
+
+
+def directed_of(spark, d):
+    passages = G.passage_edges(G.mentions(triples(spark, d))).join(F.broadcast(asked(spark, d).select("query")))
+    return R.pagerank(spark, weights_of(spark, d).unionByName(passages.select("query", "src", "dst", "weight")), reset_of(spark, d), rounds=ROUNDS, keyed=True)
+
+
+@query(ppr_sql(UNDIRECTED, False) + f"SELECT query, node, round(rank, 6) AS rank FROM r{ROUNDS}")
+def ppr_vanilla(spark, d):
+    return vanilla_of(spark, d).select("query", "node", F.round("rank", 6).alias("rank"))
+
+
+@query(ppr_sql(DIRECTED, True) + f"SELECT query, node, round(rank, 6) AS rank FROM r{ROUNDS}")
+def ppr_directed(spark, d):
+    return directed_of(spark, d).select("query", "node", F.round("rank", 6).alias("rank"))
+
+
+def top_passages(ranks: DataFrame) -> DataFrame:
+    passages = ranks.where(F.col("node").startswith("p")).select("query", F.col("node").alias("chunk"), F.round("rank", 9).alias("by"))
+    return R.ranked(passages, "by", "chunk", 10).select("query", "chunk", "rank", F.round("by", 6).alias("score"))
+
+
+TOP = f"SELECT query, node AS chunk, row_number() OVER (PARTITION BY query ORDER BY round(rank, 9) DESC, node) AS rank_, round(rank, 6) AS score FROM r{ROUNDS} WHERE node LIKE 'p%' QUALIFY rank_ <= 10"
+
+
+@query(ppr_sql(UNDIRECTED, False) + f"SELECT query, chunk, rank_ AS rank, score FROM ({TOP})")
+def graph_retrieval(spark, d):
+    return top_passages(vanilla_of(spark, d))
+
+
+@query(ppr_sql(DIRECTED, True) + f"SELECT query, chunk, rank_ AS rank, score FROM ({TOP})")
+def graph_retrieval_directed(spark, d):
+    return top_passages(directed_of(spark, d))
+
+
+@query(BASE + ", rk AS (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM pn), g AS (SELECT a.vec_id AS query, b.chunk FROM t a JOIN t b ON a.o = b.o WHERE a.vec_id < 10) SELECT k, round(avg(hit), 4) AS recall FROM (SELECT query, k, count(*) FILTER (rank <= k) / count(*) AS hit FROM g JOIN rk USING (query, chunk), (SELECT unnest([1, 2, 5, 10])::BIGINT AS k) GROUP BY ALL) GROUP BY k")
+def recall_at_k(spark, d):
+    s = passages_of(spark, d).select("query", "chunk", F.round(min_max(F.col("raw"), "query"), 9).alias("score"))
+    t = triples(spark, d)
+    gold = t.join(asked(spark, d).select("query", F.concat(F.lit("bucket "), F.col("query") % 37).alias("o")), "o").select("query", "chunk")
+    return R.recall(R.ranked(s, "score", "chunk", 10), gold)
+
+
+@query(BASE + "SELECT DISTINCT entity FROM m WHERE entity NOT IN (SELECT entity FROM m JOIN t USING (chunk) WHERE vec_id % 37 <> 5)")
+def delete_cascade_entities(spark, d):
+    gone = vectors(spark, d).where("vec_id % 37 = 5").select("chunk")
+    return S.orphans(G.mentions(triples(spark, d)), gone, "entity")
