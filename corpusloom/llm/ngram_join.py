@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
+from corpusloom.llm.streams import whole_groups
 from corpusloom.llm.textbytes import BASE, Texts, batches, keyed, power_table
 from corpusloom.session import Scratch, partitions, small
 
@@ -35,7 +36,11 @@ STRETCH = 4_000_000
 HOT = 1 << 20
 #: Members of a tile row; a full comparison holds two of them.
 TILE = 512
-MAX_BITS = 4096
+MAX_BITS = 8192
+#: A set's prefix is longer by one shingle for each so many; linked sets then share as many more.
+SHARED_EACH = 32
+#: Groups of this size are met with further pivots before they are compared in full.
+LARGE, TURNS = 100, 2
 
 
 def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +70,7 @@ def frequent(held: list[np.ndarray]) -> pd.DataFrame:
 
 def least_shared(n):
     """Shingles that the prefixes of a set of n and of any set linked with it share at least: prefixes are longer by one less than this."""
-    return 1 + n // 256
+    return 1 + n // SHARED_EACH
 
 
 def band(n: Column, percent: int) -> Column:
@@ -74,9 +79,9 @@ def band(n: Column, percent: int) -> Column:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Bits of a set, at least two per shingle, up to MAX_BITS; a power of two, so that longer maps fold onto shorter ones."""
+    """Bits of a set, at least four per shingle, up to MAX_BITS; a power of two, so that longer maps fold onto shorter ones."""
     bits = 64
-    while bits < min(2 * len(hashes), MAX_BITS):
+    while bits < min(4 * len(hashes), MAX_BITS):
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(hashes % np.uint64(bits)).astype(np.int64)] = 1
@@ -154,10 +159,17 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     posts = lone.mapInPandas(prefixes, "shingle long, salt short, rep long, n long")
     posts = posts.repartition(partitions(spark, total // 4), "shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "rep")
-    rows_of = scratch.save(posts.mapInPandas(lambda frames: runs(frames, percent), "shingle long, salt short, rep long, n long, pivot long"), "posts")
+    shared = scratch.save(posts.mapInPandas(lambda frames: runs(frames, percent), RUNS).drop("pivot"), "shared")
+    # linked sets share least_shared shingles of their prefixes; sets with fewer can't be linked with any
+    able = shared.groupBy("rep").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") >= 1 + F.floor(F.ceil(percent * F.col("n") / 100) / SHARED_EACH)).select("rep")
+    able = scratch.save(able, "able")
+    again = shared.join(small(able, able.count()), "rep", "left_semi").select("shingle", "salt", "rep", "n")
+    again = again.repartition(partitions(spark), "shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "rep")
+    rows_of = scratch.save(again.mapInPandas(lambda frames: runs(frames, percent), RUNS), "posts")
+    scratch.drop("shared")
     salted = rows_of.where("salt >= 0 and pivot = rep").select("shingle", "rep", "n", F.lit(0).cast("short").alias("salt"))
     pivots = salted.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle", "salt", "n", "rep")
-    pivots = pivots.select("shingle", "salt", "rep", "n").mapInPandas(lambda frames: runs(frames, percent), "shingle long, salt short, rep long, n long, pivot long")
+    pivots = pivots.select("shingle", "salt", "rep", "n").mapInPandas(lambda frames: runs(frames, percent), RUNS)
     stars = rows_of.unionByName(pivots).where("pivot != rep").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     stars = scratch.save(stars, "stars")
 
@@ -166,8 +178,24 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
     passed = scratch.save(bounded_pairs(stars, bits, percent), "passed-1")
     first = scratch.save(exact_links(passed, described(spark, docs, passed, scratch, width, "shingles"), percent), "links-1")
     joined = components(spark, first, scratch, "first")
+    for turn in range(1, TURNS + 1):
+        more = scratch.save(further_stars(rows_of, joined, scratch, turn, percent), f"stars-{turn}")
+        if more.isEmpty():
+            break
+        passed = scratch.save(bounded_pairs(more, bits, percent), f"passed-turn-{turn}")
+        found_links = scratch.save(exact_links(passed, described(spark, docs, passed, scratch, width, "shingles"), percent), f"links-turn-{turn}")
+        if found_links.isEmpty():
+            break
+        first = first.unionByName(found_links)
+        joined = components(spark, first, scratch, f"turn-{turn}")
+    wide = scratch.save(in_large(rows_of, joined), "wide")
+    if not wide.isEmpty():
+        sets = described(spark, docs, wide.select(F.col("rep").alias("a"), F.col("rep").alias("b")), scratch, width, "shingles").drop("n")
+        dealt = meetings(wide, bits.select("rep", "bits").join(sets, "rep"), partitions(spark), percent)
+        first = first.unionByName(scratch.save(dealt.mapInPandas(lambda frames: met(frames, percent, True), "a long, b long, least long").select("a", "b").distinct(), "links-large"))
+        joined = components(spark, first, scratch, "large")
     left = scratch.save(open_pairs(spark, rows_of, joined, bits, scratch, percent), "passed-2")
-    scratch.drop("posts", "stars", "bits", "shingles", "open", "passed-1")
+    scratch.drop("posts", "stars", "bits", "shingles", "open", "wide", "passed-1")
     if not left.isEmpty():
         second = scratch.save(exact_links(left, described(spark, docs, left, scratch, width, "shingles"), percent), "links-2")
         joined = components(spark, first.unionByName(second), scratch, "second")
@@ -175,6 +203,26 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
     return rows, joined
 
 
+RUNS = "shingle long, salt short, rep long, n long, pivot long"
+
+
+def with_components(rows: DataFrame, joined: DataFrame, least: int, most: int = 1 << 62) -> tuple[DataFrame, DataFrame]:
+    """Rows (shingle, rep, n, component), and the shingles of least to most rows and of several components."""
+    rows = rows.select("shingle", "rep", "n").join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    return rows, mixed.where(f"lo != hi and members between {least} and {most}").select("shingle")
+
+
+def further_stars(rows: DataFrame, joined: DataFrame, scratch: Scratch, turn: int, percent: int) -> DataFrame:
+    """Pairs of one more pivot per large group, another one each turn, with members of other components."""
+    rows, mixed = with_components(rows, joined, LARGE)
+    rows = scratch.save(rows.join(mixed, "shingle", "left_semi"), f"large-{turn}")
+    pivots = rows.groupBy("shingle").agg(F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(turn))).alias("p"))
+    pivots = scratch.save(pivots.select("shingle", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.component").alias("pc")), f"pivots-{turn}")
+    met = rows.join(small(pivots, pivots.count()), "shingle").where(f"component != pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
+    return met.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+
+
 def described(spark: SparkSession, docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, what: str) -> DataFrame:
     """(rep, n, bits or shingles) of the sets in pairs, made from their texts."""
     wanted = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
@@ -265,18 +313,32 @@ def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sides(pairs, sets, "shingles").mapInPandas(exact, "a long, b long")
 
 
+def in_large(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    rows, mixed = with_components(rows, joined, LARGE)
+    return rows.join(mixed, "shingle", "left_semi")
+
+
 def open_pairs(spark: SparkSession, rows: DataFrame, joined: DataFrame, bits: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs from tiles whose members belong to several components, less those that bitmaps rule out.
+    """Pairs from the smaller groups whose members belong to several components, less those that bitmaps rule out.
+
+    A pair meets once in each small group that it shares, and prefixes of linked sets share the lesser of
+    their two numbers at least; a pair that shares a large group has been decided there.
+    """
+    # two members have been compared with each other already
+    rows, mixed = with_components(rows, joined, 3, LARGE - 1)
+    rows = scratch.save(rows.join(mixed, "shingle", "left_semi"), "open")
+    found = meetings(rows, bits.select("rep", "bits"), partitions(spark), percent).mapInPandas(lambda frames: met(frames, percent), "a long, b long, least long")
+    found = found.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least"))
+    return found.where("met >= least").select("a", "b")
+
+
+def meetings(rows: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows dealt to the meetings of tile rows, with what sets has of them, sorted by meeting.
 
     The rows of a shingle and band are dealt to tile rows of about TILE members; tile rows of the same
     and of neighbouring bands meet pairwise, each meeting in a group of its own.
     """
-    rows = rows.select("shingle", "rep", "n").join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rows = rows.withColumn("band", band(F.col("n"), percent))
-    mixed = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
-    # two members have been compared with each other already
-    mixed = mixed.where("lo != hi and members > 2").select("shingle")
-    rows = scratch.save(rows.join(mixed, "shingle", "left_semi"), "open")
     sizes = rows.groupBy("shingle", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("lots"))
     here = rows.join(sizes, ["shingle", "band"]).withColumn("lot", F.pmod(F.xxhash64("rep"), F.col("lots")).cast("int"))
     above = sizes.select("shingle", (F.col("band") - 1).alias("band"), F.col("lots").alias("above"))
@@ -289,48 +351,47 @@ def open_pairs(spark: SparkSession, rows: DataFrame, joined: DataFrame, bits: Da
     own = F.transform(lots, lambda y: meet(F.col("band"), F.least("lot", y), F.col("band"), F.greatest("lot", y)))
     up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda y: meet(F.col("band"), F.col("lot"), F.col("band") + 1, y))).otherwise(no)
     down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda x: meet(F.col("band") - 1, x, F.col("band"), F.col("lot")))).otherwise(no)
-    here = here.join(bits.select("rep", "bits"), "rep").withColumn("meeting", F.explode(F.concat(own, up, down)))
-
-    here = here.select("shingle", "meeting.*", "rep", "n", "component", "bits", (F.col("band") * (1 << 20) + F.col("lot")).alias("side"))
-    here = here.repartition(partitions(spark), *MEETING).sortWithinPartitions(*MEETING, "rep")
-    found = here.mapInPandas(lambda frames: met(frames, percent), "a long, b long, least long")
-    # a pair is met once in each tile that it shares, and prefixes of linked sets share the lesser of their two numbers
-    return found.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("least").alias("least")).where("met >= least").select("a", "b")
+    here = here.join(sets, "rep").withColumn("meeting", F.explode(F.concat(own, up, down)))
+    here = here.select("shingle", "meeting.*", "rep", "n", "component", *[c for c in sets.columns if c != "rep"], (F.col("band") * (1 << 20) + F.col("lot")).alias("side"))
+    return here.repartition(n, *MEETING).sortWithinPartitions(*MEETING, "rep")
 
 
 MEETING = ("shingle", "p", "x", "q", "y")
 
 
-def met(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by meeting -> pairs that bitmaps leave open. Only the meeting under way is held."""
-    rest = None
-    for f in frames:
-        f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-        keys = f[list(MEETING)].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(f) else np.zeros(1, int)
-        yield compared(f, starts, percent)
-        rest = f.iloc[starts[-1] :]
-    if rest is not None and len(rest):
-        yield compared(rest.reset_index(drop=True), np.array([0, len(rest)]), percent)
-
-
-def compared(f: pd.DataFrame, starts: np.ndarray, percent: int) -> pd.DataFrame:
-    n, c, ids, side, bits = (f[k].to_numpy() for k in ("n", "component", "rep", "side", "bits"))
-    out = []
-    for start, end in zip(starts, starts[1:]):
-        if end - start < 2 or (c[start:end] == c[start]).all():
-            continue
-        m, apart = folded(bits[start:end].tolist()), side[start] != side[start:end].max() or side[start] != side[start:end].min()
-        for i in range(start, end - 1):
-            j = np.arange(i + 1, end)
-            # pairs inside a tile row belong to its meeting with itself
-            ok = (c[j] != c[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            j = j[ok & (side[j] != side[i]) if apart else ok]
-            if len(j):
-                room = n[i] + n[j] - np.bitwise_count(m[j - start] ^ m[i - start]).sum(axis=1).astype(np.int64)
-                j = j[room >= 2 * least_overlap(n[i], n[j], percent)]
+def met(frames: Iterator[pd.DataFrame], percent: int, decide: bool = False) -> Iterator[pd.DataFrame]:
+    """Rows sorted by meeting -> pairs that bitmaps leave open, or, to decide, pairs that link. Only the meeting under way is held."""
+    for f, starts in whole_groups(frames, *MEETING):
+        n, c, ids, side, bits = (f[k].to_numpy() for k in ("n", "component", "rep", "side", "bits"))
+        sets = [np.frombuffer(x, np.uint64) for x in f["shingles"]] if decide else None
+        out: list[tuple] = []
+        for start, end in zip(starts, np.append(starts[1:], len(f))):
+            if end - start < 2 or (c[start:end] == c[start]).all():
+                continue
+            m, own = folded(bits[start:end].tolist()), c[start:end].copy()
+            apart = (side[start:end] != side[start]).any()
+            for i in range(start, end - 1):
+                j = np.arange(i + 1, end)
+                # pairs inside a tile row belong to its meeting with itself
+                ok = (own[j - start] != own[i - start]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                j = j[ok & (side[j] != side[i]) if apart else ok]
+                if len(j):
+                    room = n[i] + n[j] - np.bitwise_count(m[j - start] ^ m[i - start]).sum(axis=1).astype(np.int64)
+                    j = j[room >= 2 * least_overlap(n[i], n[j], percent)]
+                if decide and len(j):
+                    j = j[overlaps(sets[i], [sets[x] for x in j]) >= least_overlap(n[i], n[j], percent)]
+                    # what is linked now needs no second look in this meeting
+                    for x in j:
+                        own[own == own[x - start]] = own[i - start]
                 out += [(min(ids[i], ids[x]), max(ids[i], ids[x]), least_shared(min(n[i], n[x]))) for x in j]
-    return pd.DataFrame(out, columns=["a", "b", "least"], dtype=np.int64)
+        yield pd.DataFrame(out, columns=["a", "b", "least"], dtype=np.int64)
+
+
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted array with others."""
+    every = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 75) -> DataFrame:
