@@ -153,7 +153,8 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
             keep = place < (n - -(-percent * n // 100) + least_shared(n))[doc]
             sets, doc, often = sets[order][keep], doc[keep], often[order][keep]
             ids = own["doc_id"].to_numpy(np.int64)[doc]
-            salt = np.where(often, keyed(doc, ids.view(np.uint64)) % np.uint64(64), 0)
+            # salts begin at 1: a salted row always waits for the sharers in other salts
+            salt = np.where(often, keyed(doc, ids.view(np.uint64)) % np.uint64(64) + np.uint64(1), 0)
             yield pd.DataFrame({"shingle": sets.view(np.int64), "salt": salt.astype(np.int16), "rep": ids, "n": n[doc]})
 
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
