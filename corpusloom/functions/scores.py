@@ -10,6 +10,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(v: Column) -> Column:
+    """v over its length; a zero vector stays."""
+    length = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(x))
+
+
 def min_max(x: Column, *by: str) -> Column:
     """To 0..1 within by; all 1 where all are equal."""
     w = Window.partitionBy(*by)

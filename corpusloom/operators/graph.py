@@ -43,3 +43,15 @@ def diversity(mentioned: DataFrame, vectors: DataFrame) -> DataFrame:
     dims = cells.groupBy("entity", "dim").agg(F.avg(F.col("x") * F.col("x")).alias("sq"), F.avg("x").alias("mean"), F.count("*").alias("n"))
     spread = F.sum(F.col("sq") - F.col("mean") * F.col("mean"))
     return dims.groupBy("entity").agg(F.when(F.max("n") < 2, 0.0).otherwise(spread).alias("diversity"))
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (src, dst, ...) with both ends among nodes(node)."""
+    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+
+
+def appended(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored edges and the new ones whose ends, in either order, are not joined yet; stored weights stay."""
+    key = lambda df: df.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight")
+    fresh = key(new).where("a != b").join(key(stored).select("a", "b"), ["a", "b"], "left_anti").dropDuplicates(["a", "b"])
+    return key(stored).unionByName(fresh)

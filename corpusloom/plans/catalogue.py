@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scores import min_max, truncated_min_max
+from corpusloom.functions.extraction import clean_entities, doubt, long_enough, valid_triples
+from corpusloom.functions.scores import dot, min_max, truncated_min_max, unit
 from corpusloom.functions.text import content_id, extracted_answer, normalize_answer, qa_prompt, text_processing
 from corpusloom.operators import graph as G
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import store as S
+from corpusloom.operators.evaluation import exact_match, word_f1
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -304,3 +306,81 @@ def recall_at_k(spark, d):
 def delete_cascade_entities(spark, d):
     gone = vectors(spark, d).where("vec_id % 37 = 5").select("chunk")
     return S.orphans(G.mentions(triples(spark, d)), gone, "entity")
+
+
+RAW = """WITH raw AS (SELECT conv_id, turn, [' ' || role || ' ', '', role, 'turn ' || turn, NULL] AS entities, [[role, 'says in', ' turn ' || turn || ' '], [role, 'says'], [role, 'says in', 'turn ' || turn], [role, ' ', 'x']] AS triples, text FROM conversations)
+"""
+
+
+def raw_extractions(spark: SparkSession, d: str) -> DataFrame:
+    turn, none = F.concat(F.lit("turn "), "turn"), F.lit(None).cast("string")
+    entities = F.array(F.concat(F.lit(" "), "role", F.lit(" ")), F.lit(""), F.col("role"), turn, none)
+    says = F.lit("says in")
+    triples = F.array(F.array(F.col("role"), says, F.concat(F.lit(" "), turn, F.lit(" "))), F.array(F.col("role"), F.lit("says")), F.array(F.col("role"), says, turn), F.array(F.col("role"), F.lit(" "), F.lit("x")))
+    return table(spark, d, "conversations").select("conv_id", "turn", entities.alias("entities"), triples.alias("triples"), "text")
+
+
+@query(RAW + "SELECT conv_id, turn, trim(entities[3]) || '|' || entities[4] AS entities FROM raw")
+def clean_entity_lists(spark, d):
+    return raw_extractions(spark, d).select("conv_id", "turn", F.array_join(clean_entities(F.col("entities")), "|").alias("entities"))
+
+
+@query(RAW + "SELECT conv_id, turn, count(DISTINCT s) AS n, min(s) AS triple FROM (SELECT conv_id, turn, array_to_string(list_transform(t, lambda x: trim(x)), '|') AS s FROM (SELECT conv_id, turn, unnest(triples) AS t FROM raw) WHERE len(t) = 3 AND len(list_filter(t, lambda x: trim(x) <> '')) = 3) GROUP BY ALL")
+def filter_invalid_triples(spark, d):
+    t = valid_triples(F.col("triples"))
+    return raw_extractions(spark, d).select("conv_id", "turn", F.size(t).cast("long").alias("n"), F.array_join(t[0], "|").alias("triple"))
+
+
+@query("SELECT c_custkey, length(regexp_replace(c_mktsegment, '[^A-Za-z0-9]', '', 'g')) > 2 AS long_enough FROM customer")
+def entity_guard(spark, d):
+    return table(spark, d, "customer").select("c_custkey", long_enough(F.col("c_mktsegment")).alias("long_enough"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'error' WHEN length(text) > 400 THEN 'length' WHEN turn % 3 = 0 THEN 'empty_triples' WHEN turn % 5 >= 4 AND turn % 3 < 2 THEN 'sparse_triples' ELSE '' END AS reason FROM conversations")
+def retry_reasons(spark, d):
+    finish = F.when(F.length("text") > 400, "length").otherwise("stop")
+    return table(spark, d, "conversations").select("conv_id", "turn", doubt(F.col("role") == "system", finish, F.col("turn") % 5, F.col("turn") % 3).alias("reason"))
+
+
+GOLD = """WITH g AS (SELECT a.conv_id * 1000 + a.turn AS query, b.turn AS pos, b.text AS gold, a.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1),
+n AS (SELECT query, pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(gold), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS gold, trim(regexp_replace(regexp_replace(regexp_replace(lower(answer), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS answer FROM g)
+"""
+
+
+def gold_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn as an answer, with itself and its neighbours as gold."""
+    c = table(spark, d, "conversations")
+    a = c.select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("query"), F.col("text").alias("answer"), F.explode(F.sequence(F.col("turn") - 1, F.col("turn") + 1)).alias("pos"))
+    return a.join(c.select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("gold")), ["conv_id", "pos"]).select("query", "pos", "gold", "answer")
+
+
+@query(GOLD + "SELECT query, max(CASE WHEN gold = answer THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS exact_match FROM n GROUP BY 1")
+def answer_exact_match(spark, d):
+    return exact_match(gold_answers(spark, d))
+
+
+@query(GOLD + """, w AS (SELECT query, pos, gold, answer, list_filter(string_split(gold, ' '), lambda x: x <> '') AS g, list_filter(string_split(answer, ' '), lambda x: x <> '') AS a FROM n),
+c AS (SELECT query, pos, sum(least(x, y)) AS shared FROM (SELECT query, pos, word, count(*) AS x FROM (SELECT query, pos, unnest(g) AS word FROM w) GROUP BY ALL) JOIN (SELECT query, pos, word, count(*) AS y FROM (SELECT query, pos, unnest(a) AS word FROM w) GROUP BY ALL) USING (query, pos, word) GROUP BY ALL),
+f AS (SELECT query, pos, coalesce(shared, 0)::DOUBLE / greatest(len(a), 1) AS p, coalesce(shared, 0)::DOUBLE / greatest(len(g), 1) AS r FROM w LEFT JOIN c USING (query, pos))
+SELECT query, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM (SELECT *, CASE WHEN p > 0 THEN 2 * p * r / (p + r) ELSE 0.0::DOUBLE END AS f1 FROM f) QUALIFY row_number() OVER (PARTITION BY query ORDER BY f1 DESC, pos) = 1""")
+def answer_f1(spark, d):
+    return word_f1(gold_answers(spark, d)).select("query", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x) / sqrt(list_dot_product(v, v)))), 6) AS spread FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+def unit_vectors(spark, d):
+    v = unit(F.transform("embedding", lambda x: x.cast("double")))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("spread"))
+
+
+@query(BASE + "SELECT src, dst, weight FROM fe WHERE src LIKE 'label%' AND dst LIKE 'bucket 1%'")
+def induced_subgraph(spark, d):
+    e = G.fact_edges(triples(spark, d))
+    nodes = G.mentions(triples(spark, d)).select(F.col("entity").alias("node")).distinct().where("node like 'label%' or node like 'bucket 1%'")
+    return G.induced(e, nodes).where("src like 'label%'")
+
+
+@query(BASE + "SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(CASE WHEN src LIKE 'label 1%' OR dst LIKE 'label 1%' THEN 7.0::DOUBLE ELSE weight END) AS weight FROM fe GROUP BY ALL")
+def edge_append(spark, d):
+    e = G.fact_edges(triples(spark, d)).where("src < dst")
+    return G.appended(e.where("dst like 'label 1%' or src like 'label 1%'").withColumn("weight", F.lit(7.0)), e)
