@@ -40,8 +40,8 @@ SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3,
 HARMLESS = {"true", "false", "null", "none", "undefined", "changeme", "example", "placeholder", "required", "optional"}
 
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-QUOTED = r"\"(?:[^\"\\\n]|\\.){1,512}\"|'(?:[^'\\\n]|\\.){1,512}'|`[^`\n]{1,512}`"
-VALUE = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[A-Za-z0-9+/_.=\-]{{1,512}})")
+QUOTED = r"\"(?:[^\"\\\n]|\\.)+\"|'(?:[^'\\\n]|\\.)+'|`[^`\n]+`"
+VALUE = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[A-Za-z0-9+/_.=\-]+)")
 TARGET = re.compile(rf"(?P<name>{NAME})[\"'\]]{{0,2}}[\x20\t]*(?::=|=>|[=:])[\x20\t]*(?={QUOTED}|[A-Za-z0-9+/_.=\-])")
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 

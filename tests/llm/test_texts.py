@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -78,6 +79,15 @@ def test_secret_lexer_joins_literals_and_follows_constants():
     assert all_spans("the secret of the token is out", []) == []
 
 
+def test_long_literals_are_whole_and_odd_text_is_fast():
+    literal = "aB3#" * 1000
+    assert (10, 3, 10 + len(literal)) in all_spans(f'authpw = "{literal}"', [])
+    start = time.time()
+    for text in ("a" * 200_000 + '="', 'a="' * 60_000, "'" * 100_000, 'key="\\"' * 40_000, "k=`" + "x" * 200_000):
+        all_spans(text, base_spans(text))
+    assert time.time() - start < 20
+
+
 def test_redaction_masks_every_base_span(spark):
     rows = table(spark, ODD + SECRETS).withColumn("masked", redacted("text")).collect()
     for r in rows:
