@@ -6,8 +6,8 @@ and a name that was given a constant earlier stands for it later. A literal is s
 its target's name is and by its own randomness. Three plain patterns stand beside it as a base.
 
 Defined results: null and empty texts have no span; null ids and repeated rows give one row each; an
-empty table gives an empty result; columns that are not named are ignored. Spans are code points, end
-exclusive; a span of the lexer that overlaps an earlier kept one is left out.
+empty table gives an empty result; columns that are not named are ignored. Names, literals, constants
+and joined parts have no bound in length or number. Spans are code points, end exclusive; a span of the lexer that overlaps an earlier kept one is left out.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,11 +40,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "api_key": 3, "private_key": 3, "access_key": 3, "client_secret": 3, "credential": 3, "auth": 2, "bearer": 2, "signing_key": 3, "encryption_key": 3, "session_key": 2, "salt": 1, "key": 1}
 HARMLESS = {"true", "false", "null", "none", "undefined", "changeme", "example", "placeholder", "required", "optional"}
 
-NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
+WORD = r"A-Za-z0-9_.\-"
 QUOTED = r"\"(?:[^\"\\\n]|\\.)+\"|'(?:[^'\\\n]|\\.)+'|`[^`\n]+`"
-VALUE = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[A-Za-z0-9+/_.=\-]+)")
-TARGET = re.compile(rf"(?P<name>{NAME})[\"'\]]{{0,2}}[\x20\t]*(?::=|=>|[=:])[\x20\t]*(?={QUOTED}|[A-Za-z0-9+/_.=\-])")
+#: Bare literals hold = at their end only, so that a = b = c assigns to a and to b.
+VALUE = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[+/{WORD}]++(?:=++(?![+/{WORD}]))?)")
+TARGET = re.compile(rf"(?<![{WORD}])(?P<run>[{WORD}]++)[\"'\]]{{0,2}}[\x20\t]*+(?::=|=>|[=:])[\x20\t]*+(?={QUOTED}|[+/{WORD}])")
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
+UNFIT = re.compile(r"\s|\$\{|<|\{\{")
 
 
 def sensitivity(name: str) -> int:
@@ -52,40 +55,90 @@ def sensitivity(name: str) -> int:
     return max((w for part, w in SENSITIVE.items() if part in plain), default=0)
 
 
-def entropy(value: str) -> float:
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+def entropy(counts: Counter) -> float:
+    n = counts.total()
+    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
 
 
-def score(name: str, value: str) -> float:
-    """Above 0: a secret. A weak name needs a more random literal than a strong one."""
+def score(name: str, counts: Counter, short: str = "") -> float:
+    """Above 0: a secret. A weak name needs a more random literal than a strong one.
+
+    counts holds the literal's characters; short is the literal itself where it is a single one.
+    """
     weight = sensitivity(name)
-    if not weight or len(value) < 8 or value.lower() in HARMLESS or re.search(r"\s|\$\{|<|\{\{", value):
+    if not weight or counts.total() < 8 or short.lower() in HARMLESS:
         return -1.0
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return weight + entropy(value) / 2 + classes / 2 - 4.5
+    seen = "".join(counts)
+    classes = sum(bool(re.search(p, seen)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return weight + entropy(counts) / 2 + classes / 2 - 4.5
+
+
+class Literals:
+    """The literals of a text and what is joined from them: an item is a span, or a list of earlier items."""
+
+    def __init__(self, text: str):
+        self.text, self.items, self.counted, self.taken = text, [], {}, set()
+
+    def add(self, item: tuple[int, int] | list[int]) -> int:
+        self.items.append(item)
+        return len(self.items) - 1
+
+    def counts(self, top: int) -> Counter | None:
+        """Characters of an item, counted once for each item; None where a literal in it is no plain value."""
+        waiting = [top]
+        while waiting:
+            k = waiting[-1]
+            item = self.items[k]
+            if isinstance(item, tuple):
+                value = self.text[slice(*item)]
+                self.counted[k] = None if UNFIT.search(value) else Counter(value)
+            elif missing := [i for i in item if i not in self.counted]:
+                waiting += missing
+                continue
+            else:
+                parts = [self.counted[i] for i in item]
+                self.counted[k] = None if None in parts else sum(parts, Counter())
+            waiting.pop()
+        return self.counted[top]
+
+    def take(self, top: int) -> Iterator[tuple[int, int]]:
+        """Spans below an item that were not taken before."""
+        waiting = [top]
+        while waiting:
+            if (k := waiting.pop()) not in self.taken:
+                self.taken.add(k)
+                item = self.items[k]
+                if isinstance(item, tuple):
+                    yield item
+                else:
+                    waiting += item
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly, joined with + or through a constant."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
-    spans = []
+    literals, known, spans = Literals(text), {}, []
     for m in TARGET.finditer(text):
+        name = m["run"].lstrip("0123456789.-")
+        if not name:
+            continue
         parts, at = [], m.end()
         while v := VALUE.match(text, at):
             if v["quoted"]:
-                parts.append((v.start() + 1, v.end() - 1, v["quoted"][1:-1]))
+                parts.append(literals.add((v.start() + 1, v.end() - 1)))
+            elif (found := known.get(v["bare"])) is not None:
+                parts.append(found)
             else:
-                parts += known.get(v["bare"]) or [(v.start(), v.end(), v["bare"])]
+                parts.append(literals.add(v.span()))
             at = v.end()
             if not (more := PLUS.match(text, at)):
                 break
             at = more.end()
         if parts:
-            if len(known) < 10_000 or m["name"] in known:
-                known[m["name"]] = parts[:16]
-            if score(m["name"], "".join(p[2] for p in parts)) > 0:
-                spans += [(a, b) for a, b, _ in parts]
+            top = known[name] = parts[0] if len(parts) == 1 else literals.add(parts)
+            if sensitivity(name) and (counts := literals.counts(top)) is not None:
+                item = literals.items[top]
+                if score(name, counts, text[slice(*item)] if isinstance(item, tuple) else "") > 0:
+                    spans += literals.take(top)
     return spans
 
 
@@ -100,10 +153,19 @@ def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     """base and the lexer's spans that overlap none before them."""
     if "=" not in text and ":" not in text:
         return base
-    out = list(base)
+    starts, ends = [], []  # of the base, overlapping spans made one
+    for a, _, b in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out, upto = list(base), 0
     for a, b in sorted(set(lexed(text))):
-        if b > a and all(b <= s or e <= a for s, _, e in out):
+        k = bisect_left(starts, b)
+        if b > a >= upto and (not k or ends[k - 1] <= a):
             out.append((a, 3, b))
+            upto = b
     return sorted(out)
 
 

@@ -88,6 +88,20 @@ def test_long_literals_are_whole_and_odd_text_is_fast():
     assert time.time() - start < 20
 
 
+def literals(text):
+    return sorted(text[a:b] for a, k, b in all_spans(text, base_spans(text)) if k == 3)
+
+
+def test_names_constants_and_joined_parts_have_no_bound():
+    assert literals("n" * 3000 + "_pwd = 'Xk29-plQ!s8'") == ["Xk29-plQ!s8"]
+    assert literals("x=client_pwd=a8Zk29PqLm71==") == ["a8Zk29PqLm71=="]
+    assert literals("if auth == kx82LmQp0z: pass") == []
+    assert literals('p = "ab12CD"\n' + "p = p + p\n" * 3000 + "auth = p") == ["ab12CD"]
+    many = "".join(f'c{i} = "v{i}Q-"\n' for i in range(12_000))
+    joined = "auth = " + " + ".join(f"c{i}" for i in range(12_000))
+    assert len(literals(many + joined)) == 12_000
+
+
 def test_redaction_masks_every_base_span(spark):
     rows = table(spark, ODD + SECRETS).withColumn("masked", redacted("text")).collect()
     for r in rows:
