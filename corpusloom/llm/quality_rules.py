@@ -1,12 +1,13 @@
 """Quality rules by distribution divergence.
 
 A document's character-class and common-word histograms are compared with a reference of its language
-by Jensen-Shannon distance. The references are sums over all documents of a language; languages
-without a list of common words share one reference and are judged by characters alone.
+by Jensen-Shannon distance. References are made from the rows that pass the base rule, each with one
+vote whatever its length. Languages without a list of common words are judged by characters alone; those
+of them with fewer than FEW such rows share one reference.
 
 Defined results: a null or empty text has all counts 0 and fails the base rule; null ids and repeated
-rows give one row each; a null language uses the shared reference; an empty table gives an empty
-result; columns that are not named are ignored.
+rows give one row each; a null language uses the shared reference; without any row that passes the base
+rule all distances are 0; an empty table gives an empty result; columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.textbytes import FOLD, SPACE, Texts, batches, keyed
@@ -40,6 +41,10 @@ CLASS[192:] = 7
 CLASS[128:192] = 8
 LISTS = {k: list(dict.fromkeys(v.split())) for k, v in COMMON.items()}
 WIDTH = max(map(len, LISTS.values())) + 1
+#: Key of the shared reference, and the rows from which a language has its own.
+SHARED, FEW = "", 20
+#: Steps of a share when medians are taken, and of a vote when votes are summed (whole numbers add up the same in any order).
+STEPS, VOTE = 4096, 1 << 30
 
 SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>"
 
@@ -74,7 +79,7 @@ def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         line_doc = np.searchsorted(t.bounds, begins, side="right") - 1
         _, first = np.unique(keyed(line_doc, t.span_hash(begins, ends, plain)), return_index=True)
         n_lines, n_first = np.bincount(line_doc, minlength=t.n), np.bincount(line_doc[first], minlength=t.n)
-        lang = own["lang"].where(own["lang"].isin(list(LISTS)), "other")
+        lang = own["lang"].where(own["lang"].notna(), SHARED)
         words = np.zeros((t.n, WIDTH), np.int64)
         for name, known in keys.items():
             of = (lang == name).to_numpy()
@@ -102,30 +107,83 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(axis=1) > 0, out, 0.0)
 
 
-def references(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Summed histograms by language: five rows at most."""
-    add = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
-    sums = rows.groupBy("lang").agg(add("chars", 8), add("words", WIDTH)).collect()
-    return {r["lang"]: (np.array(r["chars"], float), np.array(r["words"], float)) for r in sums}
+def shares(column: pd.Series) -> np.ndarray:
+    """Histograms, one a row, each divided by its sum."""
+    counts = np.stack(column).astype(float)
+    return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
 
 
-def distances(f: pd.DataFrame, refs: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Character and word distance of each row to its language's reference."""
-    chars, words = np.zeros(len(f)), np.zeros(len(f))
-    for lang in f["lang"].unique():
-        of = np.flatnonzero(f["lang"] == lang)
-        if lang in refs:
-            chars[of] = js_distance(np.stack(f["chars"].iloc[of]).astype(float), refs[lang][0])
-            if lang in LISTS:
-                words[of] = js_distance(np.stack(f["words"].iloc[of]).astype(float), refs[lang][1])
-    return chars, words
+def refer(lang: pd.Series, own: set[str]) -> pd.Series:
+    """Key of each row's reference."""
+    return lang.where(lang.isin(list(own)), SHARED)
 
 
-def closest(frames: Iterator[pd.DataFrame], refs: dict, trim: float) -> Iterator[pd.DataFrame]:
-    """Rows that are near a first reference, from which the final one is summed."""
+def tallied(frames: Iterator[pd.DataFrame], own: set[str]) -> Iterator[pd.DataFrame]:
+    """How often each share occurs, for the character classes (slots 0 to 7) and the words that are on no list (8)."""
     for f in frames:
-        chars, words = distances(f, refs)
-        yield f[(chars <= trim) & (words <= trim + 1 / np.sqrt(f["n_words"].clip(lower=1)))]
+        if len(f):
+            share = np.column_stack([shares(f["chars"]), shares(f["words"])[:, -1]])
+            cells = pd.DataFrame({"ref": np.repeat(refer(f["lang"], own).to_numpy(), 9), "slot": np.tile(np.arange(9), len(f)), "step": np.rint(share * STEPS).astype(int).ravel()})
+            yield cells.groupby(["ref", "slot", "step"]).size().rename("n").reset_index()
+
+
+def medians(rows: DataFrame, own: set[str]) -> dict[str, tuple[np.ndarray, float]]:
+    """By reference: median share of each character class, and of words that are on no list."""
+    cells = rows.mapInPandas(lambda frames: tallied(frames, own), "ref string, slot int, step int, n long").groupBy("ref", "slot", "step").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("ref", "slot")
+    upto = cells.withColumn("upto", F.sum("n").over(of.orderBy("step"))).withColumn("all", F.sum("n").over(of))
+    out = {}
+    for r in upto.where("2 * upto >= all").groupBy("ref", "slot").agg(F.min("step").alias("step")).collect():
+        out.setdefault(r["ref"], np.zeros(9))[r["slot"]] = r["step"] / STEPS
+    return {ref: (m[:8], m[8]) for ref, m in out.items()}
+
+
+def votes(frames: Iterator[pd.DataFrame], own: set[str], centres: dict, trim: float) -> Iterator[pd.DataFrame]:
+    """Summed votes of the rows near their medians and of the others."""
+    for f in frames:
+        ref = refer(f["lang"], own)
+        for name in ref.unique():
+            mine = f[ref == name]
+            chars, words = shares(mine["chars"]), shares(mine["words"])
+            near = js_distance(chars, centres[name][0]) <= trim
+            if name in LISTS:
+                rest = np.column_stack([1 - words[:, -1], words[:, -1]])
+                near &= js_distance(rest, np.array([1 - centres[name][1], centres[name][1]])) <= trim + 1 / np.sqrt(mine["n_words"].to_numpy().clip(1))
+            for side in (True, False):
+                if (near == side).any():
+                    added = [np.rint(x[near == side] * VOTE).astype(np.int64).sum(axis=0) for x in (chars, words)]
+                    yield pd.DataFrame({"ref": [name], "near": [side], "chars": [added[0]], "words": [added[1]]})
+
+
+def references(rows: DataFrame, trim: float) -> tuple[set[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Languages with a reference of their own, and the references: a row or two for each of them.
+
+    The first reference has the median share of each class, which junk does not move while it is in less than half
+    of the rows. The final one has the mean shares of the rows within trim of the first; where there are none,
+    the first one stays, with the mean word shares of all rows.
+    """
+    own = {r["lang"] for r in rows.groupBy("lang").count().where(F.col("lang").isin(list(LISTS)) | (F.col("count") >= FEW)).collect()} - {SHARED}
+    centres = medians(rows, own)
+    add = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
+    cells = rows.mapInPandas(lambda frames: votes(frames, own, centres, trim), "ref string, near boolean, chars array<long>, words array<long>")
+    refs = {}
+    for r in cells.groupBy("ref", "near").agg(add("chars", 8), add("words", WIDTH)).orderBy("near").collect():
+        chars = np.array(r["chars"], float)
+        refs[r["ref"]] = (chars if r["near"] or not centres[r["ref"]][0].any() else centres[r["ref"]][0] * VOTE, np.array(r["words"], float))
+    return own, refs
+
+
+def distances(f: pd.DataFrame, own: set[str], refs: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Character and word distance of each row to its reference."""
+    chars, words = np.zeros(len(f)), np.zeros(len(f))
+    ref = refer(f["lang"], own)
+    for name in ref.unique():
+        of = np.flatnonzero(ref == name)
+        if name in refs:
+            chars[of] = js_distance(np.stack(f["chars"].iloc[of]).astype(float), refs[name][0])
+            if name in LISTS:
+                words[of] = js_distance(np.stack(f["words"].iloc[of]).astype(float), refs[name][1])
+    return chars, words
 
 
 def quality_rules(
@@ -144,17 +202,16 @@ def quality_rules(
 
     Texts under min_words are not judged by divergence. A text is rejected when its two distances, each
     divided by limit + slack / sqrt(n_words), add up to more than 2; the slack is there because short
-    texts are far from any reference by chance alone. References are summed twice, the second time over
-    the rows within trim of the first, so that junk does not bend them.
+    texts are far from any reference by chance alone.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = scratch.save(rows.mapInPandas(measured, SCHEMA), "measured")
-    refs = references(rows)
-    refs = references(rows.mapInPandas(lambda frames: closest(frames, refs, trim), rows.schema))
+    passing = (F.col("n_words") >= min_words) & (100 * F.col("n_repeat_words") <= max_repeat_percent * F.col("n_words"))
+    own, refs = references(rows.where(passing), trim)
 
     def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["char_distance"], f["word_distance"] = distances(f, refs)
+            f["char_distance"], f["word_distance"] = distances(f, own, refs)
             f["base_failed"] = (f["n_words"] < min_words) | (100 * f["n_repeat_words"] > max_repeat_percent * f["n_words"])
             short = 1 / np.sqrt(f["n_words"].clip(lower=1))
             far = f["char_distance"] / (char_limit + char_slack * short) + f["word_distance"] / (word_limit + word_slack * short) > 2

@@ -45,6 +45,39 @@ def test_quality_rules_reject_junk_and_keep_prose(spark):
     assert sum(kept) >= 0.95 * len(kept)
 
 
+def junk_text(seed, n):
+    return " ".join(f"%{k}#|{(k + seed) * 7919}>" for k in range(n))
+
+
+def prose_and_junk(spark, junk):
+    """Share kept of each language's good prose, and the junk ids kept."""
+    prose = parquet(spark, "documents", "0.01").join(parquet(spark, "labels", "0.01").where("quality = 1"), "doc_id").where("n_chars > 1000").select("doc_id", "text", "lang")
+    found = quality_rules(spark, prose.unionByName(table(spark, junk).select("doc_id", "text", "lang")), Scratch(spark)).where("not base_failed")
+    kept = {r["doc_id"]: r["kept"] for r in found.collect()}
+    of = {}
+    for r in prose.select("doc_id", "lang").collect():
+        of.setdefault(r["lang"], []).append(kept.get(r["doc_id"], True))
+    return {k: sum(v) / len(v) for k, v in of.items()}, [i for i, _, _ in junk if kept[i]]
+
+
+def test_quality_rules_hold_with_a_third_of_junk_or_one_huge_junk_text(spark):
+    prose = parquet(spark, "documents", "0.01").join(parquet(spark, "labels", "0.01").where("quality = 1"), "doc_id").where("n_chars > 1000")
+    sizes = {r["lang"]: r["count"] for r in prose.groupBy("lang").count().collect()}
+    third = [(10**6 + 10**4 * j + k, junk_text(k, 300), lang) for j, (lang, n) in enumerate(sorted(sizes.items())) for k in range(n // 2)]
+    huge = [(10**6, junk_text(0, 300_000), "en")]
+    for junk in (third, huge):
+        shares, wrong = prose_and_junk(spark, junk)
+        assert not wrong
+        assert min(shares.values()) >= 0.95, shares
+
+
+def test_quality_rules_judge_each_language_by_its_own_reference(spark):
+    ja = [(k, " ".join("日本語の文章です" * 3 for _ in range(60)) + " " + " ".join(chr(0x4E00 + k + i) for i in range(50)), "ja") for k in range(30)]
+    ru = [(100 + k, " ".join("привет мир как дела" for _ in range(5)) + " " + " ".join(f"слово{'абвгд'[i % 5]}{'еёжзи'[k % 5]}{'йклмн'[i // 5 % 5]}, Дом" for i in range(50)), "ru") for k in range(90)]
+    found = {r["doc_id"]: r["char_distance"] for r in quality_rules(spark, table(spark, ja + ru).select("doc_id", "text", "lang"), Scratch(spark), max_repeat_percent=100).collect()}
+    assert max(found.values()) < 0.05
+
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
