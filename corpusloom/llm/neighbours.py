@@ -2,7 +2,7 @@
 
 Equal vectors are one node. A forest of random hyperplane trees gives each node its first neighbours;
 rounds of NN-descent then compare, at every node, the nodes that list it or that it lists, and keep for
-each the best. A query starts from its own node's neighbours and expands the best nodes of its beam,
+each the best, until a round replaces less than SETTLED of all list entries. A query starts from its own node's neighbours and expands the best nodes of its beam,
 many at a time, until every node of the beam is expanded. The beam's best nodes are scored again in
 double precision on the original vectors.
 
@@ -15,6 +15,7 @@ what makes the search approximate; every node is in the graph.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql.types import FloatType
 from corpusloom.llm.streams import whole_groups
 from corpusloom.session import Scratch, partitions, small
 
-NEIGHBOURS, REVERSED, TREES, LEAF, DESCENTS = 32, 16, 6, 600, 3
-BEAM, EXPANDED, ROUNDS = 256, 32, 24
+NEIGHBOURS, REVERSED, TREES, LEAF, SETTLED = 32, 16, 6, 600, 0.001
+BEAM, EXPANDED = 256, 32
 EDGES = "node long, nbr long, sim float"
 
 
@@ -52,24 +53,24 @@ def usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def merged(rows: DataFrame, n: int, keep: int) -> DataFrame:
-    """Edges -> the keep most similar neighbours of each node."""
+    """Edges (with fresh) -> the keep most similar neighbours of each node; one is fresh unless any of its rows is not."""
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, _ in whole_groups(frames, "node"):
-            node, nbr, sim = f["node"].to_numpy(), f["nbr"].to_numpy(), f["sim"].to_numpy()
+            node, nbr, sim, fresh = (f[c].to_numpy() for c in ("node", "nbr", "sim", "fresh"))
             order = np.lexsort((-sim, nbr, node))
-            node, nbr, sim = node[order], nbr[order], sim[order]
+            node, nbr, sim, fresh = node[order], nbr[order], sim[order], fresh[order]
             new = np.ones(len(node), bool)
             new[1:] = (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])
-            node, nbr, sim = node[new], nbr[new], sim[new]
+            node, nbr, sim, fresh = node[new], nbr[new], sim[new], np.logical_and.reduceat(fresh, np.flatnonzero(new))
             order = np.lexsort((nbr, -sim, node))
-            node, nbr, sim = node[order], nbr[order], sim[order]
+            node, nbr, sim, fresh = node[order], nbr[order], sim[order], fresh[order]
             first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             rank = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
             ok = rank < keep
-            yield pd.DataFrame({"node": node[ok], "nbr": nbr[ok], "sim": sim[ok]})
+            yield pd.DataFrame({"node": node[ok], "nbr": nbr[ok], "sim": sim[ok], "fresh": fresh[ok]})
 
-    return rows.repartition(n, "node").sortWithinPartitions("node").mapInPandas(best, EDGES)
+    return rows.repartition(n, "node").sortWithinPartitions("node").mapInPandas(best, EDGES + ", fresh boolean")
 
 
 def top_of(sims: np.ndarray, keep: int) -> np.ndarray:
@@ -139,7 +140,7 @@ def descend(edges: DataFrame, vectors: DataFrame, n: int, keep: int, reverse: in
 
     near = around(edges, keep, reverse).select("node", "nbr").join(sent, "nbr")
     found = near.repartition(n, "node").sortWithinPartitions("node").mapInPandas(local, EDGES)
-    return merged(edges.unionByName(found), n, keep)
+    return merged(edges.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), n, keep)
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -149,14 +150,22 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def build(spark: SparkSession, vectors: DataFrame, scratch: Scratch, neighbours: int, reverse: int, trees: int, leaf: int, descents: int) -> DataFrame:
-    """vectors(node, vec) -> the graph's adjacency (node, nbr)."""
+def build(spark: SparkSession, vectors: DataFrame, scratch: Scratch, neighbours: int, reverse: int, trees: int, leaf: int, settled: float) -> DataFrame:
+    """vectors(node, vec) -> the graph's adjacency (node, nbr).
+
+    Lists only get better, so the rounds end by themselves.
+    """
     count = vectors.count()
     n = partitions(spark, count * neighbours)
-    edges = scratch.save(merged(forest(vectors, count, n, neighbours, trees, leaf), n, neighbours), "edges-0")
-    for turn in range(1, descents + 1):
-        edges = scratch.save(descend(edges, vectors, n, neighbours, reverse), f"edges-{turn}")
+    first = forest(vectors, count, n, neighbours, trees, leaf).withColumn("fresh", F.lit(True))
+    edges = scratch.save(merged(first, n, neighbours), "edges-0")
+    for turn in itertools.count(1):
+        edges = scratch.save(descend(edges.drop("fresh"), vectors, n, neighbours, reverse), f"edges-{turn}")
         scratch.drop(f"edges-{turn - 1}")
+        replaced, entries = edges.agg(F.count_if("fresh"), F.count("*")).first()
+        if replaced <= settled * entries:
+            break
+    edges = edges.drop("fresh")
     return scratch.save(around(edges, neighbours, 2 * reverse).select("node", "nbr"), "graph")
 
 
@@ -165,8 +174,8 @@ def dots(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.einsum("ij,ij->i", floats(a), floats(b)) if len(a) else np.empty(0, np.float32))
 
 
-def search(spark: SparkSession, starts: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Scratch, beam: int, expanded: int, rounds: int) -> DataFrame:
-    """starts(node): nodes to search from -> beams (q, node, sim)."""
+def search(spark: SparkSession, starts: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Scratch, beam: int, expanded: int) -> DataFrame:
+    """starts(node): nodes to search from -> beams (q, node, sim), when no node of a beam is open any more."""
     asked = scratch.save(starts.join(vectors, "node").select(F.col("node").alias("q"), F.col("vec").alias("q_vec")), "asked")
     asked_rows = asked.count()
     by_sim = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
@@ -180,7 +189,7 @@ def search(spark: SparkSession, starts: DataFrame, vectors: DataFrame, graph: Da
 
     first = asked.select("q", F.col("q").alias("node")).join(graph, "node").select("q", F.col("nbr").alias("node")).where("q != node")
     beams = scratch.save(cut(scored(first)), "beams-0")
-    for turn in range(1, rounds + 1):
+    for turn in itertools.count(1):
         waiting = beams.where("open").withColumn("k", F.row_number().over(by_sim)).where(F.col("k") <= expanded).select("q", "node")
         waiting = scratch.save(waiting, f"waiting-{turn}")
         if waiting.isEmpty():
@@ -204,10 +213,9 @@ def nearest(
     reverse: int = REVERSED,
     trees: int = TREES,
     leaf: int = LEAF,
-    descents: int = DESCENTS,
+    settled: float = SETTLED,
     beam: int = BEAM,
     expanded: int = EXPANDED,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """The k nearest other ids of each id for which query (a condition on vec_id) holds: query_id, rank, vec_id, score."""
     found = scratch.save(usable(rows, vec_id, embedding), "usable")
@@ -227,9 +235,9 @@ def nearest(
             yield pd.DataFrame({"node": f["node"], "vec": [r.tobytes() for r in x.astype(np.float32)]})
 
     vectors = scratch.save(one.mapInPandas(packed, "node long, vec binary"), "vectors")
-    graph = build(spark, vectors, scratch, neighbours, reverse, trees, leaf, descents)
+    graph = build(spark, vectors, scratch, neighbours, reverse, trees, leaf, settled)
     asking = ids.where(query)
-    beams = search(spark, asking.select("node").distinct(), vectors, graph, scratch, beam, expanded, rounds)
+    beams = search(spark, asking.select("node").distinct(), vectors, graph, scratch, beam, expanded)
     # equal vectors: a node's k + 1 smallest ids can be among a query's nearest, no others
     few = ids.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("k") <= k + 1).drop("k")
     few = scratch.save(few, "few")

@@ -40,6 +40,15 @@ def test_recall_and_scores(spark):
     assert hits >= 0.9 * 5 * len(want)
 
 
+def test_descent_goes_on_until_the_lists_settle(spark):
+    x = np.random.default_rng(5).standard_normal((6000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {q: {i for i, _ in near} for q, near in brute_force(list(enumerate(x)), 5).items()}
+    # two trees of small leaves are a poor start, and a narrow beam does not make up for poor lists
+    found = nearest(spark, rows, Scratch(spark), F.col("vec_id") % 50 == 0, trees=2, leaf=12, beam=12, neighbours=12, reverse=6, expanded=4).collect()
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in found) >= 0.75 * 5 * len(want)
+
+
 def test_vectors_that_take_no_part_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, -1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 0.0]), (9, []), (2, [1.0, 1.0]), (50, [0.0, 0.0]), (100, None)]
