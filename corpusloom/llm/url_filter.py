@@ -2,7 +2,8 @@
 
 Trust is personalised PageRank from hosts most of whose pages a rule allows; distrust is the same over
 reversed edges from hosts most of whose pages a rule blocks. A host is blocked where its distrust
-exceeds both its trust and a floor.
+exceeds its trust, and its distrust times the number of distrusted seeds a floor: in those units every
+seed starts with 1, however many hosts there are.
 
 Defined results: null urls and urls without :// have an empty host and path, match no rule and are
 allowed; null html has no link; null ids and repeated rows give one row each; an empty table gives an
@@ -81,8 +82,9 @@ def judge(spark: SparkSession, pages: DataFrame, scratch: Scratch, rules: tuple
     sizes = chosen.groupBy("kind").count()
     seeds = scratch.save(chosen.join(sizes, "kind").select("kind", "host", (1 / F.col("count")).alias("seed")), "seeds")
     rank = propagate(edges, seeds, scratch)
-    score = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"))
-    bad = (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0))) & (F.coalesce("distrust", F.lit(0.0)) > floor)
+    rank = rank.join(sizes.withColumnRenamed("count", "seeds"), "kind")
+    score = rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"), F.max(F.when(F.col("kind") == "distrust", F.col("seeds"))).alias("seeds"))
+    bad = (F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0))) & (F.coalesce(F.col("distrust") * F.col("seeds"), F.lit(0.0)) > floor)
     hosts = hosts.join(score, "host", "left").select("host", "pages", F.when(bad, "block").otherwise("allow").alias("spread"))
     found = salted_join(seen, hosts, "host", "pages", F.col("page_id"))
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", "spread").alias("verdict"))

@@ -128,5 +128,18 @@ def test_verdicts(spark, case):
         assert by[102] == "block" and by[103] == "allow" and by[106] == "block" and by[105] == "allow"
 
 
+def test_copies_of_a_graph_keep_its_verdicts(spark):
+    small = [(1, "s://good{}.com/", '<a href="s://fine{}.org/">'), (2, "s://bad{}.net/es/", ""), (3, "s://spam{}.org/", '<a href="s://bad{}.net/es/">'), (4, "s://fine{}.org/", "")]
+
+    def verdicts(copies):
+        rows = [(i, url.format(c), html.format(c)) for c in range(copies) for i, url, html in small]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        return {tuple(r) for r in judge(spark, pages, Scratch(spark), floor=0.05).select("page_id", "verdict").collect()}
+
+    one = verdicts(1)
+    assert (3, "block") in one and (4, "allow") in one
+    assert verdicts(60) == one
+
+
 def test_empty_pages(spark):
     assert judge(spark, odd(spark).where("false"), Scratch(spark)).count() == 0
