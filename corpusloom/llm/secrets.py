@@ -1,7 +1,7 @@
 """Secret scans by assignment-aware lexing.
 
 Texts are lexed for assignments as source and configuration files write them (name = "literal",
-"name": "literal", name: value, NAME => 'literal', export NAME=value). Literals may be joined with +,
+"name": "literal", name: value, NAME => 'literal', export NAME=value, name: type = "literal"). Literals may be joined with +,
 and a name that was given a constant earlier stands for it later. A literal is scored by how sensitive
 its target's name is and by its own randomness. Three plain patterns stand beside it as a base.
 
@@ -46,6 +46,11 @@ QUOTED = r"\"(?:[^\"\\\n]|\\.)+\"|'(?:[^'\\\n]|\\.)+'|`[^`\n]+`"
 VALUE = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[+/{WORD}]++(?:=++(?![+/{WORD}]))?)")
 TARGET = re.compile(rf"(?<![{WORD}])(?P<run>[{WORD}]++)[\"'\]]{{0,2}}[\x20\t]*+(?::=|=>|[=:])[\x20\t]*+(?={QUOTED}|[+/{WORD}])")
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
+#: A name and the : after which a type may stand, and the parts of a type up to the = behind it.
+DECLARED = re.compile(rf"(?<![{WORD}])(?P<run>[{WORD}]++)[\"'\]]{{0,2}}[\x20\t]*+:(?![:=])[\x20\t]*+(?=[A-Za-z_\[(&*])")
+PART = re.compile(rf"[\x20\t]*+(?:(?P<word>(?:'?[{WORD}]|::)++)|(?P<open>[\[<(])|(?P<close>[\]>)])|(?P<mark>[|&*?!,])|(?P<assign>=(?![=>])[\x20\t]*+))")
+#: Names of types, which are no constants when they stand in a declaration.
+TYPES = {"str", "string", "bytes", "char", "text", "any", "object", "secretstr", "securestring"}
 UNFIT = re.compile(r"\s|\$\{|<|\{\{")
 
 
@@ -114,19 +119,52 @@ class Literals:
                     waiting += item
 
 
+def declarations(text: str) -> Iterator[tuple[str, int, int]]:
+    """(name, start of the type, start of the value) of each name: type = value. A type has no two words in a row outside its brackets."""
+    for m in DECLARED.finditer(text):
+        at, depth, last = m.end(), 0, ""
+        while p := PART.match(text, at):
+            kind = p.lastgroup
+            depth += (kind == "open") - (kind == "close")
+            if kind == "assign" and not depth and last:
+                yield m["run"], m.end(), p.end()
+            if kind == "assign" or depth < 0 or not depth and (p["mark"] == "," or kind == "word" and last == "word"):
+                break
+            # a lifetime stands before its type
+            last = "" if kind == "word" and p["word"].startswith("'") else kind
+            at = p.end()
+
+
+def targets(text: str) -> list[tuple[int, str, bool]]:
+    """(start of the value, name, declared with a type) of all assignments, in order."""
+    found = {(at, name): typed for name, typed, at in declarations(text) if text[at : at + 1] in ("'", '"', "`") or re.match(rf"[{WORD}]", text[at : at + 1])}
+    values = {at for at, _ in found}
+    # a plain word before = "literal" is a type, and no value of the name before it
+    types = {a for (at, _), a in found.items() if text[at] in "'\"`" and re.compile(r"[A-Za-z]+(?![0-9_.\-])").match(text, a)}
+    out = [(at, name, True) for at, name in found]
+    for m in TARGET.finditer(text):
+        if m.end() not in types and not (m.end() in values and m["run"].lower() in TYPES):
+            out.append((m.end(), m["run"], False))
+    return sorted(out, key=lambda x: x[0])
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly, joined with + or through a constant."""
     literals, known, spans = Literals(text), {}, []
-    for m in TARGET.finditer(text):
-        name = m["run"].lstrip("0123456789.-")
+    for at, name, typed in targets(text):
+        name = name.lstrip("0123456789.-")
         if not name:
             continue
-        parts, at = [], m.end()
+        parts = []
         while v := VALUE.match(text, at):
             if v["quoted"]:
                 parts.append(literals.add((v.start() + 1, v.end() - 1)))
             elif (found := known.get(v["bare"])) is not None:
                 parts.append(found)
+            elif typed:
+                # languages with types put literals in quotes
+                parts = []
+                break
             else:
                 parts.append(literals.add(v.span()))
             at = v.end()

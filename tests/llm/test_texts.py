@@ -135,6 +135,24 @@ def test_names_constants_and_joined_parts_have_no_bound():
     assert len(literals(many + joined)) == 12_000
 
 
+def test_typed_declarations_pair_the_literal_with_the_name():
+    secret = "Zk8#qPw2Lm5v"
+    for line in (
+        f'password: str = "{secret}"', f"api_key: string = '{secret}';", f'private val token: String = "{secret}"', f'let authToken: String? = "{secret}"',
+        f'password: Optional[str] = "{secret}"', f"const clientSecret: string | undefined = '{secret}'", f'const API_KEY: &\'static str = "{secret}";',
+        f'let secret: Option<&\'static str> = "{secret}"', f'token: typing.Dict[str, list[str]] = "{secret}"', f'password: SecretString = "{secret}"',
+    ):
+        assert secret in literals(line), line
+    assert literals('password: SecretString = "Zk8#qPw2Lm5v"') == [secret]
+    assert literals('part: str = "Zk8#qPw2"\nclient_pwd: str = part + "Lm5v!tR9"') == ["Lm5v!tR9", "Zk8#qPw2"]
+    assert secret in literals(f'note: auth = "{secret}"') and secret in literals(f'error: user_pwd="{secret}"')
+    assert literals('def f(auth: str, title="Blue-Green12"): pass') == [] and literals('title: str = "Blue-Green12"\ndef f(auth: str): pass') == []
+    start = time.time()
+    for text in ("a:[" * 60_000, "a: b::" * 40_000, "a: " + "x " * 100_000, "a: [" + "x " * 100_000, "a:" * 100_000 + '="', "a: b = " * 30_000):
+        all_spans(text + "=", [])
+    assert time.time() - start < 20
+
+
 def test_redaction_masks_every_base_span(spark):
     rows = table(spark, ODD + SECRETS).withColumn("masked", redacted("text")).collect()
     for r in rows:
