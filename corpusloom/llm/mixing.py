@@ -109,9 +109,11 @@ def mix(
     start = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = held.withColumn("start", start).drop("bucket_size")
     inside = Window.partitionBy("skey", "bucket").orderBy("doc_id", "thash").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # repeated rows without words share their offset, so each row has a number too
+    nth = F.row_number().over(Window.partitionBy("skey", "bucket").orderBy("doc_id", "thash"))
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("nth", F.struct("bucket", nth.alias("n")))
     rows = rows.join(held, ["skey", "bucket"]).join(sources.select("skey", "sid", "source_size", "target"), "skey")
-    rows = rows.withColumn("off", F.col("start") + F.col("inside")).select("doc_id", "thash", "sid", "size", "source_size", "target", "off")
+    rows = rows.withColumn("off", F.col("start") + F.col("inside")).select("doc_id", "thash", "sid", "size", "source_size", "target", "off", "nth")
 
     slots = draw(spark, sources, scratch, shard_blocks, seed)
     epoch, at = F.floor(F.col("g") / F.col("n")), F.col("g") % F.col("n")
@@ -174,7 +176,7 @@ def taken(m: Mix, block_words: int = 1024) -> DataFrame:
     per_block = m.slots.join(m.sources.select("sid", "epochs"), "sid").groupBy("sid", "block").agg(F.count_if(full).alias("times"), F.max(F.when(~full, F.col("words"))).alias("part"))
     joined = pieces(m, block_words).join(per_block, ["sid", "block"], "left")
     words = F.coalesce("times", F.lit(0)) * (F.col("hi") - F.col("lo")) + F.greatest(F.lit(0), F.least("hi", F.coalesce("part", F.lit(0))) - F.col("lo"))
-    return joined.withColumn("words", words).groupBy("doc_id", "sid", "off", "thash", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"))
+    return joined.withColumn("words", words).groupBy("doc_id", "sid", "off", "nth", "thash", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"))
 
 
 def mixed_texts(spark: SparkSession, docs: DataFrame, m: Mix, block_words: int = 1024, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -52,6 +52,12 @@ def test_mix(spark, case):
     assert sum(len(words(r["text"])) for r in texts.collect()) == sum(r["taken"] for r in got)
 
 
+def test_repeated_rows_without_words_stay_apart(spark):
+    docs = table(spark, [*ODD, (2, "", None, "a"), (9, None, "en", "a"), (9, None, "en", "a"), (None, "  ", "en", "b"), (None, "  ", "en", "b")])
+    got = taken(mix(spark, docs, Scratch(spark))).select("doc_id", "size").collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str((r["doc_id"], len(words(r["text"])))) for r in docs.collect())
+
+
 def test_permutation_and_its_inverse(spark):
     for n in (1, 2, 7, 1000):
         f = spark.range(n).withColumn("y", permuted(F.col("id"), F.lit(n), F.lit(5))).withColumn("z", permuted(F.col("y"), F.lit(n), F.lit(5), back=True))
