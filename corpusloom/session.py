@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of the Arrow batches that Python stages get, where the session sets no bound of its own.
+ARROW_BYTES = 8 << 20
 #: Rows up to which a narrow side (ids, counters) may be broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -24,10 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what Python stages hold at once by bytes: rows alone do not bound it where texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; lost executors never lose them."""
 
     def __init__(self, spark: SparkSession):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
@@ -43,6 +53,21 @@ class Scratch:
             remove(self.spark, self.path(name))
 
 
+def running_sum(rows: DataFrame, value: str, at: str, *by: str, step: int = 4096) -> DataFrame:
+    """rows with upto: the sum of value over rows of the same by with a smaller at.
+
+    rows is read twice, so it should be a written table; at is a whole number, not negative, and unique within by.
+    Sums run inside stretches of step places, then over the stretches: no task holds all rows of a by.
+    """
+    rows = rows.withColumn("_stretch", F.floor(F.col(at) / step))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    stretches = rows.groupBy(*by, "_stretch").agg(F.sum(value).alias("_sum"))
+    base = F.sum("_sum").over(before.partitionBy(*by).orderBy("_stretch"))
+    stretches = stretches.select(*by, "_stretch", F.coalesce(base, F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(value).over(before.partitionBy(*by, "_stretch").orderBy(at)), F.lit(0))
+    return rows.withColumn("upto", inside).join(stretches, [*by, "_stretch"]).withColumn("upto", F.col("upto") + F.col("_base")).drop("_stretch", "_base")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
