@@ -11,8 +11,9 @@ components are compared in full, skipping pairs that are already joined.
 
 Defined results: null and blank texts have no shingle and are linked with nothing; texts under the
 shingle's width have one shingle, their words; null ids come back with a null component and take no
-part; repeated rows give one row each; an empty table gives an empty result; columns that are not named
-are ignored. Shingles stand for their 64-bit hashes, sets for the 128-bit hashes of these.
+part; repeated rows give one row each; an id with several texts has a node for each of its sets, and only
+the texts decide what is linked; an empty table gives an empty result; columns that are not named are
+ignored. Shingles stand for their 64-bit hashes, sets for the 128-bit hashes of these.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from corpusloom.llm.components import components
 from corpusloom.llm.streams import whole_groups
 from corpusloom.llm.textbytes import BASE, Texts, batches, keyed, power_table
-from corpusloom.session import Scratch, partitions, small
+from corpusloom.session import Scratch, partitions, salted_join, small
 
 #: Shingles met in this many texts of a stretch of STRETCH shingles are reported as frequent; about HOT of them, the most frequent, are kept.
 LOCAL_MANY = 3
-STRETCH = 4_000_000
+STRETCH = 1 << 22
 HOT = 1 << 20
 #: Members of a tile row; a full comparison holds two of them.
 TILE = 512
@@ -61,11 +62,28 @@ def shingle_sets(t: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     return found, np.searchsorted(doc, np.arange(t.n + 1))
 
 
-def frequent(held: list[np.ndarray]) -> pd.DataFrame:
-    """Shingles that LOCAL_MANY of the texts share, with their numbers."""
-    hashes, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
-    many = counts >= LOCAL_MANY
-    return pd.DataFrame({"kind": np.ones(many.sum(), np.int32), "doc_id": pd.array([None] * many.sum(), "Int64"), "n": counts[many], "print": None, "shingle": hashes[many].view(np.int64)})
+class Stretch:
+    """Shingles of a stretch of texts in one buffer, which is sorted in place."""
+
+    def __init__(self):
+        self.held, self.used = np.empty(STRETCH, np.uint64), 0
+
+    def add(self, sets: np.ndarray) -> Iterator[pd.DataFrame]:
+        while len(sets):
+            room = min(STRETCH - self.used, len(sets))
+            self.held[self.used : self.used + room] = sets[:room]
+            self.used, sets = self.used + room, sets[room:]
+            if self.used == STRETCH:
+                yield self.frequent()
+
+    def frequent(self) -> pd.DataFrame:
+        """Shingles that LOCAL_MANY of the texts share, with their numbers."""
+        own, self.used = self.held[: self.used], 0
+        own.sort()
+        again = own[LOCAL_MANY - 1 :][own[LOCAL_MANY - 1 :] == own[: max(0, len(own) - LOCAL_MANY + 1)]]
+        hashes, counts = np.unique(again, return_counts=True)
+        none = pd.array([None] * len(hashes), "Int64")
+        return pd.DataFrame({"kind": np.ones(len(hashes), np.int32), "doc_id": none, "text_id": none, "n": counts + LOCAL_MANY - 1, "print": None, "shingle": hashes.view(np.int64)})
 
 
 def least_shared(n):
@@ -100,22 +118,23 @@ def least_overlap(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 
 
 def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> rows (doc_id, n_shingles, rep) and components (id, component) of the reps."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """docs(doc_id, text) -> rows (doc_id, text_id, n_shingles, rep) and components (id, component) of the reps.
+
+    A rep is the node of a set: the least id of its rows, or a number beyond all ids where each of its
+    rows has an id that stands for other texts too. Rows without an id or a shingle have none.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+        stretch = Stretch()
         for own, t in batches(frames):
             sets, at = shingle_sets(t, width)
             prints = [hashlib.md5(sets[a:b].tobytes()).digest() if b > a else None for a, b in zip(at, at[1:])]
-            yield pd.DataFrame({"kind": 0, "doc_id": own["doc_id"].astype("Int64"), "n": np.diff(at), "print": prints, "shingle": 0})
-            held.append(sets)
-            if sum(map(len, held)) >= STRETCH:
-                yield frequent(held)
-                held = []
-        yield frequent(held)
-
-    found = scratch.save(docs.mapInPandas(measured, "kind int, doc_id long, n long, print binary, shingle long"), "measured")
+            yield pd.DataFrame({"kind": 0, "doc_id": own["doc_id"].astype("Int64"), "text_id": own["text_id"].astype("Int64"), "n": np.diff(at), "print": prints, "shingle": 0})
+            yield from stretch.add(sets)
+        yield stretch.frequent()
+
+    found = scratch.save(docs.mapInPandas(measured, "kind int, doc_id long, text_id long, n long, print binary, shingle long"), "measured")
     hot = scratch.save(found.where("kind = 1").groupBy("shingle").agg(F.sum("n").alias("n")), "hot")
     many = hot.count()
     if many > HOT:
@@ -123,9 +142,24 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
     hot = hot.select("shingle").toPandas()
     hot_list = spark.sparkContext.broadcast(np.sort(hot["shingle"].to_numpy(np.int64).view(np.uint64)))
 
-    found = found.where("kind = 0")
-    classes = found.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    found = found.where("kind = 0").drop("kind", "shingle")
+    several = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo != hi").select("doc_id")
+    several = scratch.save(several, "several")
+    n_several = several.count()
+    found = found.join(small(several, n_several).withColumn("sure", F.lit(False)), "doc_id", "left") if n_several else found.withColumn("sure", F.lit(True))
+    sure = F.coalesce("sure", F.lit(True))
+    classes = found.where("print is not null and doc_id is not null").groupBy("print").agg(F.min(F.when(sure, F.col("doc_id"))).alias("rep"), F.count("*").alias("copies"), F.min(F.when(~sure, F.struct("doc_id", "text_id"))).alias("odd"))
+    classes = classes.where("copies > 1 or odd is not null")
+    if n_several:
+        low, high = found.agg(F.min("doc_id"), F.max("doc_id")).first()
+        number = F.monotonically_increasing_id()
+        beyond = number + F.lit(high + 1) if high < 1 << 62 else F.lit(low - 1) - number
+        classes = classes.withColumn("fresh", F.col("rep").isNull()).withColumn("rep", F.coalesce("rep", beyond))
     classes = scratch.save(classes, "classes")
+    if n_several:
+        odd = classes.where("fresh").select("odd.doc_id", "odd.text_id", "rep")
+        odd = docs.join(small(odd, n_several), ["doc_id", "text_id"]).select(F.col("rep").alias("doc_id"), "text")
+        docs = docs.join(small(several, n_several), "doc_id", "left_anti").select("doc_id", "text").unionByName(odd)
     copies = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     # one print may belong to a third of all rows: its class row is repeated, and the rows are dealt over the repeats
     salts = F.greatest(F.lit(1), F.least(F.lit(256), F.floor(F.col("copies") / 1000))).cast("int")
@@ -133,8 +167,8 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
     wide = classes.select("print", salts.alias("salts")).distinct()
     rows = found.join(small(wide, copies[0]), "print", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
     rows = rows.join(small(classes.select("print", "salt", "rep"), copies[0]), ["print", "salt"], "left")
-    rows = scratch.save(rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")), "rows")
-    scratch.drop("classes")
+    rep = F.when(F.col("print").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    rows = scratch.save(rows.select("doc_id", "text_id", F.col("n").alias("n_shingles"), rep.alias("rep")), "rows")
 
     # texts that only repeat another set need no postings
     repeats = rows.where("rep != doc_id").select("doc_id")
@@ -175,6 +209,8 @@ def links(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5
     stars = scratch.save(stars, "stars")
 
     scratch.drop("measured", "hot")
+    if not n_several:
+        scratch.drop("classes", "several")
     bits = described(spark, docs, stars, scratch, width, "bits")
     passed = scratch.save(bounded_pairs(stars, bits, percent), "passed-1")
     first = scratch.save(exact_links(passed, described(spark, docs, passed, scratch, width, "shingles"), percent), "links-1")
@@ -396,11 +432,18 @@ def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = 5, percent: int = 75) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles and component_id, one row per input row."""
+    """docs(doc_id, text) -> doc_id, text_id (xxhash64 of the text), n_shingles, component and component_id, one row per input row.
+
+    component names the group (null where a row can't be linked), component_id is the smallest id in it.
+    """
     rows, joined = links(spark, docs, scratch, width, percent)
-    found = rows.join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    found = rows.join(joined.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep")
+    found = scratch.save(found, "components")
+    # a group named by a number beyond all ids, or by an id that is not its least one
+    least = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("component_id != component")
+    found = salted_join(found, scratch.save(least, "renamed"), "component", "members", F.col("text_id"))
+    return found.withColumn("component_id", F.coalesce("component_id", "component", "doc_id")).select("doc_id", "text_id", "n_shingles", "component", "component_id")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark))
+    return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)).select("doc_id", "n_shingles", "component_id")

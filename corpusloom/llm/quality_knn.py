@@ -6,7 +6,8 @@ latent space. The sample's vectors are broadcast; every document is compared wit
 blocked cosine products, and its nearest neighbours vote with their similarity.
 
 Defined results: null and empty texts have no term and get the sample's share of good rows as score;
-null ids and repeated rows give one row each; null labels are no labels; without any labelled row every
+null ids and repeated rows give one row each; null labels are no labels; of a labelled id with several
+texts the one with the least terms in byte order is learnt; without any labelled row every
 score is 0.5; an empty table gives an empty result; columns that are not named are ignored.
 """
 
@@ -27,8 +28,7 @@ from corpusloom.llm.textbytes import BASE, VALUE, Texts, batches, power_table, s
 SAMPLE_ROWS = 4_000
 TERMS = 2_048
 DIMENSIONS = 64
-BLOCK = 512
-STRETCH = 2_000
+BLOCK = 256
 
 SHAPE = np.full(256, 0, np.uint8)
 SHAPE[97:123], SHAPE[65:91], SHAPE[48:58] = 1, 2, 3
@@ -59,7 +59,8 @@ def term_counts(t: Texts) -> np.ndarray:
         out[:, k * TERMS : (k + 1) * TERMS] = np.bincount(cells, minlength=t.n * TERMS).reshape(t.n, TERMS)
     again = np.flatnonzero((words[1:] == words[:-1]) & (t.doc[1:] == t.doc[:-1])) + 1
     out[:, -1] = np.bincount(t.doc[again], minlength=t.n)
-    return np.sqrt(out / np.maximum(t.n_words, 1).astype(np.float32)[:, None])
+    out /= np.maximum(t.n_words, 1).astype(np.float32)[:, None]
+    return np.sqrt(out, out=out)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -121,10 +122,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for own, t in batches(frames):
+        for own, t in batches(frames, rows=BLOCK):
             yield pd.DataFrame({"doc_id": own["doc_id"], "label": own["label"], "counts": [c.astype(np.float16).tobytes() for c in term_counts(t)]})
 
-    sample = texts.mapInPandas(counted, "doc_id long, label double, counts binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    sample = texts.mapInPandas(counted, "doc_id long, label double, counts binary").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("counts").alias("counts")).toPandas().sort_values("doc_id")
     counts = np.frombuffer(b"".join(sample["counts"]), np.float16).astype(np.float32).reshape(len(sample), 2 * TERMS)
     return fit(counts, sample["label"].to_numpy(), neighbours)
 
@@ -135,20 +136,13 @@ def scored_text(spark: SparkSession, model: Model):
 
     @F.pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        frames = batches(iter([pd.DataFrame({"text": texts.reset_index(drop=True)})]))
-        parts = [score_of(shared.value, t) for _, t in frames]
+        frames = batches(iter([pd.DataFrame({"text": texts.reset_index(drop=True)})]), rows=BLOCK)
+        parts = [shared.value.scores(term_counts(t)) for _, t in frames]
         return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
     return score
 
 
-def score_of(model: Model, t: Texts) -> np.ndarray:
-    """Scores of a batch's texts, in stretches that bound the size of the term matrix."""
-    if t.n <= STRETCH:
-        return model.scores(term_counts(t))
-    return np.concatenate([model.scores(term_counts(t.part(a, min(t.n, a + STRETCH)))) for a in range(0, t.n, STRETCH)])
-
-
 def classify(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs(doc_id, text) -> held_out, score and predicted; the model's size is bounded by its sample."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored_text(spark, model)(F.col("text")).alias("score"))

@@ -1,13 +1,17 @@
 """Secret scans by assignment-aware lexing.
 
 Texts are lexed for assignments as source and configuration files write them (name = "literal",
-"name": "literal", name: value, NAME => 'literal', export NAME=value, name: type = "literal"). Literals may be joined with +,
-and a name that was given a constant earlier stands for it later. A literal is scored by how sensitive
-its target's name is and by its own randomness. Three plain patterns stand beside it as a base.
+"name": "literal", name: value, NAME => 'literal', export NAME=value, name: type = "literal", triple
+quotes, <name>value</name>, key="name" value="literal", indented blocks below name: |). Literals may be
+joined with +, and a name that is given a constant anywhere in the text stands for it; a text is one
+scope, in which the latest constant before a use counts, else the last one after it. A literal is scored
+by how sensitive its target's name is and by its own randomness. Three plain patterns stand beside it as
+a base; a quoted literal of a sensitive name that a base span cuts short is a span as a whole.
 
 Defined results: null and empty texts have no span; null ids and repeated rows give one row each; an
 empty table gives an empty result; columns that are not named are ignored. Names, literals, constants
-and joined parts have no bound in length or number. Spans are code points, end exclusive; a span of the lexer that overlaps an earlier kept one is left out.
+and joined parts have no bound in length or number. Spans are code points, end exclusive; a span of the
+lexer that lies inside another span is left out, one that overlaps another stands beside it.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corpusloom.session import bound_batches
+
 KINDS = ("assign", "access", "hex", "literal")
 
 
@@ -43,23 +49,45 @@ HARMLESS = {"true", "false", "null", "none", "undefined", "changeme", "example",
 WORD = r"A-Za-z0-9_.\-"
 QUOTED = r"\"(?:[^\"\\\n]|\\.)+\"|'(?:[^'\\\n]|\\.)+'|`[^`\n]+`"
 #: Bare literals hold = at their end only, so that a = b = c assigns to a and to b.
-VALUE = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[+/{WORD}]++(?:=++(?![+/{WORD}]))?)")
-TARGET = re.compile(rf"(?<![{WORD}])(?P<run>[{WORD}]++)[\"'\]]{{0,2}}[\x20\t]*+(?::=|=>|[=:])[\x20\t]*+(?={QUOTED}|[+/{WORD}])")
+#: Triple quotes, over any number of lines.
+TRIPLE = r"\"{3}[^\"\\]*+(?:(?:\\.|\"(?!\"\"))[^\"\\]*+)*+\"{3}|'{3}[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+'{3}"
+VALUE = re.compile(rf"(?P<triple>(?s:{TRIPLE}))|(?P<quoted>{QUOTED})|(?P<bare>[+/{WORD}]++(?:=++(?![+/{WORD}]))?)")
+TARGET = re.compile(rf"(?<![{WORD}])(?P<run>[{WORD}]++)[\"'\]]{{0,2}}[\x20\t]*+(?::=|=>|[=:])[\x20\t]*+(?=\"\"\"|'''|{QUOTED}|[+/{WORD}])")
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 #: A name and the : after which a type may stand, and the parts of a type up to the = behind it.
 DECLARED = re.compile(rf"(?<![{WORD}])(?P<run>[{WORD}]++)[\"'\]]{{0,2}}[\x20\t]*+:(?![:=])[\x20\t]*+(?=[A-Za-z_\[(&*])")
 PART = re.compile(rf"[\x20\t]*+(?:(?P<word>(?:'?[{WORD}]|::)++)|(?P<open>[\[<(])|(?P<close>[\]>)])|(?P<mark>[|&*?!,])|(?P<assign>=(?![=>])[\x20\t]*+))")
 #: Names of types, which are no constants when they stand in a declaration.
 TYPES = {"str", "string", "bytes", "char", "text", "any", "object", "secretstr", "securestring"}
-UNFIT = re.compile(r"\s|\$\{|<|\{\{")
+#: Values that a template fills in later.
+UNFIT = re.compile(r"\$\{|\{\{|^<[^<>]*>$|^%[^%]*%$")
+#: <name>value</name>, key="name" value="literal", and indented lines below name: |
+ELEMENT = re.compile(rf"<(?P<run>[A-Za-z_][{WORD}]*+)(?:\s[^<>]*)?>\s*(?P<value>[^<>\s]+)\s*</(?P=run)>")
+PAIR = re.compile(rf"""(?i)\b(?:key|name)=["'](?P<run>[{WORD}]+)["']\s+value=["'](?P<value>[^"'<>\n]+)["']""")
+BLOCK = re.compile(rf"(?m)^(?P<indent>[\x20\t]*+)(?:-\x20)?(?P<run>[{WORD}]++):[\x20\t]*+[|>][+-]?[\x20\t]*+\n(?P<lines>(?:(?P=indent)[\x20\t]++\S[^\n]*+(?:\n|\Z))++)")
+#: Words that hold a sensitive part by chance, and last words of names that tell of a secret without holding it.
+CHANCE = re.compile("author(?!iz)|tokeniz|key(?:word|board|note|stone|frame)|monkey|turkey|secretar|basalt|cobalt")
+ABOUT = {"name", "names", "id", "ids", "url", "uri", "path", "file", "type", "field", "header", "length", "size", "count", "limit", "ttl", "expiry", "label", "format", "hint", "policy", "prefix", "version", "provider", "endpoint", "class"}
 
 
 def sensitivity(name: str) -> int:
     """0 to 3: the highest weight among the sensitive parts of a name, in any of its spellings."""
-    plain = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower().replace("-", "_").replace(".", "_")
+    plain = CHANCE.sub("", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower().replace("-", "_").replace(".", "_"))
+    if plain.rpartition("_")[2] in ABOUT:
+        return 0
     return max((w for part, w in SENSITIVE.items() if part in plain), default=0)
 
 
+def fit(value: str) -> bool:
+    """Whether a value can be a secret: no template, and with white space in it only as passwords have it."""
+    if UNFIT.search(value):
+        return False
+    words = value.split()
+    if len(words) < 2 and words == [value]:
+        return True
+    return len(words) <= 4 and re.search("[A-Z]", value) is not None and re.search("[A-Za-z][0-9]|[0-9][A-Za-z]", value) is not None
+
+
 def entropy(counts: Counter) -> float:
     n = counts.total()
     return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
@@ -96,7 +124,7 @@ class Literals:
             item = self.items[k]
             if isinstance(item, tuple):
                 value = self.text[slice(*item)]
-                self.counted[k] = None if UNFIT.search(value) else Counter(value)
+                self.counted[k] = Counter(value) if fit(value) else None
             elif missing := [i for i in item if i not in self.counted]:
                 waiting += missing
                 continue
@@ -148,17 +176,39 @@ def targets(text: str) -> list[tuple[int, str, bool]]:
     return sorted(out, key=lambda x: x[0])
 
 
-def lexed(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, directly, joined with + or through a constant."""
-    literals, known, spans = Literals(text), {}, []
+def marked_up(text: str) -> list[tuple[str, int, int]]:
+    """(name, start, end) of the values of elements, key and value pairs and indented blocks, a value for each line of a block."""
+    out = [(m["run"], *m.span("value")) for p in (ELEMENT, PAIR) for m in p.finditer(text)] if "<" in text or "value" in text else []
+    for m in BLOCK.finditer(text) if "|" in text or ">" in text else ():
+        out += [(m["run"], x.start(), x.end()) for x in re.compile(r"[^\n]*\S").finditer(text, *m.span("lines"))]
+    return [(name, b - len(text[a:b].lstrip()), b) for name, a, b in out]
+
+
+def lexed(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans of literals that reach a sensitive name, directly, joined with + or through a constant; and all quoted literals of sensitive names."""
+    literals, known, spans, quoted = Literals(text), {}, [], []
+    aliases, waiting = {}, []  # names given a name that is unknown so far
+
+    def judge(name: str, top: int) -> None:
+        if (counts := literals.counts(top)) is not None:
+            item = literals.items[top]
+            if score(name, counts, text[slice(*item)] if isinstance(item, tuple) else "") > 0:
+                spans.extend(literals.take(top))
+
+    for name, a, b in marked_up(text):
+        if sensitivity(name):
+            judge(name, literals.add((a, b)))
     for at, name, typed in targets(text):
         name = name.lstrip("0123456789.-")
         if not name:
             continue
         parts = []
         while v := VALUE.match(text, at):
-            if v["quoted"]:
-                parts.append(literals.add((v.start() + 1, v.end() - 1)))
+            if v["triple"] or v["quoted"]:
+                cut = 3 if v["triple"] else 1
+                parts.append(literals.add((v.start() + cut, v.end() - cut)))
+                if sensitivity(name):
+                    quoted.append((v.start() + cut, v.end() - cut))
             elif (found := known.get(v["bare"])) is not None:
                 parts.append(found)
             elif typed:
@@ -167,17 +217,24 @@ def lexed(text: str) -> list[tuple[int, int]]:
                 break
             else:
                 parts.append(literals.add(v.span()))
+                aliases[name] = v["bare"]
             at = v.end()
             if not (more := PLUS.match(text, at)):
                 break
             at = more.end()
         if parts:
             top = known[name] = parts[0] if len(parts) == 1 else literals.add(parts)
-            if sensitivity(name) and (counts := literals.counts(top)) is not None:
-                item = literals.items[top]
-                if score(name, counts, text[slice(*item)] if isinstance(item, tuple) else "") > 0:
-                    spans += literals.take(top)
-    return spans
+            if sensitivity(name):
+                judge(name, top)
+                if name in aliases:
+                    waiting.append((name, aliases[name]))
+    for name, other in waiting:
+        seen = {name}
+        while other not in seen and other in known:
+            seen.add(other)
+            judge(name, known[other])
+            other = aliases.get(other, other)
+    return spans, quoted
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -188,8 +245,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """base and the lexer's spans that overlap none before them."""
-    if "=" not in text and ":" not in text:
+    """base and the lexer's spans that lie in no other span."""
+    if "=" not in text and ":" not in text and "</" not in text:
         return base
     starts, ends = [], []  # of the base, overlapping spans made one
     for a, _, b in base:
@@ -198,10 +255,17 @@ def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         else:
             starts.append(a)
             ends.append(b)
+
+    def side(a: int, b: int) -> int:
+        """How a span lies to the base: 0 apart, 1 overlapping, 2 inside."""
+        k = bisect_left(starts, b) - 1
+        return 0 if k < 0 or ends[k] <= a else 2 if starts[k] <= a and b <= ends[k] else 1
+
+    found, quoted = lexed(text)
+    own = {(a, b) for a, b in found if b > a and side(a, b) < 2} | {(a, b) for a, b in quoted if side(a, b) == 1}
     out, upto = list(base), 0
-    for a, b in sorted(set(lexed(text))):
-        k = bisect_left(starts, b)
-        if b > a >= upto and (not k or ends[k - 1] <= a):
+    for a, b in sorted(own, key=lambda s: (s[0], -s[1])):
+        if b > upto:
             out.append((a, 3, b))
             upto = b
     return sorted(out)
@@ -214,6 +278,8 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> counts of the base patterns, the digest of the base spans, and all spans."""
 
+    bound_batches(docs.sparkSession)
+
     def scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []

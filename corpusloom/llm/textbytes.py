@@ -11,7 +11,7 @@ MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text looked at together; one document longer than this is a batch of its own.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -41,16 +41,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+#: Entries of a table that a worker keeps for its life; longer ones are made for each batch.
+KEPT_POWERS = 1 << 16
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def power_table(base: int, n: int) -> np.ndarray:
-    found = _POWERS.get(base)
-    if found is None or len(found) < n:
-        found = powers(base, max(n, 1 << 16))
-        if n <= 2 * BATCH_BYTES:
-            _POWERS[base] = found
-    return found[:n]
+    if n > KEPT_POWERS:
+        return powers(base, n)
+    if base not in _POWERS:
+        _POWERS[base] = powers(base, KEPT_POWERS)
+    return _POWERS[base][:n]
 
 
 class Texts:
@@ -71,15 +72,13 @@ class Texts:
         self.doc = np.searchsorted(self.bounds, self.starts, side="right") - 1
         self.n_words = np.bincount(self.doc, minlength=self.n)
 
-    def part(self, a: int, b: int) -> Texts:
-        """Texts a to b alone."""
-        return Texts([bytes(self.data[self.bounds[k] : self.bounds[k + 1] - 1]).decode("utf-8", "surrogatepass") for k in range(a, b)])
-
     def span_hash(self, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = FOLD) -> np.ndarray:
         """64-bit hashes of byte spans, after mapping bytes through table."""
         size = len(self.data) + 1
         sums = np.zeros(size, np.uint64)
-        np.cumsum(VALUE[table][self.data] * power_table(BASE, size - 1), out=sums[1:])
+        sums[1:] = VALUE[table][self.data]
+        sums[1:] *= power_table(BASE, size - 1)
+        np.cumsum(sums, out=sums)
         out = (sums[ends] - sums[starts]) * power_table(INVERSE, size)[starts]
         return scrambled(out + (ends - starts).astype(np.uint64))
 
@@ -104,11 +103,12 @@ def keyed(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return hashes ^ scrambled(doc.astype(np.uint64) + np.uint64(1))
 
 
-def batches(frames: Iterator[pd.DataFrame], text: str = "text") -> Iterator[tuple[pd.DataFrame, Texts]]:
-    """Frames cut so that each has about BATCH_BYTES characters, with their texts."""
+def batches(frames: Iterator[pd.DataFrame], text: str = "text", rows: int = 1 << 20) -> Iterator[tuple[pd.DataFrame, Texts]]:
+    """Frames cut so that each has about BATCH_BYTES characters and at most so many rows, with their texts."""
     for frame in frames:
         sizes = frame[text].str.len().fillna(0).to_numpy(np.int64)
-        part = np.cumsum(sizes) // BATCH_BYTES
-        for p in np.unique(part):
-            own = frame[part == p].reset_index(drop=True)
+        part = np.stack([np.cumsum(sizes) // BATCH_BYTES, np.arange(len(frame)) // rows])
+        cuts = [0, *(np.flatnonzero((part[:, 1:] != part[:, :-1]).any(axis=0)) + 1), len(frame)] if len(frame) else []
+        for a, b in zip(cuts, cuts[1:]):
+            own = frame.iloc[a:b].reset_index(drop=True)
             yield own, Texts([t if isinstance(t, str) else None for t in own[text]])

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import bound_batches
+
 MARK = "▁"
 #: Words whose counts a task remembers; it starts anew beyond that.
 REMEMBERED = 1_000_000
@@ -136,6 +138,8 @@ def default_model() -> str:
 def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096) -> DataFrame:
     """docs(doc_id, text) -> n_bytes (UTF-8), n_tokens and over_limit. model: path of the vocabulary on every machine."""
 
+    bound_batches(docs.sparkSession)
+
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(os.fspath(model or default_model()))
         for f in frames:

@@ -74,6 +74,19 @@ def test_components_are_those_of_all_pairs(spark, case):
     assert Counter(map(tuple, got)) == brute_force(rows)
 
 
+def test_ids_that_stand_for_several_texts(spark):
+    """Only texts link; a row's component is the least id among the rows that it reaches."""
+    one, two, three = ("a b c d e f g h i j k l m n o p", "q r s t u v w x y z a b c", "one two three four five six seven")
+    rows = [(5, one), (5, two), (5, two), (7, two), (3, three), (9, three), (9, one), (9, None), (9, ""), (2, "alone it is here now"), (2, "and so is this one too"), (2, "and so is this one too"), (None, one)]
+    got = near_duplicates(spark, table(spark, rows), Scratch(spark)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(
+        [(5, 12, 5), (5, 9, 5), (5, 9, 5), (7, 9, 5), (3, 3, 3), (9, 3, 3), (9, 12, 5), (9, 0, 9), (9, 0, 9), (2, 1, 2), (2, 2, 2), (2, 2, 2), (None, 12, None)]
+    )
+    kept = corpus_pipeline.STAGES[1][1](spark, table(spark, rows), "")
+    assert kept.columns == table(spark, rows).columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, one), (5, two), (3, three), (9, None), (9, ""), (2, "alone it is here now"), (2, "and so is this one too"), (None, one)])
+
+
 def test_no_documents(spark):
     assert near_duplicates(spark, table(spark, []), Scratch(spark)).count() == 0
 

@@ -153,6 +153,26 @@ def test_typed_declarations_pair_the_literal_with_the_name():
     assert time.time() - start < 20
 
 
+def test_nothing_of_a_literal_that_a_base_span_cuts_short_is_left(spark):
+    values = ["abc123!@#Def$99xyz", "S3cr3t-Pass word!9x", "Zk8#qPw2Lm5v rest of it", "q2Ww<e>r4Tt,zz9"]
+    rows = table(spark, [(k, f'{name} = "{v}" # end') for k, (name, v) in enumerate((n, v) for n in ("password", "db_password", "api_key") for v in values)])
+    masked = [r["masked"] for r in rows.withColumn("masked", redacted("text")).collect()]
+    assert len(masked) == 12
+    for m in masked:
+        assert m.endswith('" # end') and not any(part in m for v in values for part in re.split("[^A-Za-z0-9]", v) if len(part) > 2 and part != "end"), m
+
+
+def test_forms_in_which_files_assign():
+    secret = "Zk8#qPw2Lm5v"
+    for text in (
+        f'api_key = k\nk = "{secret}"', f'client_secret = a\na = b\nb = "{secret}"', f'private_key = """\n{secret}\n"""', f"signing_key = '''{secret}'''",
+        f"<password>{secret}</password>", f'<add key="ApiKey" value="{secret}"/>', f"db:\n  passphrase: |\n    {secret}\n  user: bob",
+    ):
+        assert any(secret in x for x in literals(text)), text
+    for text in ('secret_name = "my-service-account-name"', 'author: "Jane-Smith12"', 'tokenizer = "Piece-Model32k"', 'passphrase: "ask the team lead"', f'db:\n  title: |\n    {secret}\n', 'credential = "<your-Cred3ntial>"'):
+        assert literals(text) == [], text
+
+
 def test_redaction_masks_every_base_span(spark):
     rows = table(spark, ODD + SECRETS).withColumn("masked", redacted("text")).collect()
     for r in rows:
