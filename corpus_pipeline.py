@@ -2,59 +2,14 @@
 
 Quality classifier, near-duplicate join, secret scan, mixing and packing: each stage reads what its
 predecessor kept. The first four return the columns of documents; the last returns the packed pieces.
-Null ids, null texts, repeated rows and empty tables are handled as each operator says; further columns
-of documents are carried along.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from corpusloom.llm.mixing import mix, mixed_texts
-from corpusloom.llm.ngram_join import near_duplicates
-from corpusloom.llm.packing import pack
-from corpusloom.llm.quality_knn import scored_text, train
-from corpusloom.llm.secrets import redacted
-from corpusloom.session import Scratch, small
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    model = train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(scored_text(spark, model)(F.col("text")) >= 0.3)
-
-
-def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near duplicates; documents without an id stay."""
-    found = near_duplicates(spark, docs.select("doc_id", "text"), Scratch(spark))
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    gone = Scratch(spark).save(gone, "gone")
-    kept = docs.join(small(gone, gone.count()), "doc_id", "left_anti")
-    # rows that share an id are in one group as well
-    repeated = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    repeated = Scratch(spark).save(repeated, "repeated")
-    several = small(repeated, repeated.count())
-    once = kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(several, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
-
-
-def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by its kind in brackets; n_chars follows the text."""
-    masked = docs.withColumn("text", redacted("text"))
-    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each document and epoch; n_chars follows the text."""
-    taken = mixed_texts(spark, docs, mix(spark, docs, Scratch(spark)))
-    return taken.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their bins."""
-    return pack(spark, docs, Scratch(spark))
 
+from corpusloom.llm.stages import deduplicate, mask_secrets, mix_sources, pack_sequences, quality
+from corpusloom.session import Scratch
 
 STAGES = [("quality_classifier", quality), ("ngram_jaccard_join", deduplicate), ("secret_scan", mask_secrets), ("mixing", mix_sources), ("best_fit_packing", pack_sequences)]
 
@@ -69,4 +24,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.save(docs, name)
+            if k:
+                scratch.drop(STAGES[k - 1][0])
     return docs
