@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import word_count
-from corpusloom.session import Scratch, partitions
+from corpusloom.session import Scratch, partitions, running_sum, small
 
 WEIGHTS = (3, 1, 2)
 ROUNDS = 24
@@ -34,7 +34,7 @@ class Mix:
 
 def source_key(source: Column) -> Column:
     """A non-null key: 'v' and the name, or '' for null."""
-    return F.coalesce(F.concat(F.lit("v"), source), F.lit(""))
+    return F.coalesce(F.concat(F.lit("v"), source.cast("string")), F.lit(""))
 
 
 def targets(totals: DataFrame, share: float, most: float, weights: tuple = WEIGHTS) -> DataFrame:
@@ -81,21 +81,23 @@ def mix(
     weights: tuple = WEIGHTS,
     block_words: int = 1024,
     shard_blocks: int = 512,
-    bucket_rows: int = 16384,
+    bucket_rows: int = 2048,
     seed: int = 17,
 ) -> Mix:
     """Plan a mix whose source totals are the rounded targets.
 
-    A source's rows lie in hash buckets of about bucket_rows rows; offsets are running sums inside a
-    bucket plus the bucket's start, so that no task holds a whole source.
+    Rows alike in id, text and source are counted first and lie one behind the other. A source has a hash
+    bucket for each bucket_rows of them; offsets are running sums inside a bucket plus the bucket's start,
+    so that no task holds a whole source.
     """
     size, B = block_words, block_words
     rows = docs.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("skey"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("thash"))
-    rows = scratch.save(rows, "sizes")
-    buckets = -(-max(1, rows.count()) // bucket_rows)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "thash"), F.lit(buckets)))
-    held = scratch.save(rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
-    sources = targets(held.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), share, most, weights)
+    rows = scratch.save(rows.groupBy("doc_id", "skey", "thash", "size").agg(F.count("*").alias("copies")), "sizes")
+    totals = scratch.save(rows.groupBy("skey").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.ceil(F.count("*") / bucket_rows).alias("n_buckets")), "totals")
+    n_sources = totals.count()
+    rows = rows.join(small(totals.select("skey", "n_buckets"), n_sources), "skey").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "thash"), F.col("n_buckets"))).drop("n_buckets")
+    held = scratch.save(rows.groupBy("skey", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("bucket_size")), "buckets")
+    sources = targets(totals.drop("n_buckets"), share, most, weights)
     want = F.round("target").cast("long")
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / size)).cast("long")
     sources = sources.withColumn("n", n).withColumn("last", F.col("source_size") - (F.col("n") - 1) * B)
@@ -106,14 +108,13 @@ def mix(
     sources = sources.withColumn("quota", (F.col("epochs") * F.col("n") + F.when(F.col("short_at") >= whole, whole).otherwise(late)).cast("long"))
     sources = scratch.save(sources.withColumn("quota", F.when(F.col("source_size") > 0, F.col("quota")).otherwise(0)), "sources")
 
-    start = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    held = held.withColumn("start", start).drop("bucket_size")
+    held = running_sum(held, "bucket_size", "bucket", "skey").select("skey", "bucket", F.col("upto").alias("start"))
     inside = Window.partitionBy("skey", "bucket").orderBy("doc_id", "thash").rowsBetween(Window.unboundedPreceding, -1)
-    # repeated rows without words share their offset, so each row has a number too
-    nth = F.row_number().over(Window.partitionBy("skey", "bucket").orderBy("doc_id", "thash"))
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("nth", F.struct("bucket", nth.alias("n")))
-    rows = rows.join(held, ["skey", "bucket"]).join(sources.select("skey", "sid", "source_size", "target"), "skey")
-    rows = rows.withColumn("off", F.col("start") + F.col("inside")).select("doc_id", "thash", "sid", "size", "source_size", "target", "off", "nth")
+    rows = rows.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+    rows = rows.join(held, ["skey", "bucket"]).join(small(sources.select("skey", "sid", "source_size", "target"), n_sources), "skey")
+    rows = rows.withColumn("lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 1000))))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("lot") * 1000, F.least(F.col("copies"), (F.col("lot") + 1) * 1000) - 1)))
+    rows = rows.withColumn("off", F.col("start") + F.col("inside") + F.col("copy") * F.col("size")).select("doc_id", "skey", "thash", "copy", "sid", "size", "source_size", "target", "off")
 
     slots = draw(spark, sources, scratch, shard_blocks, seed)
     epoch, at = F.floor(F.col("g") / F.col("n")), F.col("g") % F.col("n")
@@ -142,12 +143,11 @@ def draw(spark: SparkSession, sources: DataFrame, scratch: Scratch, shard_blocks
     points = points.withColumn("u", F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_blocks), F.lit(total) - F.col("shard") * shard_blocks) - 1)))
     points = points.withColumn("z", F.pmod(F.xxhash64(F.lit(seed), "shard", "u"), F.lit(max(1, total)))).withColumn("cell", F.floor(F.col("z") / shard_blocks))
     drawn = points.join(axis, "cell").where("z >= lo and z < hi").groupBy("shard", "sid").agg(F.count("*").alias("cnt"))
-    begin = F.coalesce(F.sum("cnt").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    drawn = drawn.withColumn("g0", begin).join(sources.select("sid", "quota"), "sid")
+    drawn = running_sum(scratch.save(drawn, "counts"), "cnt", "shard", "sid").withColumnRenamed("upto", "g0").join(sources.select("sid", "quota"), "sid")
     drawn = scratch.save(drawn.withColumn("kept", F.greatest(F.lit(0), F.least("cnt", F.col("quota") - F.col("g0")))), "drawn")
 
-    holes = drawn.groupBy("shard").agg(F.sum(F.col("cnt") - F.col("kept")).alias("free")).where("free > 0")
-    holes = holes.withColumn("lo", F.coalesce(F.sum("free").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("hi", F.col("lo") + F.col("free"))
+    holes = scratch.save(drawn.groupBy("shard").agg(F.sum(F.col("cnt") - F.col("kept")).alias("free")).where("free > 0"), "holes")
+    holes = running_sum(holes, "free", "shard").withColumnRenamed("upto", "lo").withColumn("hi", F.col("lo") + F.col("free"))
     got = drawn.groupBy("sid").agg(F.sum("kept").alias("got"))
     lacks = sources.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).withColumn("lack", F.col("quota") - F.col("got")).where("lack > 0")
     lacks = lacks.select("sid", "got", "lack").withColumn("from", F.coalesce(F.sum("lack").over(upto), F.lit(0))).withColumn("to", F.col("from") + F.col("lack"))
@@ -176,23 +176,42 @@ def taken(m: Mix, block_words: int = 1024) -> DataFrame:
     per_block = m.slots.join(m.sources.select("sid", "epochs"), "sid").groupBy("sid", "block").agg(F.count_if(full).alias("times"), F.max(F.when(~full, F.col("words"))).alias("part"))
     joined = pieces(m, block_words).join(per_block, ["sid", "block"], "left")
     words = F.coalesce("times", F.lit(0)) * (F.col("hi") - F.col("lo")) + F.greatest(F.lit(0), F.least("hi", F.coalesce("part", F.lit(0))) - F.col("lo"))
-    return joined.withColumn("words", words).groupBy("doc_id", "sid", "off", "nth", "thash", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"))
+    return joined.withColumn("words", words).groupBy("doc_id", "sid", "thash", "copy", "size", "source_size", "target").agg(F.sum("words").cast("long").alias("taken"))
 
 
-def mixed_texts(spark: SparkSession, docs: DataFrame, m: Mix, block_words: int = 1024, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+KEYS = ["m_id", "m_hash", "m_source"]
+
+
+def numbered(spark: SparkSession, marked: DataFrame, m: Mix, lots: int = 64) -> DataFrame:
+    """marked(KEYS, m_row) with m_copy, the number of a row among those alike in id, text and source.
+
+    Few rows have others like them; those are dealt to lots and numbered lot by lot, so that even a third
+    of all rows, alike, are not sorted in one task.
+    """
+    scratch = Scratch(spark)
+    again = scratch.save(m.rows.where("copy = 1").select(source_key(F.col("doc_id")).alias("m_id"), F.col("thash").alias("m_hash"), F.col("skey").alias("m_source")), "again")
+    n = again.count()
+    if not n:
+        return marked.withColumn("m_copy", F.lit(0))
+    alike = scratch.save(marked.join(small(again, n), KEYS, "left_semi").withColumn("m_lot", F.pmod(F.monotonically_increasing_id(), F.lit(lots))), "alike")
+    before = running_sum(scratch.save(alike.groupBy(*KEYS, "m_lot").count(), "lots"), "count", "m_lot", *KEYS).drop("count")
+    nth = F.row_number().over(Window.partitionBy(*KEYS, "m_lot").orderBy("m_lot"))
+    alike = alike.withColumn("m_copy", nth - 1).join(before, [*KEYS, "m_lot"]).select(*marked.columns, (F.col("m_copy") + F.col("upto")).alias("m_copy"))
+    return marked.join(small(again, n), KEYS, "left_anti").withColumn("m_copy", F.lit(0)).unionByName(alike)
+
+
+def mixed_texts(spark: SparkSession, docs: DataFrame, m: Mix, block_words: int = 1024, id_column: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with the mix applied: one row per document and epoch, its text the words taken in that epoch.
 
     Whole documents keep their text byte for byte; others keep the taken words with the white space before them.
     """
     ranges = pieces(m, block_words).where("hi > lo").join(m.slots.where("words > 0").select("sid", "block", "epoch", "words"), ["sid", "block"])
     ranges = ranges.withColumn("len", F.least("hi", "words") - F.col("lo")).where("len > 0")
-    ranges = ranges.groupBy("doc_id", "thash", "off", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "len"))).alias("parts"), F.sum("len").alias("words"))
-    ranges = ranges.groupBy("doc_id", "thash", "off", "size").agg(F.collect_list(F.struct("epoch", "words", "parts")).alias("takes"))
-    nth = Window.partitionBy("m_id", "m_hash")
-    ranges = ranges.select(F.col("doc_id").alias("m_id"), F.col("thash").alias("m_hash"), "off", "size", "takes").withColumn("m_nth", F.row_number().over(nth.orderBy("off")))
-    marked = docs.select(F.col(id_column).alias("m_id"), F.xxhash64(F.col(text)).alias("m_hash"), F.struct(*docs.columns).alias("m_row")).withColumn("m_nth", F.row_number().over(nth.orderBy("m_hash")))
-    same = (F.col("l.m_id").eqNullSafe(F.col("r.m_id"))) & (F.col("l.m_hash") == F.col("r.m_hash")) & (F.col("l.m_nth") == F.col("r.m_nth"))
-    out = marked.alias("l").join(ranges.alias("r"), same).select("m_row", "size", F.explode("takes").alias("take"))
+    ranges = ranges.select(source_key(F.col("doc_id")).alias("m_id"), F.col("thash").alias("m_hash"), F.col("skey").alias("m_source"), F.col("copy").alias("m_copy"), "size", "epoch", "begin", "len")
+    ranges = ranges.groupBy(*KEYS, "m_copy", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "len"))).alias("parts"), F.sum("len").alias("words"))
+    ranges = ranges.groupBy(*KEYS, "m_copy", "size").agg(F.collect_list(F.struct("epoch", "words", "parts")).alias("takes"))
+    marked = docs.select(source_key(F.col(id_column)).alias("m_id"), F.xxhash64(F.col(text)).alias("m_hash"), source_key(F.col(source)).alias("m_source"), F.struct(*docs.columns).alias("m_row"))
+    out = numbered(spark, marked, m).join(ranges, [*KEYS, "m_copy"]).select("m_row", "size", F.explode("takes").alias("take"))
     words = F.regexp_extract_all(F.col(f"m_row.{text}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     part = F.array_join(F.flatten(F.transform("take.parts", lambda p: F.slice(words, p["begin"].cast("int") + 1, p["len"].cast("int")))), "")
     chosen = F.when(F.col("take.words") == F.col("size"), F.col(f"m_row.{text}")).otherwise(part)

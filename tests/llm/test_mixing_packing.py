@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from corpusloom.llm.mixing import mix, mixed_texts, permuted, taken
-from corpusloom.llm.packing import CAPACITIES, best_fit, best_length, pack
+from corpusloom.llm.packing import CAPACITIES, best_fit, pack
 from corpusloom.session import Scratch
 from pyspark.sql import functions as F
 from tests.llm.helpers import ODD, parquet, table, words
@@ -52,6 +52,21 @@ def test_mix(spark, case):
     assert sum(len(words(r["text"])) for r in texts.collect()) == sum(r["taken"] for r in got)
 
 
+def test_repeated_rows_and_their_texts(spark):
+    """Copies count one by one; each source takes its target of them, and the texts hold what is taken."""
+    text = " ".join(f"w{k}" for k in range(700))
+    docs = table(spark, [(1, text, "en", "a")] * 150 + [(1, text, "en", "b")] * 40 + [(1, text + " more", "en", "a"), (None, text, "en", "a"), (None, text, "en", "a")])
+    m = mix(spark, docs, Scratch(spark), bucket_rows=1)
+    got = taken(m).collect()
+    assert Counter(r["size"] for r in got) == {700: 192, 701: 1}
+    texts = mixed_texts(spark, docs, m).collect()
+    assert sum(len(words(r["text"])) for r in texts) == sum(r["taken"] for r in got) == pytest.approx(1.5 * sum(r["size"] for r in got), abs=1)
+    by = Counter()
+    for r in texts:
+        by[r["source"]] += len(words(r["text"]))
+    assert by == {r["source_size"] == 40 * 700 and "b" or "a": round(r["target"]) for r in got}
+
+
 def test_repeated_rows_without_words_stay_apart(spark):
     docs = table(spark, [*ODD, (2, "", None, "a"), (9, None, "en", "a"), (9, None, "en", "a"), (None, "  ", "en", "b"), (None, "  ", "en", "b")])
     got = taken(mix(spark, docs, Scratch(spark))).select("doc_id", "size").collect()
@@ -65,6 +80,18 @@ def test_permutation_and_its_inverse(spark):
         assert sorted(r["y"] for r in rows) == list(range(n)) and all(r["z"] == r["id"] for r in rows)
 
 
+def cheapest_length(first, rest, capacities, bin_cost):
+    """The length whose bin, filled greedily with the longest piece that fits, again and again, costs least per word."""
+    costs = []
+    for capacity in (c for c in sorted(capacities) if c >= first):
+        held, left = first, sorted(rest, reverse=True)
+        for x in left:
+            if held + x <= capacity and x <= first:
+                held += x
+        costs.append(((min(c for c in capacities if c >= held) + bin_cost) / held, capacity))
+    return min(costs)[1]
+
+
 def slow_best_fit(lengths, capacities):
     """The same choices by looking at every open bin."""
     bins, where = [], []
@@ -76,8 +103,7 @@ def slow_best_fit(lengths, capacities):
             where.append({id(b) for b in chosen})
             b = max(chosen, key=lambda b: b["at"])
         else:
-            left = Counter(lengths[i + 1 :])
-            b = {"room": best_length(x, sorted(set(lengths)), left, capacities, 32), "no": len(bins), "in": 0}
+            b = {"room": cheapest_length(x, lengths[i + 1 :], capacities, 32), "no": len(bins), "in": 0}
             bins.append(b)
             where.append({id(b)})
         b["room"], b["in"], b["at"] = b["room"] - x, b["in"] + x, i
