@@ -1,10 +1,18 @@
-"""Tables of the entity-passage graph, from triples (chunk, s, p, o)."""
+"""Tables of the entity-passage graph, from triples (chunk, s, p, o).
+
+Nulls never stand in triples (valid_triples drops them); repeated triples of a chunk count each; empty
+tables give empty results.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.extraction import long_enough
+from corpusloom.functions.scores import dot, mean_vector, truncated_min_max
+from corpusloom.operators.knn import nearest
+
 
 def mentions(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("s", "o")).alias("entity"), "chunk").distinct()
@@ -14,8 +22,13 @@ def facts(triples: DataFrame) -> DataFrame:
     return triples.select("s", "p", "o").distinct()
 
 
-def fact_edges(triples: DataFrame) -> DataFrame:
-    """Co-occurrence counts of both directions, without self edges."""
+def fact_documents(triples: DataFrame) -> DataFrame:
+    return triples.select("s", "p", "o", "chunk").distinct()
+
+
+def fact_edges(triples: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Co-occurrence counts of both directions, without self edges; chunks in known(chunk) have been counted before."""
+    triples = triples if known is None else triples.join(known, "chunk", "left_anti")
     both = triples.select(F.explode(F.array(F.struct(F.col("s").alias("src"), F.col("o").alias("dst")), F.struct(F.col("o").alias("src"), F.col("s").alias("dst")))).alias("e")).select("e.*")
     return both.where("src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
@@ -31,18 +44,64 @@ def merged_undirected(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min_by("weight", "src").alias("weight"))
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Undirected edges (a, b, weight) as (src, dst, weight) of both directions."""
+    return edges.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))).alias("e")).select("e.*").distinct()
+
+
 def self_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A loop of weight 0 for each node that has none."""
     own = edges.where("src = dst").select(F.col("src").alias("node"))
     return nodes.join(own, "node", "left_anti").select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight"))
 
 
+def node_kinds(names: DataFrame, chunks: DataFrame) -> DataFrame:
+    """names(node) with kind: passage for chunks(chunk), entity else."""
+    known = chunks.select(F.col("chunk").alias("node"), F.lit("passage").alias("kind")).distinct()
+    return names.join(known, "node", "left").select("node", F.coalesce("kind", F.lit("entity")).alias("kind"))
+
+
+def edge_kinds(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with kind: loop, passage (an end is a passage), else entity; edges with an end beyond nodes(node, kind) go."""
+    e = edges.join(nodes.select(F.col("node").alias("src"), F.col("kind").alias("_a")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("kind").alias("_b")), "dst")
+    kind = F.when(F.col("src") == F.col("dst"), "loop").when((F.col("_a") == "passage") | (F.col("_b") == "passage"), "passage").otherwise("entity")
+    return e.select(*edges.columns, kind.alias("kind"))
+
+
+def prior_norm(edges: DataFrame, **how) -> DataFrame:
+    """edges(kind, weight, ...) with prior_norm: truncated min-max of the weights of entity edges, 0 on all others."""
+    normed = truncated_min_max(edges.where("kind = 'entity'"), "weight", to="prior_norm", **how)
+    return normed.unionByName(edges.where("kind != 'entity'").withColumn("prior_norm", F.lit(0.0)))
+
+
 def diversity(mentioned: DataFrame, vectors: DataFrame) -> DataFrame:
     """Per entity mean |x|^2 - |mean x|^2 over its passages; 0 with fewer than two."""
-    cells = mentioned.join(vectors, "chunk").select("entity", "chunk", F.posexplode("v").alias("dim", "x"))
-    dims = cells.groupBy("entity", "dim").agg(F.avg(F.col("x") * F.col("x")).alias("sq"), F.avg("x").alias("mean"), F.count("*").alias("n"))
-    spread = F.sum(F.col("sq") - F.col("mean") * F.col("mean"))
-    return dims.groupBy("entity").agg(F.when(F.max("n") < 2, 0.0).otherwise(spread).alias("diversity"))
+    rows = mentioned.join(vectors.select("chunk", "v", dot(F.col("v"), F.col("v")).alias("sq")), "chunk")
+    sums = rows.groupBy("entity").agg(F.avg("sq").alias("sq"), mean_vector(F.col("v")).alias("mean"), F.count("*").alias("n"))
+    return sums.select("entity", F.when(F.col("n") < 2, 0.0).otherwise(F.col("sq") - dot(F.col("mean"), F.col("mean"))).alias("diversity"))
+
+
+def diversity_norm(nodes: DataFrame, spread: DataFrame, **how) -> DataFrame:
+    """nodes(node, kind) with diversity and norm: entities that no passage mentions have diversity 0, passages the norm 0.5."""
+    entities = nodes.where("kind = 'entity'").join(spread.withColumnRenamed("entity", "node"), "node", "left").withColumn("diversity", F.coalesce("diversity", F.lit(0.0)))
+    passages = nodes.where("kind = 'passage'").withColumns({"diversity": F.lit(0.0), "norm": F.lit(0.5)})
+    return truncated_min_max(entities, "diversity", **how).select("node", "kind", "diversity", "norm").unionByName(passages)
+
+
+def synonyms(entities: DataFrame, k: int = 2047, threshold: float = 0.8, most: int = 101) -> DataFrame:
+    """entities(entity, v) -> (src, dst, weight): cosine neighbours at the threshold or above, self among the k but not kept.
+
+    Entities of two letters or fewer look for none; blank ones are never found. A source keeps most of them.
+    """
+    near = nearest(entities.where(long_enough(F.col("entity"))).select(F.col("entity").alias("query"), "v"), entities.withColumnRenamed("entity", "item"), k, unit_length=True)
+    kept = near.where((F.col("score") >= threshold) & (F.col("query") != F.col("item")) & (F.trim("item") != ""))
+    nth = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
+    return kept.withColumn("_nth", nth).where(F.col("_nth") <= most).select(F.col("query").alias("src"), F.col("item").alias("dst"), F.col("score").alias("weight"))
+
+
+def overridden(edges: DataFrame, by: DataFrame) -> DataFrame:
+    """edges with the weights of by(src, dst, weight) in their place, where it has the ordered pair, and its other pairs added."""
+    return edges.join(by, ["src", "dst"], "left_anti").unionByName(by)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -51,7 +110,26 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def appended(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored edges and the new ones whose ends, in either order, are not joined yet; stored weights stay."""
-    key = lambda df: df.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight")
-    fresh = key(new).where("a != b").join(key(stored).select("a", "b"), ["a", "b"], "left_anti").dropDuplicates(["a", "b"])
-    return key(stored).unionByName(fresh)
+    """Stored edges and the new ones whose ends, in either order, are not joined yet; stored weights stay.
+
+    Of several new edges of one pair the first counts: by ord, where new has it, else the orientation first in
+    name order, then the least weight.
+    """
+    key = lambda df, *more: df.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight", *more)
+    order = F.struct("ord", "src", "weight") if "ord" in new.columns else F.struct("src", "weight")
+    fresh = key(new, order.alias("_at")).where("a != b").join(key(stored).select("a", "b"), ["a", "b"], "left_anti")
+    return key(stored).unionByName(fresh.groupBy("a", "b").agg(F.min_by("weight", "_at").alias("weight")))
+
+
+def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes(node, ...) and edges(src, dst, ...) without gone(node)."""
+    gone = gone.select("node").distinct()
+    edges = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    return nodes.join(gone, "node", "left_anti"), edges
+
+
+def graph_info(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes of both kinds, and edges of each kind (fact, passage, synonym, loop)."""
+    counts = nodes.agg(F.count_if(F.col("kind") == "entity").alias("entities"), F.count_if(F.col("kind") == "passage").alias("passages"))
+    of = lambda k: edges.agg(F.count_if(F.col("kind") == k)).scalar()
+    return counts.withColumns({"fact_edges": of("fact"), "passage_edges": of("passage"), "synonym_edges": of("synonym")})

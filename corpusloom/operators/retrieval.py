@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.scores import dot, min_max, truncated_min_max
+from corpusloom.functions.scores import min_max, truncated_min_max
+from corpusloom.operators.knn import products
 from corpusloom.session import Scratch
 
 
-def scored(queries: DataFrame, items: DataFrame, key: str) -> DataFrame:
-    """queries(query, qv) x items(key, v) -> raw products; the stated query set meets all items."""
-    return items.join(F.broadcast(queries)).select("query", key, dot(F.col("qv"), F.col("v")).alias("raw"))
+def scored(queries: DataFrame, items: DataFrame, key: str, *carried: str) -> DataFrame:
+    """queries(query, qv) x items(key, v) -> raw products; the stated query set meets all items, in blocks."""
+    raw = products(queries.select("query", F.col("qv").alias("v")), items.select(F.col(key).alias("item"), "v"))
+    raw = raw.select("query", F.col("item").alias(key), F.col("score").alias("raw"))
+    return raw.join(items.select(key, *carried), key) if carried else raw
 
 
 def ranked(scores: DataFrame, by: str, key: str, k: int) -> DataFrame:
@@ -19,9 +22,14 @@ def ranked(scores: DataFrame, by: str, key: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def relevance(mentioned: DataFrame, passages: DataFrame) -> DataFrame:
-    """Per query and entity the largest raw passage score."""
-    return mentioned.join(passages, "chunk").groupBy("query", "entity").agg(F.max("raw").alias("relevance"))
+def relevance(mentioned: DataFrame, passages: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Per query and entity the largest raw passage score; 0 for those of entities(entity) that no passage mentions."""
+    found = mentioned.join(passages, "chunk").groupBy("query", "entity").agg(F.max("raw").alias("relevance"))
+    if entities is None:
+        return found
+    lone = entities.select("entity").join(mentioned, "entity", "left_anti")
+    asked = passages.agg(F.collect_set("query")).scalar()
+    return found.unionByName(lone.select(F.explode(asked).alias("query"), "entity", F.lit(0.0).alias("relevance")))
 
 
 def phrase_weights(picked: DataFrame, mentioned: DataFrame) -> DataFrame:
@@ -31,50 +39,103 @@ def phrase_weights(picked: DataFrame, mentioned: DataFrame) -> DataFrame:
     return ends.join(counts, "entity").groupBy("query", "entity").agg(F.avg(F.col("score") / F.col("chunks")).alias("weight"))
 
 
-def directed_weights(edges: DataFrame, div: DataFrame, rel: DataFrame, down: float = 0.9, up: float = 0.1, floor: float = 1e-6) -> DataFrame:
-    """Entity edges (src, dst) per query: scores shared out within the downward and the upward budget of each source.
+def seeds(weights: DataFrame, nodes: DataFrame, k: int | None) -> DataFrame:
+    """weights(query, entity, weight) of entities among nodes(node): the k heaviest of each query, all without k."""
+    known = weights.join(nodes.select(F.col("node").alias("entity")), "entity", "left_semi")
+    return ranked(known.withColumn("_by", F.round("weight", 9)), "_by", "entity", k).drop("_by", "rank") if k else known
+
+
+def edge_score(rel: Column, delta: Column, prior: Column | None = None, base: float = 0.0, by_rel: float = 1.0, by_prior: float = 1.0, by_div: float = 1.0, floor: float = 1e-6) -> Column:
+    score = F.lit(base) + by_rel * rel - by_div * F.abs(delta)
+    return F.greatest(F.lit(floor), score if prior is None else score + by_prior * prior)
+
+
+def directed_weights(edges: DataFrame, div: DataFrame, rel: DataFrame, down: float = 0.9, up: float = 0.1, loops: bool = True, directions: bool = True, prior: bool = False, **terms: float) -> DataFrame:
+    """Entity edges (src, dst[, prior_norm]) per query: scores shared out within the downward and the upward budget of each source.
 
     A source without upward edges gives its whole budget down; one without downward edges keeps the
-    downward budget on itself.
+    downward budget on itself, or, without loops, gives its whole budget up. Without directions the weights
+    are the scores. Entities that rel lacks have relevance 0.
     """
     e = edges.join(div.select(F.col("entity").alias("src"), F.col("norm").alias("du")), "src").join(div.select(F.col("entity").alias("dst"), F.col("norm").alias("dv")), "dst")
     e = e.join(rel.select("query", F.col("entity").alias("dst"), F.col("norm").alias("rv")), "dst")
     e = e.withColumn("delta", F.round(F.col("dv") - F.col("du"), 9)).withColumn("up", F.col("delta") > 0)
-    e = e.withColumn("score", F.greatest(F.lit(floor), F.col("rv") - F.abs("delta")))
-    side, source = Window.partitionBy("query", "src", "up"), Window.partitionBy("query", "src")
-    e = e.withColumn("total", F.sum("score").over(side)).withColumn("ups", F.count_if("up").over(source)).withColumn("downs", F.count_if(~F.col("up")).over(source))
-    budget = F.when(F.col("up"), F.lit(up)).when(F.col("ups") == 0, F.lit(down + up)).otherwise(F.lit(down))
-    out = e.select("query", "src", "dst", (budget * F.col("score") / F.col("total")).alias("weight"))
-    loops = e.where("downs = 0").select("query", "src", F.col("src").alias("dst"), F.lit(down).alias("weight")).distinct()
-    return out.unionByName(loops)
-
-
-def pagerank(spark: SparkSession, edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: int = 20, keyed: bool = False, cut: int = 5) -> DataFrame:
-    """edges([query,] src, dst, weight), reset(query, node, r) -> (query, node, rank) after a fixed number of rounds.
-
-    Every node needs an edge out. Ranks are written every few rounds, which cuts the plan and its lineage.
+    e = e.withColumn("score", edge_score(F.col("rv"), F.col("delta"), F.col("prior_norm") if prior else None, **terms))
+    if not directions:
+        return e.select("query", "src", "dst", F.col("score").alias("weight"))
+    total = lambda want: F.sum(F.when(F.col("up") == want, F.col("score")))
+    sources = e.groupBy("query", "src").agg(total(True).alias("t_up"), total(False).alias("t_down"))
+    e = e.join(sources, ["query", "src"])
+    to_up = F.when(F.col("t_down").isNull() & F.lit(not loops), F.lit(down + up)).otherwise(F.lit(up))
+    to_down = F.when(F.col("t_up").isNull(), F.lit(down + up)).otherwise(F.lit(down))
+    weight = F.when(F.col("up"), to_up * F.col("score") / F.col("t_up")).otherwise(to_down * F.col("score") / F.col("t_down"))
+    out = e.select("query", "src", "dst", weight.alias("weight"))
+    own = sources.where("t_down is null").select("query", "src", F.col("src").alias("dst"), F.lit(down).alias("weight"))
+    return out.unionByName(own) if loops else out
+
+
+def sane(r: Column) -> Column:
+    """A reset value; NaN, null and negative ones are 0."""
+    return F.when(F.isnan(r) | r.isNull() | (r < 0), 0.0).otherwise(r)
+
+
+def pagerank(spark: SparkSession, edges: DataFrame, reset: DataFrame, damping: float = 0.5, rounds: int = 20, cut: int = 5, keyed: DataFrame | None = None) -> DataFrame:
+    """edges(src, dst, weight), reset(query, node, r) -> (query, node, rank) after a fixed number of rounds.
+
+    keyed(query, src, dst, weight) are further edges that hold for one query each. What reaches a node
+    without an edge out goes back to the query's reset. With damping 0.5 the error at least halves each
+    round. Ranks are written every few rounds, which cuts the plan and its lineage.
     """
     scratch = Scratch(spark)
-    on = ["query", "src"] if keyed else ["src"]
-    total = Window.partitionBy(*on)
-    shares = scratch.save(edges.where("weight > 0").select(*on, "dst", (F.col("weight") / F.sum("weight").over(total)).alias("share")), "shares")
-    reset = scratch.save(reset.where("r > 0").select("query", "node", (F.col("r") / F.sum("r").over(Window.partitionBy("query"))).alias("r")), "reset")
+    good = lambda df: df.where("weight > 0 and not isnan(weight)")
+    edges = scratch.save(good(edges).select("src", "dst", "weight"), "edges")
+    common = edges.groupBy("src").agg(F.sum("weight").alias("common"))
+    if keyed is None:
+        shares = scratch.save(edges.join(common, "src").select("src", "dst", (F.col("weight") / F.col("common")).alias("share")), "shares")
+        heads = common.select("src")
+    else:
+        # a query's own edges change the total of their sources for that query only
+        keyed = scratch.save(good(keyed).select("query", "src", "dst", "weight"), "keyed")
+        sums = keyed.groupBy("query", "src").agg(F.sum("weight").alias("own")).join(common, "src", "left").withColumn("total", F.col("own") + F.coalesce("common", F.lit(0.0)))
+        sums = scratch.save(sums.select("query", "src", "total"), "totals")
+        edges = scratch.save(edges.join(common, "src"), "common")
+        own = scratch.save(keyed.join(sums, ["query", "src"]).select("query", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "own-shares")
+        heads = edges.select("src").unionByName(sums.select("src")).distinct()
+    r = F.col("r") / F.col("_all")
+    reset = reset.select("query", "node", sane(F.col("r")).alias("r")).where("r > 0").groupBy("query", "node").agg(F.sum("r").alias("r"))
+    reset = scratch.save(reset.join(reset.groupBy("query").agg(F.sum("r").alias("_all")), "query").select("query", "node", r.alias("r")), "reset")
+    ends = edges.select(F.col("dst").alias("src")).unionByName(reset.select(F.col("node").alias("src")))
+    ends = ends if keyed is None else ends.unionByName(keyed.select(F.col("dst").alias("src")))
+    leaks = not ends.join(heads, "src", "left_anti").isEmpty()
+    if keyed is not None:
+        # a source with own edges may lack them for other queries; its mass must not be lost there
+        leaks = leaks or not sums.join(edges, "src", "left_anti").isEmpty()
     rank = reset.withColumnRenamed("r", "rank")
     for turn in range(1, rounds + 1):
-        sent = rank.withColumnRenamed("node", "src").join(shares, on).select("query", F.col("dst").alias("node"), (damping * F.col("rank") * F.col("share")).alias("part"))
+        at = rank.withColumnRenamed("node", "src")
+        if keyed is None:
+            sent = at.join(shares, "src").select("query", "dst", (F.col("rank") * F.col("share")).alias("part"))
+        else:
+            share = F.col("weight") / F.coalesce("total", "common")
+            sent = at.join(sums, ["query", "src"], "left").join(edges, "src").select("query", "dst", (F.col("rank") * share).alias("part"))
+            sent = sent.unionByName(at.join(own, ["query", "src"]).select("query", "dst", (F.col("rank") * F.col("share")).alias("part")))
+        sent = sent.groupBy("query", F.col("dst").alias("node")).agg((damping * F.sum("part")).alias("part"))
         home = reset.select("query", "node", ((1 - damping) * F.col("r")).alias("part"))
+        if leaks:
+            sent = scratch.save(sent, f"sent-{turn}")
+            kept = sent.groupBy("query").agg(F.sum("part").alias("kept"))
+            home = reset.join(kept, "query", "left").select("query", "node", (F.col("r") * (1 - F.coalesce("kept", F.lit(0.0)))).alias("part"))
         rank = sent.unionByName(home).groupBy("query", "node").agg(F.sum("part").alias("rank"))
-        if turn % cut == 0:
+        if leaks or turn % cut == 0 or turn == rounds:
             rank = scratch.save(rank, f"rank-{turn}")
+            scratch.drop(f"sent-{turn}", *[f"rank-{t}" for t in range(max(1, turn - cut), turn)])
     return rank
 
 
-def recall(ranking: DataFrame, gold: DataFrame, ks: tuple = (1, 2, 5, 10)) -> DataFrame:
-    """ranking(query, rank, chunk), gold(query, chunk) -> mean recall per k."""
-    hits = gold.join(ranking, ["query", "chunk"], "left")
-    per = hits.groupBy("query").agg(*[(F.count_if(F.col("rank") <= k) / F.count("*")).alias(str(k)) for k in ks])
-    long = per.select(F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col(str(k)).alias("recall")) for k in ks])).alias("x")).select("x.*")
-    return long.groupBy("k").agg(F.round(F.avg("recall"), 4).alias("recall"))
+def with_fallback(found: DataFrame, dense: DataFrame, picked: DataFrame) -> DataFrame:
+    """Rankings of the queries with a picked fact, and dense rankings of all others."""
+    with_facts = picked.select("query").distinct()
+    return found.join(with_facts, "query", "left_semi").unionByName(dense.join(with_facts, "query", "left_anti"))
 
 
-__all__ = ["directed_weights", "min_max", "pagerank", "phrase_weights", "ranked", "recall", "relevance", "scored", "truncated_min_max"]
+__all__ = ["directed_weights", "edge_score", "min_max", "pagerank", "phrase_weights", "ranked", "relevance", "sane", "scored", "seeds", "truncated_min_max", "with_fallback"]

@@ -1,7 +1,8 @@
 """The retrieval engine's queries by name, and their SQL, over corpora made from the test tables.
 
-Vector corpus: a passage per embedding, each with one triple (label, co occurs with, bucket); entity and
-fact vectors are means of their passages; the first ten passages are the queries.
+Vector corpus: a passage per embedding, each with one triple (label, co occurs with, bucket of 13 ids);
+entity and fact vectors are means of their passages; the passages whose id is divisible by 50 are the
+queries, so that queries, entities and facts grow with the table.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.extraction import clean_entities, doubt, long_enough, valid_triples
-from corpusloom.functions.scores import dot, min_max, truncated_min_max, unit
-from corpusloom.functions.text import content_id, extracted_answer, normalize_answer, qa_prompt, text_processing
+from corpusloom.functions.scores import mean_vector, min_max, truncated_min_max, unit
+from corpusloom.functions.text import PUNCTUATION, SPACES, content_id, extracted_answer, normalize_answer, qa_prompt, text_processing
 from corpusloom.operators import graph as G
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import store as S
-from corpusloom.operators.evaluation import exact_match, word_f1
+from corpusloom.operators.evaluation import CUTS, at_cuts, exact_match, pooled_at_cuts, word_f1
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -42,22 +43,21 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def triples(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return e.select(F.concat(F.lit("p"), "vec_id").alias("chunk"), F.concat(F.lit("label "), "label").alias("s"), F.lit("co occurs with").alias("p"), F.concat(F.lit("bucket "), F.col("vec_id") % 37).alias("o"))
+    return e.select(F.concat(F.lit("p"), "vec_id").alias("chunk"), F.concat(F.lit("label "), "label").alias("s"), F.lit("co occurs with").alias("p"), F.concat(F.lit("bucket "), F.floor(F.col("vec_id") / 13)).alias("o"))
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    return vectors(spark, d).where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
+    return vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
 
 
 def fact_vectors(spark: SparkSession, d: str) -> DataFrame:
-    cells = triples(spark, d).join(vectors(spark, d).select("chunk", F.posexplode("v").alias("dim", "x")), "chunk")
-    means = cells.groupBy("s", "o", "dim").agg(F.avg("x").alias("x"))
-    return means.groupBy("s", "o").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("v")).withColumn("fact", F.concat_ws("|", "s", "o"))
+    means = triples(spark, d).join(vectors(spark, d).select("chunk", "v"), "chunk").groupBy("s", "o").agg(mean_vector(F.col("v")).alias("v"))
+    return means.withColumn("fact", F.concat_ws("|", "s", "o"))
 
 
-BASE = """WITH t AS MATERIALIZED (SELECT 'p' || vec_id AS chunk, vec_id, embedding::DOUBLE[] AS v, 'label ' || label AS s, 'co occurs with' AS p, 'bucket ' || (vec_id % 37) AS o FROM embeddings),
+BASE = """WITH t AS MATERIALIZED (SELECT 'p' || vec_id AS chunk, vec_id, embedding::DOUBLE[] AS v, 'label ' || label AS s, 'co occurs with' AS p, 'bucket ' || (vec_id // 13) AS o FROM embeddings),
 m AS MATERIALIZED (SELECT DISTINCT unnest([s, o]) AS entity, chunk FROM t),
-q AS (SELECT vec_id AS query, v AS qv FROM t WHERE vec_id < 10),
+q AS (SELECT vec_id AS query, v AS qv FROM t WHERE vec_id % 50 = 0),
 ps AS MATERIALIZED (SELECT query, chunk, list_dot_product(qv, v) AS raw FROM q, t),
 fd AS (SELECT s, o, dim, avg(v[dim]) AS x FROM t, (SELECT unnest(range(1, 65)) AS dim) GROUP BY ALL),
 fv AS (SELECT s, o, list(x ORDER BY dim) AS v FROM fd GROUP BY ALL),
@@ -106,9 +106,21 @@ def processed_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text_processing(F.col("text"))).alias("processed"))
 
 
-@query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS answer FROM documents WHERE lang = 'en'")
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def normal_sql(x: str) -> str:
+    """SQL of normalize_answer. Every character that is no letter, digit or _ gets marks of its own on both sides, so that articles in a row are all found."""
+    plain = f"translate(lower({x}), {quoted(PUNCTUATION)}, '')"
+    marked = f"regexp_replace({plain}, '([^\\p{{L}}\\p{{N}}_])', chr(1) || '\\1' || chr(1), 'g')"
+    freed = f"replace(regexp_replace({marked}, '(^|' || chr(1) || ')(a|an|the)($|' || chr(1) || ')', '\\1 \\3', 'g'), chr(1), '')"
+    return f"trim(regexp_replace({freed}, {quoted('[' + SPACES + ']+')}, ' ', 'g'), ' ')"
+
+
+@query(f"SELECT doc_id, md5({normal_sql('text')}) AS answer FROM documents")
 def normalized_answers(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(normalize_answer(F.col("text"))).alias("answer"))
+    return table(spark, d, "documents").select("doc_id", F.md5(normalize_answer(F.col("text"))).alias("answer"))
 
 
 @query("SELECT DISTINCT 'chunk-' || md5(text) AS hash_id, text AS content FROM documents")
@@ -128,9 +140,10 @@ def store_delete(spark, d):
     return S.deleted(S.chunked(docs), S.chunked(docs.where("doc_id % 7 = 0")))
 
 
-@query("SELECT conv_id, turn, trim(coalesce(nullif(split_part(text || '', 'Answer:', 2), ''), text), ' ') AS answer FROM (SELECT conv_id, turn, 'Thought: ' || role || ' Answer: ' || conv_id AS text FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN conv_id::VARCHAR ELSE 'No mark ' || conv_id || chr(10) END AS answer FROM conversations")
 def answer_extraction(spark, d):
-    made = F.concat(F.lit("Thought: "), "role", F.lit(" Answer: "), F.col("conv_id").cast("string"))
+    marked = F.concat(F.lit("Thought: "), "role", F.lit(" Answer:\u00a0\n\t"), F.col("conv_id").cast("string"), F.lit("\x0b\n Answer: other"))
+    made = F.when(F.col("turn") % 2 == 0, marked).otherwise(F.concat(F.lit("No mark "), F.col("conv_id").cast("string"), F.lit("\n")))
     return table(spark, d, "conversations").select("conv_id", "turn", extracted_answer(made).alias("answer"))
 
 
@@ -177,7 +190,8 @@ def self_loops(spark, d):
 @query(BASE + "SELECT count(DISTINCT entity) AS entities, count(DISTINCT chunk) AS passages, (SELECT count(*) FROM fe) AS fact_edges, count(*) AS passage_edges FROM m")
 def graph_info(spark, d):
     m = G.mentions(triples(spark, d))
-    return m.agg(F.countDistinct("entity").alias("entities"), F.countDistinct("chunk").alias("passages"), F.count("*").alias("passage_edges")).join(G.fact_edges(triples(spark, d)).agg(F.count("*").alias("fact_edges")))
+    counts = m.agg(F.countDistinct("entity").alias("entities"), F.countDistinct("chunk").alias("passages"), F.count("*").alias("passage_edges"))
+    return counts.withColumn("fact_edges", G.fact_edges(triples(spark, d)).agg(F.count("*")).scalar())
 
 
 @query(BASE + "SELECT entity, round(diversity, 6) AS diversity, round(norm, 6) AS norm FROM dn")
@@ -186,7 +200,7 @@ def entity_diversity(spark, d):
 
 
 def diversity_of(spark, d):
-    return G.diversity(G.mentions(triples(spark, d)), vectors(spark, d)).withColumn("norm", truncated_min_max(F.col("diversity")))
+    return truncated_min_max(G.diversity(G.mentions(triples(spark, d)), vectors(spark, d)), "diversity")
 
 
 def passages_of(spark, d):
@@ -194,18 +208,17 @@ def passages_of(spark, d):
 
 
 def relevance_of(spark, d):
-    return R.relevance(G.mentions(triples(spark, d)), passages_of(spark, d)).withColumn("norm", truncated_min_max(F.col("relevance"), "query"))
+    return truncated_min_max(R.relevance(G.mentions(triples(spark, d)), passages_of(spark, d)), "relevance", "query")
 
 
 @query(BASE + "SELECT query, chunk, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM pn QUALIFY rank <= 10")
 def dense_retrieval(spark, d):
-    s = passages_of(spark, d).select("query", "chunk", F.round(min_max(F.col("raw"), "query"), 9).alias("score"))
+    s = min_max(passages_of(spark, d), "raw", "query").select("query", "chunk", F.round("score", 9).alias("score"))
     return R.ranked(s, "score", "chunk", 10).withColumn("score", F.round("score", 6))
 
 
 def facts_of(spark, d):
-    s = fact_vectors(spark, d).join(F.broadcast(asked(spark, d))).select("query", "s", "o", "fact", R.dot(F.col("qv"), F.col("v")).alias("raw"))
-    return s.select("query", "s", "o", "fact", min_max(F.col("raw"), "query").alias("score"))
+    return min_max(R.scored(asked(spark, d), fact_vectors(spark, d), "fact", "s", "o"), "raw", "query").drop("raw")
 
 
 @query(BASE + "SELECT query, fact, round(score, 6) AS score FROM fn")
@@ -234,7 +247,7 @@ def entity_relevance(spark, d):
 
 def reset_of(spark, d):
     seeds = R.phrase_weights(picked_of(spark, d), G.mentions(triples(spark, d))).select("query", F.col("entity").alias("node"), F.col("weight").alias("r"))
-    prior = passages_of(spark, d).select("query", F.col("chunk").alias("node"), (0.08 * min_max(F.col("raw"), "query")).alias("r"))
+    prior = min_max(passages_of(spark, d), "raw", "query").select("query", F.col("chunk").alias("node"), (0.08 * F.col("score")).alias("r"))
     return seeds.unionByName(prior)
 
 
@@ -262,8 +275,7 @@ def vanilla_of(spark, d):
 
 
 def directed_of(spark, d):
-    passages = G.passage_edges(G.mentions(triples(spark, d))).join(F.broadcast(asked(spark, d).select("query")))
-    return R.pagerank(spark, weights_of(spark, d).unionByName(passages.select("query", "src", "dst", "weight")), reset_of(spark, d), rounds=ROUNDS, keyed=True)
+    return R.pagerank(spark, G.passage_edges(G.mentions(triples(spark, d))), reset_of(spark, d), rounds=ROUNDS, keyed=weights_of(spark, d))
 
 
 @query(ppr_sql(UNDIRECTED, False) + f"SELECT query, node, round(rank, 6) AS rank FROM r{ROUNDS}")
@@ -276,47 +288,48 @@ def ppr_directed(spark, d):
     return directed_of(spark, d).select("query", "node", F.round("rank", 6).alias("rank"))
 
 
-def top_passages(ranks: DataFrame) -> DataFrame:
-    passages = ranks.where(F.col("node").startswith("p")).select("query", F.col("node").alias("chunk"), F.round("rank", 9).alias("by"))
+def top_passages(spark: SparkSession, d: str, ranks: DataFrame) -> DataFrame:
+    chunks = vectors(spark, d).select(F.col("chunk").alias("node"))
+    passages = ranks.join(chunks, "node", "left_semi").select("query", F.col("node").alias("chunk"), F.round("rank", 9).alias("by"))
     return R.ranked(passages, "by", "chunk", 10).select("query", "chunk", "rank", F.round("by", 6).alias("score"))
 
 
-TOP = f"SELECT query, node AS chunk, row_number() OVER (PARTITION BY query ORDER BY round(rank, 9) DESC, node) AS rank_, round(rank, 6) AS score FROM r{ROUNDS} WHERE node LIKE 'p%' QUALIFY rank_ <= 10"
+TOP = f"SELECT query, node AS chunk, row_number() OVER (PARTITION BY query ORDER BY round(rank, 9) DESC, node) AS rank_, round(rank, 6) AS score FROM r{ROUNDS} WHERE node IN (SELECT chunk FROM t) QUALIFY rank_ <= 10"
 
 
 @query(ppr_sql(UNDIRECTED, False) + f"SELECT query, chunk, rank_ AS rank, score FROM ({TOP})")
 def graph_retrieval(spark, d):
-    return top_passages(vanilla_of(spark, d))
+    return top_passages(spark, d, vanilla_of(spark, d))
 
 
 @query(ppr_sql(DIRECTED, True) + f"SELECT query, chunk, rank_ AS rank, score FROM ({TOP})")
 def graph_retrieval_directed(spark, d):
-    return top_passages(directed_of(spark, d))
+    return top_passages(spark, d, directed_of(spark, d))
 
 
-@query(BASE + ", rk AS (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM pn), g AS (SELECT a.vec_id AS query, b.chunk FROM t a JOIN t b ON a.o = b.o WHERE a.vec_id < 10) SELECT k, round(avg(hit), 4) AS recall FROM (SELECT query, k, count(*) FILTER (rank <= k) / count(*) AS hit FROM g JOIN rk USING (query, chunk), (SELECT unnest([1, 2, 5, 10])::BIGINT AS k) GROUP BY ALL) GROUP BY k")
+@query(BASE + ", rk AS (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM pn), g AS (SELECT a.vec_id AS query, b.chunk FROM t a JOIN t b ON a.o = b.o WHERE a.vec_id % 50 = 0), h AS (SELECT query, k, count(*) FILTER (rank <= k) / count(*) AS recall, count(*) FILTER (rank <= k) / least(k, any_value(n)) AS precision FROM g JOIN rk USING (query, chunk), (SELECT count(*) AS n FROM t), (SELECT unnest([1, 2, 5, 10, 20, 30, 50, 100, 150, 200])::BIGINT AS k) GROUP BY query, k) SELECT k, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, round(avg(CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END), 4) AS f1 FROM h GROUP BY k")
 def recall_at_k(spark, d):
-    s = passages_of(spark, d).select("query", "chunk", F.round(min_max(F.col("raw"), "query"), 9).alias("score"))
+    s = min_max(passages_of(spark, d), "raw", "query").select("query", "chunk", F.round("score", 9).alias("score"))
     t = triples(spark, d)
-    gold = t.join(asked(spark, d).select("query", F.concat(F.lit("bucket "), F.col("query") % 37).alias("o")), "o").select("query", "chunk")
-    return R.recall(R.ranked(s, "score", "chunk", 10), gold)
+    gold = t.join(asked(spark, d).select("query", F.concat(F.lit("bucket "), F.floor(F.col("query") / 13)).alias("o")), "o").select("query", "chunk")
+    return pooled_at_cuts(at_cuts(R.ranked(s, "score", "chunk", max(CUTS)), gold))
 
 
-@query(BASE + "SELECT DISTINCT entity FROM m WHERE entity NOT IN (SELECT entity FROM m JOIN t USING (chunk) WHERE vec_id % 37 <> 5)")
+@query(BASE + "SELECT DISTINCT entity FROM m WHERE entity NOT IN (SELECT entity FROM m JOIN t USING (chunk) WHERE vec_id // 13 <> 5)")
 def delete_cascade_entities(spark, d):
-    gone = vectors(spark, d).where("vec_id % 37 = 5").select("chunk")
+    gone = vectors(spark, d).where("floor(vec_id / 13) = 5").select("chunk")
     return S.orphans(G.mentions(triples(spark, d)), gone, "entity")
 
 
-RAW = """WITH raw AS (SELECT conv_id, turn, [' ' || role || ' ', '', role, 'turn ' || turn, NULL] AS entities, [[role, 'says in', ' turn ' || turn || ' '], [role, 'says'], [role, 'says in', 'turn ' || turn], [role, ' ', 'x']] AS triples, text FROM conversations)
+RAW = """WITH raw AS (SELECT conv_id, turn, [chr(10) || role || chr(9) || ' ', chr(160), role, 'turn ' || turn, NULL] AS entities, [[role, 'says in', chr(8195) || 'turn ' || turn || chr(10)], [role, 'says'], [role, 'says in', 'turn ' || turn], [role, chr(9), 'x']] AS triples, text FROM conversations)
 """
 
 
 def raw_extractions(spark: SparkSession, d: str) -> DataFrame:
     turn, none = F.concat(F.lit("turn "), "turn"), F.lit(None).cast("string")
-    entities = F.array(F.concat(F.lit(" "), "role", F.lit(" ")), F.lit(""), F.col("role"), turn, none)
+    entities = F.array(F.concat(F.lit("\n"), "role", F.lit("\t ")), F.lit("\u00a0"), F.col("role"), turn, none)
     says = F.lit("says in")
-    triples = F.array(F.array(F.col("role"), says, F.concat(F.lit(" "), turn, F.lit(" "))), F.array(F.col("role"), F.lit("says")), F.array(F.col("role"), says, turn), F.array(F.col("role"), F.lit(" "), F.lit("x")))
+    triples = F.array(F.array(F.col("role"), says, F.concat(F.lit("\u2003"), turn, F.lit("\n"))), F.array(F.col("role"), F.lit("says")), F.array(F.col("role"), says, turn), F.array(F.col("role"), F.lit("\t"), F.lit("x")))
     return table(spark, d, "conversations").select("conv_id", "turn", entities.alias("entities"), triples.alias("triples"), "text")
 
 
@@ -325,10 +338,10 @@ def clean_entity_lists(spark, d):
     return raw_extractions(spark, d).select("conv_id", "turn", F.array_join(clean_entities(F.col("entities")), "|").alias("entities"))
 
 
-@query(RAW + "SELECT conv_id, turn, count(DISTINCT s) AS n, min(s) AS triple FROM (SELECT conv_id, turn, array_to_string(list_transform(t, lambda x: trim(x)), '|') AS s FROM (SELECT conv_id, turn, unnest(triples) AS t FROM raw) WHERE len(t) = 3 AND len(list_filter(t, lambda x: trim(x) <> '')) = 3) GROUP BY ALL")
+@query(RAW + f"SELECT conv_id, turn, count(DISTINCT s) AS n, string_agg(DISTINCT s, ';') AS triples FROM (SELECT conv_id, turn, array_to_string(list_transform(t, lambda x: trim(x, {quoted(SPACES)})), '|') AS s FROM (SELECT conv_id, turn, unnest(triples) AS t FROM raw) WHERE len(t) = 3 AND len(list_filter(t, lambda x: trim(x, {quoted(SPACES)}) <> '')) = 3) GROUP BY ALL")
 def filter_invalid_triples(spark, d):
     t = valid_triples(F.col("triples"))
-    return raw_extractions(spark, d).select("conv_id", "turn", F.size(t).cast("long").alias("n"), F.array_join(t[0], "|").alias("triple"))
+    return raw_extractions(spark, d).select("conv_id", "turn", F.size(t).cast("long").alias("n"), F.array_join(F.transform(t, lambda x: F.array_join(x, "|")), ";").alias("triples"))
 
 
 @query("SELECT c_custkey, length(regexp_replace(c_mktsegment, '[^A-Za-z0-9]', '', 'g')) > 2 AS long_enough FROM customer")
@@ -343,8 +356,8 @@ def retry_reasons(spark, d):
 
 
 GOLD = """WITH g AS (SELECT a.conv_id * 1000 + a.turn AS query, b.turn AS pos, b.text AS gold, a.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1),
-n AS (SELECT query, pos, trim(regexp_replace(regexp_replace(regexp_replace(lower(gold), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS gold, trim(regexp_replace(regexp_replace(regexp_replace(lower(answer), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'), ' ') AS answer FROM g)
-"""
+n AS (SELECT query, pos, %s AS gold, %s AS answer FROM g)
+""" % (normal_sql("gold"), normal_sql("answer"))
 
 
 def gold_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -367,10 +380,10 @@ def answer_f1(spark, d):
     return word_f1(gold_answers(spark, d)).select("query", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x) / sqrt(list_dot_product(v, v)))), 6) AS spread FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+@query("SELECT vec_id, array_to_string(list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6)::DECIMAL(9, 6)), ',') AS unit FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
 def unit_vectors(spark, d):
     v = unit(F.transform("embedding", lambda x: x.cast("double")))
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("spread"))
+    return table(spark, d, "embeddings").select("vec_id", F.array_join(F.transform(v, lambda x: F.round(x, 6).cast("decimal(9,6)").cast("string")), ",").alias("unit"))
 
 
 @query(BASE + "SELECT src, dst, weight FROM fe WHERE src LIKE 'label%' AND dst LIKE 'bucket 1%'")
