@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -12,10 +14,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x worked out once, however often f and its lambdas use it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def unit(v: Column) -> Column:
     """v over its length; a zero vector stays."""
-    length = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(length > 0, x / length).otherwise(x))
+    scaled = lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x))
+    return bound(bound(v, lambda a: F.struct(a.alias("v"), F.sqrt(dot(a, a)).alias("n"))), scaled)
 
 
 def mean_vector(v: Column) -> Column:

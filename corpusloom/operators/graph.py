@@ -93,7 +93,7 @@ def synonyms(entities: DataFrame, k: int = 2047, threshold: float = 0.8, most: i
 
     Entities of two letters or fewer look for none; blank ones are never found. A source keeps most of them.
     """
-    near = nearest(entities.where(long_enough(F.col("entity"))).select(F.col("entity").alias("query"), "v"), entities.withColumnRenamed("entity", "item"), k, unit_length=True)
+    near = nearest(entities.where(long_enough(F.col("entity"))).select(F.col("entity").alias("query"), "v"), entities.withColumnRenamed("entity", "item"), k, unit_length=True, least=threshold)
     kept = near.where((F.col("score") >= threshold) & (F.col("query") != F.col("item")) & (F.trim("item") != ""))
     nth = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
     return kept.withColumn("_nth", nth).where(F.col("_nth") <= most).select(F.col("query").alias("src"), F.col("item").alias("dst"), F.col("score").alias("weight"))

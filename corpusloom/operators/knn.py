@@ -23,19 +23,20 @@ def matrix(column: pd.Series, unit_length: bool = False) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if unit_length else x
 
 
-def best(queries: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int | None) -> pd.DataFrame:
-    """The k best items of each query, ties to the smaller item; all of them without k."""
+def best(queries: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int | None, least: float) -> pd.DataFrame:
+    """What can be among the k best items of each query (all of them without k), with scores of least or more."""
     if k is None or k >= len(items):
         rows, cols = np.repeat(np.arange(len(queries)), len(items)), np.tile(np.arange(len(items)), len(queries))
     else:
         # everything not below the k-th best stays, so that ties are settled by the final rank
         floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
         rows, cols = np.nonzero(scores >= floor)
-    return pd.DataFrame({"query": queries[rows], "item": items[cols], "score": scores[rows, cols]})
+    ok = scores[rows, cols] >= least
+    return pd.DataFrame({"query": queries[rows[ok]], "item": items[cols[ok]], "score": scores[rows[ok], cols[ok]]})
 
 
-def products(queries: DataFrame, items: DataFrame, k: int | None = None, unit_length: bool = False, block: int = BLOCK) -> DataFrame:
-    """queries(query, v) x items(item, v) -> (query, item, score): products, or cosines of unit_length.
+def products(queries: DataFrame, items: DataFrame, k: int | None = None, unit_length: bool = False, block: int = BLOCK, least: float = -np.inf) -> DataFrame:
+    """queries(query, v) x items(item, v) -> (query, item, score): products, or cosines of unit_length, of least or more.
 
     k keeps what can be among a query's k best; a final rank over the result is left to the caller. Null
     vectors take no part; all vectors need one length.
@@ -52,7 +53,7 @@ def products(queries: DataFrame, items: DataFrame, k: int | None = None, unit_le
             for f in frames:
                 for a in range(0, len(f) if len(ids) else 0, block):
                     part = f.iloc[a : a + block]
-                    yield best(ids, part["item"].to_numpy(), q @ matrix(part["v"], unit_length).T, k)
+                    yield best(ids, part["item"].to_numpy(), q @ matrix(part["v"], unit_length).T, k, least)
 
         return items.mapInPandas(scored, schema)
     n_items = items.count()
@@ -64,13 +65,13 @@ def products(queries: DataFrame, items: DataFrame, k: int | None = None, unit_le
         q, i = f[f["side"] == 0], f[f["side"] == 1]
         if not len(q) or not len(i):
             return pd.DataFrame({"query": [], "item": [], "score": []})
-        return best(q["query"].to_numpy(), i["item"].to_numpy(), matrix(q["v"], unit_length) @ matrix(i["v"], unit_length).T, k)
+        return best(q["query"].to_numpy(), i["item"].to_numpy(), matrix(q["v"], unit_length) @ matrix(i["v"], unit_length).T, k, least)
 
     return left.withColumns({"qb": F.col("qb").cast("long"), "ib": F.col("ib").cast("long")}).unionByName(right.withColumns({"qb": F.col("qb").cast("long"), "ib": F.col("ib").cast("long")})).groupBy("qb", "ib").applyInPandas(met, schema)
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, unit_length: bool = False, block: int = BLOCK) -> DataFrame:
-    """(query, item, score, rank): the k best items of each query, scores equal to 9 places ordered by item."""
-    found = products(queries, items, k, unit_length, block).withColumn("_by", F.round("score", 9))
+def nearest(queries: DataFrame, items: DataFrame, k: int, unit_length: bool = False, block: int = BLOCK, least: float = -np.inf) -> DataFrame:
+    """(query, item, score, rank): the k best items of each query with scores of least or more, those equal to 9 places ordered by item."""
+    found = products(queries, items, k, unit_length, block, least).withColumn("_by", F.round("score", 9))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_by"), "item"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).drop("_by")

@@ -92,9 +92,8 @@ def diversity_norm(spark, d):
     return G.diversity_norm(kinds_of(spark, d)[0], spread).select("node", "kind", *SIX("diversity", "norm"))
 
 
-SCORED = """, sc AS MATERIALIZED (SELECT query, de.src, de.dst, up, greatest(1e-6::DOUBLE, 0.2::DOUBLE + 0.5::DOUBLE * rn.norm + 0.7::DOUBLE * prior_norm - 0.3::DOUBLE * abs(delta)) AS score FROM de JOIN rn ON rn.entity = de.dst AND rn.query = de.query JOIN pr ON pr.src = de.src AND pr.dst = de.dst)
+SCORED = """, sc AS MATERIALIZED (SELECT de.query, de.src, de.dst, up, greatest(1e-6::DOUBLE, 0.2::DOUBLE + 0.5::DOUBLE * rn.norm + 0.7::DOUBLE * prior_norm - 0.3::DOUBLE * abs(delta)) AS score FROM de JOIN rn ON rn.entity = de.dst AND rn.query = de.query JOIN pr ON pr.src = de.src AND pr.dst = de.dst)
 """
-BASE_Q = BASE.replace("de AS (SELECT query,", "de AS (SELECT rn.query AS query,")
 TERMS = {"base": 0.2, "by_rel": 0.5, "by_prior": 0.7, "by_div": 0.3}
 
 
@@ -103,17 +102,17 @@ def options_of(spark: SparkSession, d: str, **options) -> DataFrame:
     return R.directed_weights(edges, C.diversity_of(spark, d), C.relevance_of(spark, d), **options).select("query", "src", "dst", *SIX("weight"))
 
 
-@query(BASE_Q + KINDS + SCORED + "SELECT query, src, dst, round(score, 6) AS weight FROM sc")
+@query(BASE + KINDS + SCORED + "SELECT query, src, dst, round(score, 6) AS weight FROM sc")
 def edge_scores(spark, d):
     return options_of(spark, d, prior=True, directions=False, **TERMS)
 
 
-@query(BASE_Q + KINDS + "SELECT query, src, dst, round(score, 6) AS weight FROM de")
+@query(BASE + KINDS + "SELECT query, src, dst, round(score, 6) AS weight FROM de")
 def directed_weights_ablation(spark, d):
     return options_of(spark, d, directions=False)
 
 
-@query(BASE_Q + KINDS + SCORED + ", sb AS (SELECT *, sum(score) OVER (PARTITION BY query, src, up) AS total, count(*) FILTER (up) OVER (PARTITION BY query, src) AS ups, count(*) FILTER (NOT up) OVER (PARTITION BY query, src) AS downs FROM sc) SELECT query, src, dst, round(CASE WHEN up THEN (CASE WHEN downs = 0 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END) WHEN ups = 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END * score / total, 6) AS weight FROM sb")
+@query(BASE + KINDS + SCORED + ", sb AS (SELECT *, sum(score) OVER (PARTITION BY query, src, up) AS total, count(*) FILTER (up) OVER (PARTITION BY query, src) AS ups, count(*) FILTER (NOT up) OVER (PARTITION BY query, src) AS downs FROM sc) SELECT query, src, dst, round(CASE WHEN up THEN (CASE WHEN downs = 0 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END) WHEN ups = 0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END * score / total, 6) AS weight FROM sb")
 def directed_weights_no_loop(spark, d):
     return options_of(spark, d, prior=True, loops=False, down=0.7, up=0.3, **TERMS)
 

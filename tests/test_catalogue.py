@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from corpusloom.plans import lifecycle  # noqa: F401
 from corpusloom.plans.catalogue import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
