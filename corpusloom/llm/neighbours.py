@@ -1,10 +1,13 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search in it.
 
-Equal vectors are one node. A forest of random hyperplane trees gives each node its first neighbours;
-rounds of NN-descent then compare, at every node, the nodes that list it or that it lists, and keep for
-each the best, until a round replaces less than SETTLED of all list entries. A query starts from its own node's neighbours and expands the best nodes of its beam,
-many at a time, until every node of the beam is expanded. The beam's best nodes are scored again in
-double precision on the original vectors.
+Equal vectors are one node, named by the least of their ids. A forest of trees gives each node a few first
+neighbours out of small leaves: planes between two vectors of a cell, set at the cell's median, fitted on
+a bounded sample (SAMPLE vectors), and below that planes through the cells' centres; every vector is in a
+leaf of every tree, and leaves are of one size at every size of table. Rounds of NN-descent then compare, at every node,
+the nodes that list it or that it lists, where one of the two is new there, and keep for each the best,
+until a round replaces less than SETTLED of all list entries. A query starts from its own node's
+neighbours and expands the best nodes of its beam, many at a time, until every node of the beam is
+expanded. The beam's best nodes are scored again in double precision on the original vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do null ids and vectors of another length than most; an id with several vectors stands for the
@@ -25,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
 from corpusloom.llm.streams import whole_groups
-from corpusloom.session import Scratch, partitions, small
+from corpusloom.session import Scratch, partitions, salted_join, small
 
-NEIGHBOURS, REVERSED, TREES, LEAF, SETTLED = 32, 16, 6, 600, 0.001
-BEAM, EXPANDED = 256, 32
+NEIGHBOURS, REVERSED, TREES, LEAF, FIRST, SETTLED = 32, 16, 6, 64, 8, 0.001
+#: Vectors that the trees are fitted on, whatever the input's size, and the fewest of them that a cell is fitted on.
+SAMPLE, FITTED = 16_384, 16
+BEAM, EXPANDED = 256, 48
 EDGES = "node long, nbr long, sim float"
 
 
@@ -36,6 +41,10 @@ def floats(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
 
 
+def codes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float16).reshape(len(column), -1).astype(np.float32) if len(column) else np.zeros((0, 1), np.float32)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
@@ -77,60 +86,88 @@ def top_of(sims: np.ndarray, keep: int) -> np.ndarray:
     return np.argpartition(-sims, keep - 1, axis=1)[:, :keep] if sims.shape[1] > keep else np.tile(np.arange(sims.shape[1]), (len(sims), 1))
 
 
+class Tree:
+    """A tree of planes, level by level: for each cell a normal and a threshold; then planes through the lowest cells' centres."""
+
+    def __init__(self, sample: np.ndarray, depth: int, rng: np.random.Generator):
+        self.levels, cells = [], [np.arange(len(sample))]
+        fitted = min(depth, max(0, int(np.log2(max(1, len(sample)) / FITTED))))
+        for _ in range(fitted):
+            normals, at, halves = np.zeros((len(cells), sample.shape[1]), np.float32), np.zeros(len(cells), np.float32), []
+            for c, own in enumerate(cells):
+                a, b = sample[rng.choice(own, 2, replace=False)] if len(own) > 1 else rng.standard_normal((2, sample.shape[1]))
+                normals[c] = a - b
+                along = sample[own] @ normals[c]
+                at[c] = np.median(along) if len(own) else 0
+                halves += [own[along <= at[c]], own[along > at[c]]]
+            self.levels.append((normals, at))
+            cells = halves
+        self.centres = np.stack([sample[own].mean(axis=0) if len(own) else np.zeros(sample.shape[1]) for own in cells]).astype(np.float32)
+        self.deeper = rng.standard_normal((sample.shape[1], depth - fitted)).astype(np.float32)
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        cell = np.zeros(len(x), np.int64)
+        for normals, at in self.levels:
+            cell = 2 * cell + (np.einsum("ij,ij->i", x, normals[cell]) > at[cell])
+        bits = (x - self.centres[cell]) @ self.deeper > 0
+        return (cell << bits.shape[1]) + bits @ (1 << np.arange(bits.shape[1], dtype=np.int64))
+
+
 def forest(vectors: DataFrame, count: int, n: int, keep: int, trees: int, leaf: int, seed: int = 3) -> DataFrame:
-    """Edges between nodes that share a leaf of a random hyperplane tree, the best keep per node and leaf."""
+    """Edges between nodes that share a leaf of a tree, the best keep per node and leaf."""
     depth = max(0, int(np.ceil(np.log2(max(1, count) / leaf))))
+    sample = codes(vectors.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(SAMPLE).select("code").toPandas()["code"])
+    rng = np.random.default_rng(seed)
+    grown = vectors.sparkSession.sparkContext.broadcast([Tree(sample, depth, rng) for _ in range(trees)])
 
     def dealt(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x = floats(f["vec"])
-            planes = np.random.default_rng(seed).standard_normal((trees, x.shape[1], max(1, depth))).astype(np.float32)
-            for t in range(trees):
-                bits = (x @ planes[t] > 0).astype(np.int64)
-                cell = bits @ (1 << np.arange(bits.shape[1])) if depth else np.zeros(len(f), np.int64)
-                yield pd.DataFrame({"cell": cell * trees + t, "node": f["node"], "vec": f["vec"]})
+            x = codes(f["code"])
+            for t, tree in enumerate(grown.value):
+                yield pd.DataFrame({"cell": tree.cell(x) * trees + t, "node": f["node"], "code": f["code"]})
 
     def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f, starts in whole_groups(frames, "cell"):
-            x, ids = floats(f["vec"]), f["node"].to_numpy()
-            for a, b in zip(starts, np.append(starts[1:], len(f))):
-                # a cell far larger than a leaf is compared in stretches
-                for c in range(a, b, 2 * leaf):
-                    d = min(b, c + 2 * leaf)
-                    if d - c > 1:
-                        s = x[c:d] @ x[c:d].T
-                        np.fill_diagonal(s, -9)
-                        near = top_of(s, min(keep, d - c - 1))
-                        rows = np.repeat(np.arange(d - c), near.shape[1])
-                        got = pd.DataFrame({"node": ids[c:d][rows], "nbr": ids[c:d][near.ravel()], "sim": s[rows, near.ravel()]})
-                        yield got[got["sim"] > -9]
-
-    cells = vectors.mapInPandas(dealt, "cell long, node long, vec binary")
+        # a cell far larger than a leaf is compared in stretches
+        for f, starts in whole_groups(frames, "cell", most=2 * leaf):
+            x, ids = codes(f["code"]), f["node"].to_numpy()
+            out = []
+            for c, d in zip(starts, np.append(starts[1:], len(f))):
+                if d - c > 1:
+                    s = x[c:d] @ x[c:d].T
+                    np.fill_diagonal(s, -9)
+                    near = top_of(s, min(keep, d - c - 1))
+                    rows = np.repeat(np.arange(d - c), near.shape[1])
+                    out.append((ids[c:d][rows], ids[c:d][near.ravel()], s[rows, near.ravel()]))
+            if out:
+                node, nbr, sim = map(np.concatenate, zip(*out))
+                yield pd.DataFrame({"node": node, "nbr": nbr, "sim": sim})[sim > -9]
+
+    cells = vectors.select("node", "code").mapInPandas(dealt, "cell long, node long, code binary")
     # hash order inside a cell makes stretches random parts of it
     return cells.repartition(n, "cell").sortWithinPartitions("cell", F.xxhash64("node")).mapInPandas(compared, EDGES)
 
 
-def around(edges: DataFrame, keep: int, reverse: int) -> DataFrame:
-    """(node, nbr, sim): each node's own list and the best reverse of those that list it."""
-    back = edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim")
+def around(edges: DataFrame, reverse: int) -> DataFrame:
+    """(node, nbr, fresh): each node's own list and the best reverse of those that list it."""
+    back = edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim", "fresh")
     back = back.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))).where(F.col("k") <= reverse).drop("k")
-    return edges.unionByName(back).dropDuplicates(["node", "nbr"])
+    return edges.unionByName(back).groupBy("node", "nbr").agg(F.max("fresh").alias("fresh"))
 
 
 def descend(edges: DataFrame, vectors: DataFrame, n: int, keep: int, reverse: int) -> DataFrame:
-    """One round: pairs of nodes around a common node that improve on either's list."""
+    """One round: pairs of nodes around a common node, one of them new there, that improve on either's list."""
     worst = edges.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("c")).select(F.col("node").alias("nbr"), F.when(F.col("c") < keep, -2.0).otherwise(F.col("low")).cast("float").alias("low"))
-    sent = vectors.withColumnRenamed("node", "nbr").join(worst, "nbr")
+    sent = vectors.select(F.col("node").alias("nbr"), "code").join(worst, "nbr")
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, starts in whole_groups(frames, "node"):
-            x, ids, low = floats(f["vec"]), f["nbr"].to_numpy(), f["low"].to_numpy()
+            x, ids, low, fresh = codes(f["code"]), f["nbr"].to_numpy(), f["low"].to_numpy(), f["fresh"].to_numpy()
             out = []
             for a, b in zip(starts, np.append(starts[1:], len(f))):
-                if b - a > 1:
+                if b - a > 1 and fresh[a:b].any():
                     s = x[a:b] @ x[a:b].T
                     np.fill_diagonal(s, -9)
-                    i, j = np.nonzero(s > low[a:b, None])
+                    i, j = np.nonzero((s > low[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]))
                     out.append((ids[a:b][i], ids[a:b][j], s[i, j]))
             if out:
                 node, nbr, sim = map(np.concatenate, zip(*out))
@@ -138,9 +175,9 @@ def descend(edges: DataFrame, vectors: DataFrame, n: int, keep: int, reverse: in
                 _, first = np.unique(np.stack([node, nbr]), axis=1, return_index=True) if len(node) < 1_000 else (0, unique_pairs(node, nbr))
                 yield pd.DataFrame({"node": node[first], "nbr": nbr[first], "sim": sim[first]})
 
-    near = around(edges, keep, reverse).select("node", "nbr").join(sent, "nbr")
+    near = around(edges, reverse).join(sent, "nbr")
     found = near.repartition(n, "node").sortWithinPartitions("node").mapInPandas(local, EDGES)
-    return merged(edges.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), n, keep)
+    return merged(edges.select("node", "nbr", "sim", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True))), n, keep)
 
 
 def unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,23 +187,22 @@ def unique_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def build(spark: SparkSession, vectors: DataFrame, scratch: Scratch, neighbours: int, reverse: int, trees: int, leaf: int, settled: float) -> DataFrame:
-    """vectors(node, vec) -> the graph's adjacency (node, nbr).
+def build(spark: SparkSession, vectors: DataFrame, scratch: Scratch, neighbours: int, reverse: int, trees: int, leaf: int, settled: float, descents: int | None = None) -> DataFrame:
+    """vectors(node, vec, code) -> the graph's adjacency (node, nbr).
 
-    Lists only get better, so the rounds end by themselves.
+    Lists only get better, so the rounds end by themselves; descents bounds their number, for comparison.
     """
     count = vectors.count()
     n = partitions(spark, count * neighbours)
-    first = forest(vectors, count, n, neighbours, trees, leaf).withColumn("fresh", F.lit(True))
+    first = forest(vectors, count, n, FIRST, trees, leaf).withColumn("fresh", F.lit(True))
     edges = scratch.save(merged(first, n, neighbours), "edges-0")
-    for turn in itertools.count(1):
-        edges = scratch.save(descend(edges.drop("fresh"), vectors, n, neighbours, reverse), f"edges-{turn}")
+    for turn in itertools.count(1) if descents is None else range(1, descents + 1):
+        edges = scratch.save(descend(edges, vectors, n, neighbours, reverse), f"edges-{turn}")
         scratch.drop(f"edges-{turn - 1}")
         replaced, entries = edges.agg(F.count_if("fresh"), F.count("*")).first()
         if replaced <= settled * entries:
             break
-    edges = edges.drop("fresh")
-    return scratch.save(around(edges, neighbours, 2 * reverse).select("node", "nbr"), "graph")
+    return scratch.save(around(edges, 2 * reverse).select("node", "nbr"), "graph")
 
 
 @F.pandas_udf(FloatType())
@@ -181,7 +217,7 @@ def search(spark: SparkSession, starts: DataFrame, vectors: DataFrame, graph: Da
     by_sim = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(vectors, "node").join(small(asked, asked_rows, 50_000), "q")
+        pairs = pairs.join(vectors.select("node", "vec"), "node").join(small(asked, asked_rows, 50_000), "q")
         return pairs.select("q", "node", dots("q_vec", "vec").alias("sim"), F.lit(True).alias("open"))
 
     def cut(rows: DataFrame) -> DataFrame:
@@ -216,6 +252,7 @@ def nearest(
     settled: float = SETTLED,
     beam: int = BEAM,
     expanded: int = EXPANDED,
+    descents: int | None = None,
 ) -> DataFrame:
     """The k nearest other ids of each id for which query (a condition on vec_id) holds: query_id, rank, vec_id, score."""
     found = scratch.save(usable(rows, vec_id, embedding), "usable")
@@ -223,19 +260,23 @@ def nearest(
     if lengths is None:
         return found.selectExpr("vec_id query_id", "cast(1 as int) rank", "vec_id", "cast(1 as double) score")
     found = found.where(F.size("v") == lengths["d"])
-    ids = scratch.save(found.withColumn("node", F.xxhash64("v")).select("vec_id", "node"), "ids")
-    one = found.withColumn("node", F.xxhash64("v")).groupBy("node").agg(F.min("v").alias("v"))
-    one = scratch.save(one, "nodes")
+    # equal vectors are put together exactly; one vector may belong to a third of all rows
+    equal = scratch.save(found.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("members")).where("members > 1"), "equal")
+    ids = salted_join(found, equal, "v", "members", F.col("vec_id")).select("vec_id", F.coalesce("node", "vec_id").alias("node"), "v")
+    ids = scratch.save(ids, "ids")
+    one = ids.where("vec_id = node").select("node", "v")
+    ids = ids.select("vec_id", "node")
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             x = np.stack(f["v"])
             x = (x / np.abs(x).max(axis=1, keepdims=True))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            yield pd.DataFrame({"node": f["node"], "vec": [r.tobytes() for r in x.astype(np.float32)]})
+            # the graph is built from half floats, searched with floats, and the results are scored with doubles
+            yield pd.DataFrame({"node": f["node"], "vec": [r.tobytes() for r in x.astype(np.float32)], "code": [r.tobytes() for r in x.astype(np.float16)]})
 
-    vectors = scratch.save(one.mapInPandas(packed, "node long, vec binary"), "vectors")
-    graph = build(spark, vectors, scratch, neighbours, reverse, trees, leaf, settled)
+    vectors = scratch.save(one.mapInPandas(packed, "node long, vec binary, code binary"), "vectors")
+    graph = build(spark, vectors, scratch, neighbours, reverse, trees, leaf, settled, descents)
     asking = ids.where(query)
     beams = search(spark, asking.select("node").distinct(), vectors, graph, scratch, beam, expanded)
     # equal vectors: a node's k + 1 smallest ids can be among a query's nearest, no others

@@ -1,6 +1,6 @@
 """DuckDB SQL for the training-data queries that SQL can express.
 
-The neighbour search is approximate beyond one leaf of its trees; on tables of one leaf it is exact, as this SQL is.
+The neighbour search is approximate; on small tables it finds all that this exact SQL finds.
 """
 
 from __future__ import annotations

@@ -36,22 +36,29 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str | None, payload_digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{payload_digest}')}>"
+def record_id(page_id: int | None, url: str | None, payload_digest: str, nth: int = 0) -> str:
+    """nth tells rows apart that have all else in common."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{payload_digest}' + (f'|{nth}' if nth else ''))}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, revisit: bool, date: str) -> bytes:
-    """One WARC record; a revisit has only the HTTP headers as its block."""
+def printable(url: str) -> str:
+    return "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, first_url: str | None, revisit: bool, nth: int, date: str) -> bytes:
+    """One WARC record; a revisit has only the HTTP headers as its block, and names the response of page first at first_url."""
     sha = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, url, sha)), ("WARC-Date", date)]
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id, url, sha, nth)), ("WARC-Date", date)]
     if url is not None:
-        fields.append(("WARC-Target-URI", "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in url)))
+        fields.append(("WARC-Target-URI", printable(url)))
     if page_id is not None:
         fields.append(("X-Page-Id", str(page_id)))
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-Id", str(first))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(first, first_url, sha)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-Id", str(first))]
+        if first_url is not None:
+            fields.append(("WARC-Refers-To-Target-URI", printable(first_url)))
     fields += [("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -94,9 +101,10 @@ def write_warc(spark: SparkSession, pages: DataFrame, root: str, scratch: Scratc
     store.create_dir(folder, recursive=True)
     html = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha"), F.octet_length(html).cast("long").alias("size"))
-    keys = scratch.save(pages.select("page_id", "sha", "size"), "keys")
-    equal = keys.where(F.col("size") >= revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null")
-    equal = scratch.save(equal, "equal")
+    keys = scratch.save(pages.select("page_id", "url", "sha", "size"), "keys")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    equal = keys.where(F.col("size") >= revisit_bytes).groupBy("sha").agg(first.alias("f"), F.count("*").alias("rows")).where("rows > 1 and f is not null")
+    equal = scratch.save(equal.select("sha", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"), "rows"), "equal")
     low, high, total = keys.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
     cells = max(1024, 4 * ((total or 0) // shard_bytes))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
@@ -107,12 +115,12 @@ def write_warc(spark: SparkSession, pages: DataFrame, root: str, scratch: Scratc
     n_shards = shards.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
     joined = salted_join(pages, equal, "sha", "rows", F.col("page_id")).withColumn("cell", cell).join(small(shards, cells + 1), "cell")
     # a range for each shard: hash partitions would put several shards into one task and none into others
-    ordered = joined.select("shard", "page_id", "url", "html", "first").repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "html")
+    ordered = joined.select("shard", "page_id", "url", "html", "first", "first_url").repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "html")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, done, led = None, [], set()
+        files, done, led, last, nth = None, [], set(), None, 0
         for f in frames:
-            for shard, page_id, url, text, first in zip(f["shard"], f["page_id"], f["url"], f["html"], f["first"]):
+            for shard, page_id, url, text, first, first_url in zip(f["shard"], f["page_id"], f["url"], f["html"], f["first"], f["first_url"]):
                 if files is None or files.shard != shard:
                     if files is not None:
                         files.close()
@@ -124,7 +132,11 @@ def write_warc(spark: SparkSession, pages: DataFrame, root: str, scratch: Scratc
                 revisit = first is not None and (page_id != first or sha in led)
                 if first is not None and page_id == first:
                     led.add(sha)
-                files.add(record(page_id, url if isinstance(url, str) else None, payload, first, revisit, date))
+                url, first_url = (x if isinstance(x, str) else None for x in (url, first_url))
+                # rows come sorted, equal ones in a row
+                nth = nth + 1 if last == (shard, page_id, url, sha) else 0
+                last = (shard, page_id, url, sha)
+                files.add(record(page_id, url, payload, first, first_url, revisit, nth, date))
         if files is not None:
             files.close()
             done += files.done

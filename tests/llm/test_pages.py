@@ -1,13 +1,14 @@
 """WARC round trips and URL verdicts against plain Python."""
 
 import base64
+import gzip
 import hashlib
 import re
 
 import pytest
 
 from corpusloom.llm.url_filter import LINK, RULES, judge
-from corpusloom.llm.warc import read_warc, write_warc
+from corpusloom.llm.warc import parsed, read_warc, write_warc
 from corpusloom.session import Scratch
 from tests.llm.helpers import LONG, parquet
 
@@ -38,6 +39,14 @@ def test_round_trip(spark, case):
     plain = sorted(str((r["page_id"], len(html(r).encode()), digest(html(r)))) for r in rows)
     assert sorted(str((r["page_id"], r["payload_bytes"], r["payload_digest"])) for r in got) == plain
     texts = {digest(html(r)): html(r) for r in rows}
+    # every record has an id of its own, and every revisit names a response by it
+    heads = [fields for r in manifest.collect() for fields, _ in parsed(gzip.open(f"{scratch.path('w').removeprefix('file://')}/{r['file']}"))]
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len(ids) == len(rows)
+    for h in heads:
+        if h["warc-type"] == "revisit":
+            led = ids[h["warc-refers-to"]]
+            assert led["warc-type"] == "response" and led["warc-payload-digest"] == h["warc-payload-digest"] and led.get("warc-target-uri") == h.get("warc-refers-to-target-uri")
     seen = set()
     for r in got:
         text = texts[r["payload_digest"]]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm.neighbours import nearest
+from corpusloom.llm.neighbours import Tree, nearest
 from corpusloom.llm.quality_knn import classify, train
 from corpusloom.session import Scratch
 from tests.llm.helpers import LONG, ODD, parquet, table
@@ -27,8 +27,7 @@ def test_recall_and_scores(spark):
     rows = parquet(spark, "embeddings", "0.1")
     want = brute_force([(r["vec_id"], r["embedding"]) for r in rows.collect()], 5)
     got = {}
-    # a leaf below the table's size, so that the trees really split
-    for r in nearest(spark, rows, Scratch(spark), F.col("vec_id") % 50 == 0, leaf=200).collect():
+    for r in nearest(spark, rows, Scratch(spark), F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert got.keys() == want.keys()
     hits = 0
@@ -49,6 +48,26 @@ def test_descent_goes_on_until_the_lists_settle(spark):
     assert sum(r["vec_id"] in want[r["query_id"]] for r in found) >= 0.75 * 5 * len(want)
 
 
+@pytest.mark.parametrize("offset", [0.0, 4.0])
+def test_recall_comes_from_the_descent(spark, offset):
+    """Also where all vectors have a common part. A narrow beam does not make up for a graph that was never improved."""
+    x = np.random.default_rng(7).standard_normal((3000, 24)) + offset
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = {q: {i for i, _ in near} for q, near in brute_force(list(enumerate(x)), 5).items()}
+    share = {}
+    for descents in (None, 0):
+        found = nearest(spark, rows, Scratch(spark), F.col("vec_id") % 50 == 0, trees=3, beam=12, expanded=4, descents=descents).collect()
+        share[descents] = sum(r["vec_id"] in want[r["query_id"]] for r in found) / (5 * len(want))
+    assert share[None] >= 0.95 and share[0] < 0.85, share
+
+
+def test_leaves_are_small_wherever_the_vectors_lie():
+    x = (np.random.default_rng(2).standard_normal((20_000, 16)) + 5).astype(np.float32)
+    for depth, sample in ((9, x[:4000]), (9, x[:300])):
+        sizes = np.bincount(Tree(sample, depth, np.random.default_rng(1)).cell(x))
+        assert len(sizes) <= 512 and np.percentile(np.repeat(sizes, sizes), 99) <= 20 * 20_000 / 512
+
+
 def test_vectors_that_take_no_part_and_ties(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, -1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 0.0]), (9, []), (2, [1.0, 1.0]), (50, [0.0, 0.0]), (100, None)]
