@@ -1,13 +1,14 @@
 """Quality rules, secret scans and token counts against plain Python."""
 
 import hashlib
+import math
 import re
 import time
 from collections import Counter
 
 import pytest
 
-from corpusloom.llm.quality_rules import quality_rules
+from corpusloom.llm.quality_rules import COMMON, quality_rules
 from corpusloom.llm.secrets import all_spans, base_spans, redacted, scan
 from corpusloom.llm.token_counts import default_model, token_counts
 from corpusloom.session import Scratch
@@ -78,6 +79,83 @@ def test_quality_rules_judge_each_language_by_its_own_reference(spark):
     assert max(found.values()) < 0.05
 
 
+def char_class(c):
+    sets = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\x0b\x0c\r", "\n")
+    return next((k for k, s in enumerate(sets) if c in s), 6 if c in "#*$%&|<>" else 5 if c.isascii() else 7)
+
+
+def spread(counts):
+    total = sum(counts.values())
+    return {k: v / total for k, v in counts.items()} if total else {}
+
+
+def divergence(p, q):
+    """Jensen-Shannon distance of two shares, by its definition."""
+    part = lambda a, b: sum(x * math.log2(2 * x / (x + b.get(k, 0))) for k, x in a.items() if x > 0)
+    return math.sqrt(max(0, (part(p, q) + part(q, p)) / 2)) if p else 0.0
+
+
+def verdicts(rows):
+    """The rule's distances by plain Python: rows (lang, text) -> per row (base failed, summed relative distance)."""
+    fold = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
+    facts = []
+    for lang, text in rows:
+        known = COMMON.get(lang, "").split()
+        w = words(text)
+        folded = Counter(x if x in known else None for x in (y.translate(fold) for y in w))
+        n_repeat = base_counts(text)[-1]
+        facts.append((lang, len(w), len(w) < 50 or 2 * n_repeat > len(w), spread(Counter(map(char_class, text or ""))), spread(folded)))
+    passing = [f for f in facts if not f[2]]
+    sizes = Counter(f[0] for f in passing)
+    own = {x for x, n in sizes.items() if x and (x in COMMON or n >= 20)}
+    refs = {}
+    for name in {f[0] if f[0] in own else "" for f in passing}:
+        group = [f for f in passing if (f[0] if f[0] in own else "") == name]
+        middle = lambda xs: sorted(round(4096 * x) for x in xs)[(len(xs) + 1) // 2 - 1] / 4096
+        chars = {k: middle([f[3].get(k, 0) for f in group]) for k in range(8)}
+        rest = middle([f[4].get(None, 0) for f in group])
+        near = []
+        for f in group:
+            good = divergence(f[3], spread(chars)) <= 0.2
+            if name in COMMON:
+                other = f[4].get(None, 0)
+                good = good and divergence({0: 1 - other, 1: other}, {0: 1 - rest, 1: rest}) <= 0.2 + 1 / math.sqrt(f[1])
+            if good:
+                near.append(f)
+        sums = [Counter(), Counter()]
+        for f in near or group:
+            for total, share in zip(sums, f[3:]):
+                total.update(share)
+        refs[name] = (spread(sums[0]) if near or not any(chars.values()) else spread(chars), spread(sums[1]))
+    out = []
+    for lang, n, failed, chars, share in facts:
+        name, far = lang if lang in own else "", 0
+        if name in refs and n:
+            far = divergence(chars, refs[name][0]) / (0.1 + 0.6 / math.sqrt(n))
+            far += divergence(share, refs[name][1]) / (0.15 + 1 / math.sqrt(n)) if name in COMMON else 0
+        out.append((failed, far))
+    return out
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_quality_verdicts_are_those_of_plain_python(spark, extra):
+    docs = parquet(spark, "documents", "0.01").select("doc_id", "text", "lang")
+    if extra:
+        rows = [(10**6 + k, junk_text(k, 60 + 40 * k), (None, "en", "xx", "de")[k % 4]) for k in range(24)]
+        rows += [(10**7 + k, " ".join(chr(0x431 + (k * i) % 29) * (1 + i % 5) for i in range(60)), ("ru", "yy")[k % 2]) for k in range(1, 60)]
+        docs = docs.where("doc_id % 3 = 0 and doc_id > 100").unionByName(table(spark, ODD + REPEATED + rows).select("doc_id", "text", "lang"))
+    found = {r["doc_id"]: r for r in quality_rules(spark, docs, Scratch(spark)).where("doc_id is not null").collect()}
+    rows = docs.collect()
+    rejected = 0
+    for r, (failed, far) in zip(rows, verdicts([(r["lang"], r["text"]) for r in rows])):
+        if r["doc_id"] is not None:
+            got = found[r["doc_id"]]
+            assert got["base_failed"] == failed
+            assert got["kept"] == (not failed and far <= 2) or abs(far - 2) < 1e-6, (r["doc_id"], far)
+            rejected += not failed and far > 2
+    assert rejected > 0
+
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
