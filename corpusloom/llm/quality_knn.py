@@ -3,7 +3,8 @@
 Texts become weighted counts of hashed words and word shapes (runs of upper case, lower case, digits
 and other characters). A singular value decomposition of a bounded sample of labelled rows gives the
 latent space. The sample's vectors are broadcast; every document is compared with all of them by exact
-blocked cosine products, and its nearest neighbours vote with their similarity.
+blocked cosine products, and its nearest neighbours vote with their similarity; those that tie with the
+last of them vote too, so that copies in the sample have no order.
 
 Defined results: null and empty texts have no term and get the sample's share of good rows as score;
 null ids and repeated rows give one row each; null labels are no labels; of a labelled id with several
@@ -29,6 +30,8 @@ SAMPLE_ROWS = 4_000
 TERMS = 2_048
 DIMENSIONS = 64
 BLOCK = 256
+#: Cosines this much apart are a tie.
+TIED = 1e-5
 
 SHAPE = np.full(256, 0, np.uint8)
 SHAPE[97:123], SHAPE[65:91], SHAPE[48:58] = 1, 2, 3
@@ -84,13 +87,14 @@ class Model:
         balance = prior / (1 - prior) if 0.5 < prior < 1 else 1.0  # votes of the rarer, bad class count for more
         out = np.full(len(counts), prior)
         k = min(self.neighbours, len(self.labels))
+        voices = np.where(self.labels > 0, 1, balance)
         for a in range(0, len(counts) if k else 0, BLOCK):
             cosine = self.latent(counts[a : a + BLOCK]) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** 4
-            weight *= np.where(self.labels[near] > 0, 1, balance)
-            total = weight.sum(axis=1)
-            out[a : a + BLOCK] = np.where(total > 1e-9, (weight * self.labels[near]).sum(axis=1) / np.maximum(total, 1e-9), prior)
+            last = np.partition(cosine, len(self.labels) - k, axis=1)[:, len(self.labels) - k]
+            row, near = np.nonzero(cosine >= last[:, None] - TIED)
+            weight = np.maximum(cosine[row, near], 0).astype(np.float64) ** 4 * voices[near]
+            total, good = (np.bincount(row, w, minlength=len(cosine)) for w in (weight, weight * self.labels[near]))
+            out[a : a + BLOCK] = np.where(total > 1e-9, good / np.maximum(total, 1e-9), prior)
         return np.clip(out, 0, 1)
 
 

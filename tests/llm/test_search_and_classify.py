@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm.neighbours import Tree, nearest
-from corpusloom.llm.quality_knn import classify, train
+from corpusloom.llm.quality_knn import classify, term_counts, train
+from corpusloom.llm.textbytes import Texts
 from corpusloom.session import Scratch
 from tests.llm.helpers import LONG, ODD, parquet, table
 
@@ -101,6 +102,27 @@ def test_held_out_accuracy(spark):
     assert (scored[scored["quality"] == 1]["predicted"] == 1).mean() >= 0.97
 
 
+def test_votes_are_those_of_all_cosines(spark):
+    """Each text's vote worked out alone, row by row; copies in the sample tie, and all of them have a vote."""
+    docs, labels = parquet(spark, "documents"), parquet(spark, "labels")
+    copies = docs.where("doc_id < 8").crossJoin(spark.range(1, 31)).withColumn("doc_id", F.col("doc_id") + 10**6 * F.col("id")).drop("id")
+    docs = docs.unionByName(copies).unionByName(docs.where("doc_id = 1").withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(-1).cast(docs.schema["doc_id"].dataType)))
+    labels = labels.select("doc_id", "quality").unionByName(copies.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality")))
+    model = train(spark, docs, labels)
+    assert len(model.labels) > 100 and 0 < model.labels.mean() < 1
+    found = {r["doc_id"]: r["score"] for r in classify(spark, docs, model).collect()}
+    prior = model.labels.mean()
+    weigh = [1 if good else max(1.0, prior / (1 - prior)) for good in model.labels]
+    for r in docs.select("doc_id", "text").collect():
+        (own,) = model.latent(term_counts(Texts([r["text"]])))
+        sims = [sum(a * b for a, b in zip(own.tolist(), v)) for v in model.vectors.tolist()]
+        last = sorted(sims, reverse=True)[model.neighbours - 1]
+        votes = [(max(0, c) ** 4 * w, good) for c, w, good in zip(sims, weigh, model.labels) if c >= last - 1e-5]
+        total = sum(v for v, _ in votes)
+        want = sum(v * good for v, good in votes) / total if total > 1e-9 else prior
+        assert found[r["doc_id"]] == pytest.approx(want, abs=1e-4), r["doc_id"]
+
+
 def test_classifier_edges(spark):
     docs = table(spark, ODD + [(11, LONG)])
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (None, 1), (8, 1), (8, 1)], "doc_id long, quality int")
