@@ -147,11 +147,17 @@ def forest(vectors: DataFrame, count: int, n: int, keep: int, trees: int, leaf:
     return cells.repartition(n, "cell").sortWithinPartitions("cell", F.xxhash64("node")).mapInPandas(compared, EDGES)
 
 
-def around(edges: DataFrame, reverse: int) -> DataFrame:
-    """(node, nbr, fresh): each node's own list and the best reverse of those that list it."""
+def listed(edges: DataFrame, reverse: int) -> DataFrame:
+    """Each node's own list and the best reverse of those that list it; a pair may be there twice."""
     back = edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim", "fresh")
     back = back.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))).where(F.col("k") <= reverse).drop("k")
-    return edges.unionByName(back).groupBy("node", "nbr").agg(F.max("fresh").alias("fresh"))
+    return edges.unionByName(back)
+
+
+def around(edges: DataFrame, reverse: int) -> DataFrame:
+    """(node, nbr, fresh): what is around each node around which something is fresh, keep + reverse rows of a node at most."""
+    sets = listed(edges, reverse).groupBy("node").agg(F.collect_set("nbr").alias("all"), F.collect_set(F.when(F.col("fresh"), F.col("nbr"))).alias("new"))
+    return sets.where(F.size("new") > 0).select("node", F.explode("all").alias("nbr"), "new").withColumn("fresh", F.array_contains("new", F.col("nbr"))).drop("new")
 
 
 def descend(edges: DataFrame, vectors: DataFrame, n: int, keep: int, reverse: int) -> DataFrame:
@@ -202,7 +208,7 @@ def build(spark: SparkSession, vectors: DataFrame, scratch: Scratch, neighbours:
         replaced, entries = edges.agg(F.count_if("fresh"), F.count("*")).first()
         if replaced <= settled * entries:
             break
-    return scratch.save(around(edges, 2 * reverse).select("node", "nbr"), "graph")
+    return scratch.save(listed(edges, 2 * reverse).select("node", "nbr").distinct(), "graph")
 
 
 @F.pandas_udf(FloatType())
@@ -221,19 +227,21 @@ def search(spark: SparkSession, starts: DataFrame, vectors: DataFrame, graph: Da
         return pairs.select("q", "node", dots("q_vec", "vec").alias("sim"), F.lit(True).alias("open"))
 
     def cut(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("k", F.row_number().over(by_sim)).where(F.col("k") <= beam).drop("k")
+        """The beams, with go: the open nodes that are expanded next."""
+        best = rows.withColumn("k", F.row_number().over(by_sim)).where(F.col("k") <= beam)
+        place = F.row_number().over(Window.partitionBy("q", "open").orderBy(F.desc("sim"), "node"))
+        return best.withColumn("go", F.col("open") & (place <= expanded)).drop("k")
 
     first = asked.select("q", F.col("q").alias("node")).join(graph, "node").select("q", F.col("nbr").alias("node")).where("q != node")
     beams = scratch.save(cut(scored(first)), "beams-0")
     for turn in itertools.count(1):
-        waiting = beams.where("open").withColumn("k", F.row_number().over(by_sim)).where(F.col("k") <= expanded).select("q", "node")
-        waiting = scratch.save(waiting, f"waiting-{turn}")
+        waiting = beams.where("go").select("q", "node")
         if waiting.isEmpty():
             break
         reached = waiting.join(graph, "node").select("q", F.col("nbr").alias("node")).where("q != node").distinct().join(beams.select("q", "node"), ["q", "node"], "left_anti")
-        closed = beams.join(waiting.withColumn("done", F.lit(True)), ["q", "node"], "left").select("q", "node", "sim", (F.col("open") & F.col("done").isNull()).alias("open"))
+        closed = beams.select("q", "node", "sim", (F.col("open") & ~F.col("go")).alias("open"))
         beams = scratch.save(cut(closed.unionByName(scored(reached))), f"beams-{turn}")
-        scratch.drop(f"beams-{turn - 1}", f"waiting-{turn}")
+        scratch.drop(f"beams-{turn - 1}")
     return beams.select("q", "node", "sim")
 
 
