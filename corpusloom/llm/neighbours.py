@@ -34,6 +34,8 @@ NEIGHBOURS, REVERSED, TREES, LEAF, FIRST, SETTLED = 32, 16, 6, 64, 8, 0.001
 #: Vectors that the trees are fitted on, whatever the input's size, and the fewest of them that a cell is fitted on.
 SAMPLE, FITTED = 16_384, 16
 BEAM, EXPANDED = 256, 48
+#: Nodes up to which half-float codes, and floats, of all nodes may be broadcast (about 30 MB).
+CODES, VECTORS = 200_000, 100_000
 EDGES = "node long, nbr long, sim float"
 
 
@@ -62,7 +64,10 @@ def usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def merged(rows: DataFrame, n: int, keep: int) -> DataFrame:
-    """Edges (with fresh) -> the keep most similar neighbours of each node; one is fresh unless any of its rows is not."""
+    """Edges (with fresh) -> the keep most similar neighbours of each node; one is fresh unless any of its rows is not.
+
+    low is what a neighbour must exceed to enter the node's list; head marks one row of each node.
+    """
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, _ in whole_groups(frames, "node"):
@@ -77,9 +82,12 @@ def merged(rows: DataFrame, n: int, keep: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             rank = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
             ok = rank < keep
-            yield pd.DataFrame({"node": node[ok], "nbr": nbr[ok], "sim": sim[ok], "fresh": fresh[ok]})
+            sizes = np.diff(np.append(first, len(node)))
+            lows = np.where(sizes < keep, np.float32(-2), sim[first + np.minimum(sizes, keep) - 1])
+            low = np.repeat(lows, sizes)
+            yield pd.DataFrame({"node": node[ok], "nbr": nbr[ok], "sim": sim[ok], "fresh": fresh[ok], "low": low[ok], "head": rank[ok] == 0})
 
-    return rows.repartition(n, "node").sortWithinPartitions("node").mapInPandas(best, EDGES + ", fresh boolean")
+    return rows.repartition(n, "node").sortWithinPartitions("node").mapInPandas(best, EDGES + ", fresh boolean, low float, head boolean")
 
 
 def top_of(sims: np.ndarray, keep: int) -> np.ndarray:
@@ -147,23 +155,24 @@ def forest(vectors: DataFrame, count: int, n: int, keep: int, trees: int, leaf:
     return cells.repartition(n, "cell").sortWithinPartitions("cell", F.xxhash64("node")).mapInPandas(compared, EDGES)
 
 
-def listed(edges: DataFrame, reverse: int) -> DataFrame:
-    """Each node's own list and the best reverse of those that list it; a pair may be there twice."""
-    back = edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim", "fresh")
-    back = back.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "nbr"))).where(F.col("k") <= reverse).drop("k")
-    return edges.unionByName(back)
+def listed(edges: DataFrame, n: int, reverse: int) -> DataFrame:
+    """Each node's own list and the best reverse of those that list it, dealt by node; a pair may be there twice."""
+    own = edges.select("node", "nbr", "sim", "fresh", F.lit(True).alias("own"))
+    back = edges.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim", "fresh", F.lit(False).alias("own"))
+    place = F.row_number().over(Window.partitionBy("node", "own").orderBy(F.desc("sim"), "nbr"))
+    return own.unionByName(back).repartition(n, "node").withColumn("k", place).where(F.col("own") | (F.col("k") <= reverse)).select("node", "nbr", "fresh")
 
 
-def around(edges: DataFrame, reverse: int) -> DataFrame:
-    """(node, nbr, fresh): what is around each node around which something is fresh, keep + reverse rows of a node at most."""
-    sets = listed(edges, reverse).groupBy("node").agg(F.collect_set("nbr").alias("all"), F.collect_set(F.when(F.col("fresh"), F.col("nbr"))).alias("new"))
+def around(edges: DataFrame, n: int, reverse: int) -> DataFrame:
+    """(node, nbr, fresh): what is around each node around which something is fresh, keep + reverse rows of a node at most; dealt by node."""
+    sets = listed(edges, n, reverse).groupBy("node").agg(F.collect_set("nbr").alias("all"), F.collect_set(F.when(F.col("fresh"), F.col("nbr"))).alias("new"))
     return sets.where(F.size("new") > 0).select("node", F.explode("all").alias("nbr"), "new").withColumn("fresh", F.array_contains("new", F.col("nbr"))).drop("new")
 
 
-def descend(edges: DataFrame, vectors: DataFrame, n: int, keep: int, reverse: int) -> DataFrame:
+def descend(edges: DataFrame, vectors: DataFrame, count: int, n: int, keep: int, reverse: int) -> DataFrame:
     """One round: pairs of nodes around a common node, one of them new there, that improve on either's list."""
-    worst = edges.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("c")).select(F.col("node").alias("nbr"), F.when(F.col("c") < keep, -2.0).otherwise(F.col("low")).cast("float").alias("low"))
-    sent = vectors.select(F.col("node").alias("nbr"), "code").join(worst, "nbr")
+    lows = edges.where("head").select(F.col("node").alias("nbr"), "low")
+    sent = vectors.select(F.col("node").alias("nbr"), "code").join(small(lows, count), "nbr")
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f, starts in whole_groups(frames, "node"):
@@ -181,8 +190,10 @@ def descend(edges: DataFrame, vectors: DataFrame, n: int, keep: int, reverse: in
                 _, first = np.unique(np.stack([node, nbr]), axis=1, return_index=True) if len(node) < 1_000 else (0, unique_pairs(node, nbr))
                 yield pd.DataFrame({"node": node[first], "nbr": nbr[first], "sim": sim[first]})
 
-    near = around(edges, reverse).join(sent, "nbr")
-    found = near.repartition(n, "node").sortWithinPartitions("node").mapInPandas(local, EDGES)
+    near = around(edges, n, reverse).join(small(sent, count, CODES), "nbr")
+    # a broadcast leaves the rows dealt by node
+    near = near if count <= CODES else near.repartition(n, "node")
+    found = near.sortWithinPartitions("node").mapInPandas(local, EDGES)
     return merged(edges.select("node", "nbr", "sim", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True))), n, keep)
 
 
@@ -203,12 +214,12 @@ def build(spark: SparkSession, vectors: DataFrame, scratch: Scratch, neighbours:
     first = forest(vectors, count, n, FIRST, trees, leaf).withColumn("fresh", F.lit(True))
     edges = scratch.save(merged(first, n, neighbours), "edges-0")
     for turn in itertools.count(1) if descents is None else range(1, descents + 1):
-        edges = scratch.save(descend(edges, vectors, n, neighbours, reverse), f"edges-{turn}")
+        edges = scratch.save(descend(edges, vectors, count, n, neighbours, reverse), f"edges-{turn}")
         scratch.drop(f"edges-{turn - 1}")
         replaced, entries = edges.agg(F.count_if("fresh"), F.count("*")).first()
         if replaced <= settled * entries:
             break
-    return scratch.save(listed(edges, 2 * reverse).select("node", "nbr").distinct(), "graph")
+    return scratch.save(listed(edges, n, 2 * reverse).select("node", "nbr").distinct(), "graph")
 
 
 @F.pandas_udf(FloatType())
@@ -219,28 +230,31 @@ def dots(a: pd.Series, b: pd.Series) -> pd.Series:
 def search(spark: SparkSession, starts: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Scratch, beam: int, expanded: int) -> DataFrame:
     """starts(node): nodes to search from -> beams (q, node, sim), when no node of a beam is open any more."""
     asked = scratch.save(starts.join(vectors, "node").select(F.col("node").alias("q"), F.col("vec").alias("q_vec")), "asked")
-    asked_rows = asked.count()
+    asked_rows, count = asked.count(), vectors.count()
+    n = partitions(spark, asked_rows * beam)
     by_sim = Window.partitionBy("q").orderBy(F.desc("sim"), "node")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(vectors.select("node", "vec"), "node").join(small(asked, asked_rows, 50_000), "q")
-        return pairs.select("q", "node", dots("q_vec", "vec").alias("sim"), F.lit(True).alias("open"))
-
-    def cut(rows: DataFrame) -> DataFrame:
-        """The beams, with go: the open nodes that are expanded next."""
-        best = rows.withColumn("k", F.row_number().over(by_sim)).where(F.col("k") <= beam)
+    def best(pairs: DataFrame) -> DataFrame:
+        """(q, node, open) -> the beams, with go: the open nodes that are expanded next. A node is open unless any of its rows is not."""
+        # from here on rows stay dealt by q, unless the vectors are too many to broadcast
+        pairs = pairs.repartition(n, "q").groupBy("q", "node").agg(F.min("open").alias("open"))
+        pairs = pairs.join(small(vectors.select("node", "vec"), count, VECTORS), "node").join(small(asked, asked_rows, VECTORS), "q")
+        scored = pairs.select("q", "node", dots("q_vec", "vec").alias("sim"), "open")
+        kept = scored.withColumn("k", F.row_number().over(by_sim)).where(F.col("k") <= beam)
         place = F.row_number().over(Window.partitionBy("q", "open").orderBy(F.desc("sim"), "node"))
-        return best.withColumn("go", F.col("open") & (place <= expanded)).drop("k")
+        return kept.withColumn("go", F.col("open") & (place <= expanded)).drop("k")
+
+    def reached(nodes: DataFrame, rows: int) -> DataFrame:
+        return small(nodes, rows).join(graph, "node").where("q != nbr").select("q", F.col("nbr").alias("node"), F.lit(True).alias("open"))
 
-    first = asked.select("q", F.col("q").alias("node")).join(graph, "node").select("q", F.col("nbr").alias("node")).where("q != node")
-    beams = scratch.save(cut(scored(first)), "beams-0")
+    beams = scratch.save(best(reached(asked.select("q", F.col("q").alias("node")), asked_rows)), "beams-0")
     for turn in itertools.count(1):
         waiting = beams.where("go").select("q", "node")
-        if waiting.isEmpty():
+        waiting_rows = waiting.count()
+        if not waiting_rows:
             break
-        reached = waiting.join(graph, "node").select("q", F.col("nbr").alias("node")).where("q != node").distinct().join(beams.select("q", "node"), ["q", "node"], "left_anti")
-        closed = beams.select("q", "node", "sim", (F.col("open") & ~F.col("go")).alias("open"))
-        beams = scratch.save(cut(closed.unionByName(scored(reached))), f"beams-{turn}")
+        closed = beams.select("q", "node", (F.col("open") & ~F.col("go")).alias("open"))
+        beams = scratch.save(best(closed.unionByName(reached(waiting, waiting_rows))), f"beams-{turn}")
         scratch.drop(f"beams-{turn - 1}")
     return beams.select("q", "node", "sim")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.llm import neighbours
 from corpusloom.llm.neighbours import Tree, nearest
 from corpusloom.llm.quality_knn import classify, term_counts, train
 from corpusloom.llm.textbytes import Texts
@@ -62,6 +63,21 @@ def test_recall_comes_from_the_descent(spark, offset):
     assert share[None] >= 0.95 and share[0] < 0.85, share
 
 
+def test_shuffled_vectors_give_what_broadcast_ones_give(spark, monkeypatch):
+    rows = parquet(spark, "embeddings", "0.01")
+    narrow = dict(trees=2, leaf=16, beam=12, neighbours=8, reverse=4, expanded=4)
+    search = lambda: sorted(tuple(r) for r in nearest(spark, rows, Scratch(spark), F.col("vec_id") % 50 == 0, **narrow).collect())
+    want = search()
+    monkeypatch.setattr(neighbours, "CODES", 0)
+    monkeypatch.setattr(neighbours, "VECTORS", 0)
+    monkeypatch.setattr(neighbours, "small", lambda df, rows, limit=0: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert search() == want and want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_leaves_are_small_wherever_the_vectors_lie():
     x = (np.random.default_rng(2).standard_normal((20_000, 16)) + 5).astype(np.float32)
     for depth, sample in ((9, x[:4000]), (9, x[:300])):
