@@ -98,4 +98,26 @@ FROM seen LEFT JOIN ranks ON seen.host = ranks.host
 """
 
 
-SQL = {"op1_nn_descent": NEAREST, "op7_warc": WARC, "op8_url_filter": url_filter(), "op9_ngram_jaccard": NGRAMS}
+AUDIT = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT doc_id, part, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+  + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+h AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, (1 << (ascii(substr(filter_order, step, 1)) - 65))::INT AS own,
+  coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k::INT, 1)) - 65))), 0)::INT AS prior FROM o, (SELECT unnest(range(1, 6)) AS step)),
+c AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (own | prior) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN mask & own > 0 AND mask & prior = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & own > 0 AND mask & prior > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & own > 0 AND mask & prior = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN mask & own > 0 AND mask & prior = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM h, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM c
+"""
+
+
+SQL = {"op1_nn_descent": NEAREST, "op7_warc": WARC, "op8_url_filter": url_filter(), "op9_ngram_jaccard": NGRAMS, "op13_filter_audit": AUDIT}

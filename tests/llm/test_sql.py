@@ -15,7 +15,7 @@ def plain(rows):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     want = con.execute(SQL[name])
     columns = [c[0] for c in want.description]
