@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.extraction import long_enough
 from corpusloom.functions.scores import dot, mean_vector, truncated_min_max
-from corpusloom.operators.knn import nearest
+from corpusloom.operators.knn import threshold_pairs
 
 
 def mentions(triples: DataFrame) -> DataFrame:
@@ -88,15 +88,27 @@ def diversity_norm(nodes: DataFrame, spread: DataFrame, **how) -> DataFrame:
     return truncated_min_max(entities, "diversity", **how).select("node", "kind", "diversity", "norm").unionByName(passages)
 
 
-def synonyms(entities: DataFrame, k: int = 2047, threshold: float = 0.8, most: int = 101) -> DataFrame:
-    """entities(entity, v) -> (src, dst, weight): cosine neighbours at the threshold or above, self among the k but not kept.
+def synonyms(entities: DataFrame, threshold: float = 0.8, most: int = 101, new: DataFrame | None = None) -> DataFrame:
+    """entities(entity, v) -> (src, dst, weight): for each source the most cosine neighbours at the threshold or above.
 
-    Entities of two letters or fewer look for none; blank ones are never found. A source keeps most of them.
+    Entities of two letters or fewer look for none; blank ones are never found. With new(entity, v), some of the
+    entities, only pairs with at least one of them are made and compared: united with what earlier calls found,
+    their first of each source are those of all entities together.
     """
-    near = nearest(entities.where(long_enough(F.col("entity"))).select(F.col("entity").alias("query"), "v"), entities.withColumnRenamed("entity", "item"), k, unit_length=True, least=threshold)
-    kept = near.where((F.col("score") >= threshold) & (F.col("query") != F.col("item")) & (F.trim("item") != ""))
-    nth = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
-    return kept.withColumn("_nth", nth).where(F.col("_nth") <= most).select(F.col("query").alias("src"), F.col("item").alias("dst"), F.col("score").alias("weight"))
+    asking = lambda df: df.where(long_enough(F.col("entity"))).select(F.col("entity").alias("query"), "v")
+    found = lambda df: df.where(F.trim("entity") != "").select(F.col("entity").alias("item"), "v")
+    if new is None:
+        near = threshold_pairs(asking(entities), found(entities), threshold)
+    else:
+        old = entities.join(new.select("entity"), "entity", "left_anti")
+        near = threshold_pairs(asking(new), found(entities), threshold).unionByName(threshold_pairs(asking(old), found(new), threshold))
+    return nearest_sources(near.where("query != item").select(F.col("query").alias("src"), F.col("item").alias("dst"), F.col("score").alias("weight")), most)
+
+
+def nearest_sources(pairs: DataFrame, most: int) -> DataFrame:
+    """pairs(src, dst, weight): the most of each source, those equal to 9 places by name."""
+    nth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.round("weight", 9)), "dst"))
+    return pairs.withColumn("_nth", nth).where(F.col("_nth") <= most).select("src", "dst", "weight")
 
 
 def overridden(edges: DataFrame, by: DataFrame) -> DataFrame:

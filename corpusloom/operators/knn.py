@@ -1,21 +1,26 @@
 """Exact nearest neighbours by blocks, with partial and final top-k.
 
-Both sides are dealt to blocks of bounded size; each pair of blocks meets in one task as one matrix product
-and passes on its best k per query only. A stated query set that fits one block is sent to the items instead,
-which then stay where they are.
+A stated query set that fits one block is sent to the items, which then stay where they are; otherwise both sides
+are dealt to blocks of bounded size, and each pair of blocks meets in one task as one matrix product. What a task
+keeps of its products (all, the best of each query, their least and greatest) is gathered while it reads, so
+only that leaves it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import Scratch, small
+
 #: Rows of a block of either side, and queries up to which they are broadcast.
 BLOCK = 4096
+#: Vectors that blocks of a threshold join lie around, rows they are chosen from, and the width of a block in radians.
+PIVOTS, PIVOT_ROWS, BAND = 48, 4096, 0.15
 
 
 def matrix(column: pd.Series, unit_length: bool = False) -> np.ndarray:
@@ -23,55 +28,232 @@ def matrix(column: pd.Series, unit_length: bool = False) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if unit_length else x
 
 
-def best(queries: np.ndarray, items: np.ndarray, scores: np.ndarray, k: int | None, least: float) -> pd.DataFrame:
-    """What can be among the k best items of each query (all of them without k), with scores of least or more."""
-    if k is None or k >= len(items):
-        rows, cols = np.repeat(np.arange(len(queries)), len(items)), np.tile(np.arange(len(items)), len(queries))
-    else:
-        # everything not below the k-th best stays, so that ties are settled by the final rank
-        floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(scores >= floor)
-    ok = scores[rows, cols] >= least
-    return pd.DataFrame({"query": queries[rows[ok]], "item": items[cols[ok]], "score": scores[rows[ok], cols[ok]]})
+class Pairs:
+    """Every product of least or more."""
+
+    fields = "score double"
+
+    def __init__(self, queries: np.ndarray, least: float = -np.inf):
+        self.queries, self.least = queries, least
+
+    def add(self, items: np.ndarray, scores: np.ndarray) -> Iterator[pd.DataFrame]:
+        rows, cols = np.nonzero(scores >= self.least)
+        yield pd.DataFrame({"query": self.queries[rows], "item": items[cols], "score": scores[rows, cols]})
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        yield from ()
+
+
+class Best:
+    """The k best items of each query, equal to 9 places by item, each beside the query's least and greatest product."""
+
+    fields = "score double, low double, high double"
+
+    def __init__(self, queries: np.ndarray, k: int, least: float = -np.inf):
+        self.queries, self.k, self.least = queries, k, least
+        self.low, self.high = np.full(len(queries), np.inf), np.full(len(queries), -np.inf)
+        self.floor = np.full(len(queries), least)
+        self.pool: list[pd.DataFrame] = []
+        self.held = 0
+
+    def add(self, items: np.ndarray, scores: np.ndarray) -> Iterator[pd.DataFrame]:
+        if scores.size:
+            self.low, self.high = np.minimum(self.low, scores.min(axis=1)), np.maximum(self.high, scores.max(axis=1))
+            if scores.shape[1] > self.k:
+                own = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+                self.floor = np.maximum(self.floor, own - 1e-9)
+            rows, cols = np.nonzero(scores >= self.floor[:, None])
+            self.pool.append(pd.DataFrame({"at": rows, "item": items[cols], "score": scores[rows, cols]}))
+            self.held += len(rows)
+            if self.held > 4 * len(self.queries) * self.k + 100_000:
+                self.cut()
+        yield from ()
+
+    def cut(self) -> pd.DataFrame:
+        all_of = pd.concat(self.pool, ignore_index=True)
+        order = all_of.assign(by=-all_of["score"].round(9)).sort_values(["at", "by", "item"]).index
+        best = all_of.loc[order].groupby("at", sort=False).head(self.k)
+        full = best.groupby("at")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.floor[full.index] = np.maximum(self.floor[full.index], full["min"] - 1e-9)
+        self.pool, self.held = [best], len(best)
+        return best
 
+    def end(self) -> Iterator[pd.DataFrame]:
+        if self.pool:
+            best = self.cut()
+            at = best["at"].to_numpy()
+            yield pd.DataFrame({"query": self.queries[at], "item": best["item"].to_numpy(), "score": best["score"].to_numpy(), "low": self.low[at], "high": self.high[at]})
 
-def products(queries: DataFrame, items: DataFrame, k: int | None = None, unit_length: bool = False, block: int = BLOCK, least: float = -np.inf) -> DataFrame:
-    """queries(query, v) x items(item, v) -> (query, item, score): products, or cosines of unit_length, of least or more.
 
-    k keeps what can be among a query's k best; a final rank over the result is left to the caller. Null
-    vectors take no part; all vectors need one length.
+class Extremes(Best):
+    """The least and greatest product of each query."""
+
+    fields = "low double, high double"
+
+    def __init__(self, queries: np.ndarray):
+        super().__init__(queries, 1)
+
+    def add(self, items: np.ndarray, scores: np.ndarray) -> Iterator[pd.DataFrame]:
+        if scores.size:
+            self.low, self.high = np.minimum(self.low, scores.min(axis=1)), np.maximum(self.high, scores.max(axis=1))
+        yield from ()
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        seen = self.low <= self.high
+        yield pd.DataFrame({"query": self.queries[seen], "low": self.low[seen], "high": self.high[seen]})
+
+
+def folded(queries: DataFrame, items: DataFrame, keep: Callable[[np.ndarray], Pairs | Best], unit_length: bool = False, block: int = BLOCK) -> DataFrame:
+    """queries(query, v) x items(item, v): what keep(query ids) makes of their products, or of their cosines.
+
+    Null vectors take no part; all vectors need one length.
     """
     queries, items = (df.where("v is not null") for df in (queries.select("query", "v"), items.select("item", "v")))
-    schema = f"query {queries.schema['query'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, score double"
-    n_queries = queries.count()
-    if n_queries <= block:
-        asked = queries.toPandas()
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((queries, "query"), (items, "item"))}
+    fields = keep(np.empty(0, object)).fields
+    schema = f"query {kinds['query']}, {'' if fields == Extremes.fields else 'item ' + kinds['item'] + ', '}{fields}"
+    asked = queries.limit(block + 1).toPandas()
+    if len(asked) <= block:
         sent = items.sparkSession.sparkContext.broadcast((asked["query"].to_numpy(), matrix(asked["v"], unit_length)))
 
         def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q = sent.value
+            kept = keep(ids)
             for f in frames:
                 for a in range(0, len(f) if len(ids) else 0, block):
                     part = f.iloc[a : a + block]
-                    yield best(ids, part["item"].to_numpy(), q @ matrix(part["v"], unit_length).T, k, least)
+                    yield from kept.add(part["item"].to_numpy(), q @ matrix(part["v"], unit_length).T)
+            yield from kept.end()
 
         return items.mapInPandas(scored, schema)
-    n_items = items.count()
-    q_blocks, i_blocks = -(-n_queries // block), max(1, -(-n_items // block))
-    left = queries.select(F.lit(0).alias("side"), F.col("query"), F.lit(None).cast(items.schema["item"].dataType).alias("item"), "v", F.pmod(F.xxhash64("query"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))).alias("ib"))
-    right = items.select(F.lit(1).alias("side"), F.lit(None).cast(queries.schema["query"].dataType).alias("query"), "item", "v", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), F.pmod(F.xxhash64("item"), F.lit(i_blocks)).alias("ib"))
+    q_blocks, i_blocks = -(-queries.count() // block), max(1, -(-items.count() // block))
+    deal = lambda df, c, own, n_own, other, n_other: df.select(c, "v", F.pmod(F.xxhash64(c), F.lit(n_own)).cast("long").alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))).alias(other))
+    return met(deal(queries, "query", "a", q_blocks, "b", i_blocks), deal(items, "item", "b", i_blocks, "a", q_blocks), keep, schema, unit_length)
+
+
+def met(left: DataFrame, right: DataFrame, keep: Callable[[np.ndarray], Pairs | Best], schema: str, unit_length: bool) -> DataFrame:
+    """left(query, v, a, b), right(item, v, a, b): products within each (a, b)."""
+    kinds = {c: df.schema[c].dataType for df, c in ((left, "query"), (right, "item"))}
+    left = left.select("query", F.lit(None).cast(kinds["item"]).alias("item"), "v", "a", "b", F.lit(0).alias("side"))
+    right = right.select(F.lit(None).cast(kinds["query"]).alias("query"), "item", "v", "a", "b", F.lit(1).alias("side"))
 
-    def met(f: pd.DataFrame) -> pd.DataFrame:
+    def product(f: pd.DataFrame) -> pd.DataFrame:
         q, i = f[f["side"] == 0], f[f["side"] == 1]
-        if not len(q) or not len(i):
-            return pd.DataFrame({"query": [], "item": [], "score": []})
-        return best(q["query"].to_numpy(), i["item"].to_numpy(), matrix(q["v"], unit_length) @ matrix(i["v"], unit_length).T, k, least)
+        kept = keep(q["query"].to_numpy())
+        out = []
+        if len(q) and len(i):
+            out = [*kept.add(i["item"].to_numpy(), matrix(q["v"], unit_length) @ matrix(i["v"], unit_length).T), *kept.end()]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return left.unionByName(right).groupBy("a", "b").applyInPandas(product, schema)
+
 
-    return left.withColumns({"qb": F.col("qb").cast("long"), "ib": F.col("ib").cast("long")}).unionByName(right.withColumns({"qb": F.col("qb").cast("long"), "ib": F.col("ib").cast("long")})).groupBy("qb", "ib").applyInPandas(met, schema)
+def products(queries: DataFrame, items: DataFrame, unit_length: bool = False, block: int = BLOCK, least: float = -np.inf) -> DataFrame:
+    """(query, item, score): all products, or cosines of unit_length, of least or more."""
+    return folded(queries, items, lambda ids: Pairs(ids, least), unit_length, block)
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, unit_length: bool = False, block: int = BLOCK, least: float = -np.inf) -> DataFrame:
     """(query, item, score, rank): the k best items of each query with scores of least or more, those equal to 9 places ordered by item."""
-    found = products(queries, items, k, unit_length, block, least).withColumn("_by", F.round("score", 9))
+    return first(folded(queries, items, lambda ids: Best(ids, k, least), unit_length, block).drop("low", "high"), k)
+
+
+def first(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_by"), "item"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).drop("_by")
+    return found.withColumn("_by", F.round("score", 9)).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).drop("_by")
+
+
+def normal(score: str = "score") -> F.Column:
+    span = F.col("high") - F.col("low")
+    return F.when(span == 0, 1.0).otherwise((F.col(score) - F.col("low")) / span)
+
+
+def best_normal(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query, item, raw, score, rank): the k best products, and these brought to 0..1 between the query's least and greatest, in one pass."""
+    found = Scratch(items.sparkSession).save(folded(queries, items, lambda ids: Best(ids, k), block=block), "best")
+    bounds = found.groupBy("query").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    top = first(found.drop("low", "high"), k)
+    return top.join(bounds, "query").select("query", "item", F.col("score").alias("raw"), normal().alias("score"), "rank")
+
+
+def all_normal(queries: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(query, item, raw, score): all products, also brought to 0..1 within a query. The bounds are gathered first, so that no pair is shuffled where queries are broadcast."""
+    bounds = folded(queries, items, Extremes, block=block).groupBy("query").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    bounds = Scratch(items.sparkSession).save(bounds, "bounds")
+    found = products(queries, items, block=block).join(small(bounds, bounds.count()), "query")
+    return found.select("query", "item", F.col("score").alias("raw"), normal().alias("score"))
+
+
+# --- cosines above a threshold, with blocks that cannot hold any left out
+
+
+def pivots(items: DataFrame) -> np.ndarray:
+    """Directions far from each other, from the PIVOT_ROWS items with the least hashes. They decide what is compared, never what is found."""
+    x = matrix(items.orderBy(F.xxhash64("item")).limit(PIVOT_ROWS).toPandas()["v"], True)
+    if not len(x):
+        return x
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(PIVOTS, len(x)) and near.min() < 0.999:
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def celled(rows: DataFrame, key: str, centres: np.ndarray, block: int) -> DataFrame:
+    """rows(key, v) with cell (nearest centre), band (angle to it) and lot, and the angle."""
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, v array<double>, cell int, band int, angle double"
+
+    def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                near = matrix(f["v"], True) @ centres.T
+                cell = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(f)), cell], -1, 1))
+                yield pd.DataFrame({key: f[key], "v": f["v"], "cell": cell.astype(np.int32), "band": (angle / BAND).astype(np.int32), "angle": angle})
+
+    return rows.select(key, "v").where("v is not null").mapInPandas(placed, schema)
+
+
+def block_pairs(left: pd.DataFrame, right: pd.DataFrame, centres: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Places of the blocks (cell, low, high) of both sides that may hold vectors with a cosine of least or more.
+
+    Angles obey the triangle inequality: between blocks around centres t apart no angle is below t - high - high,
+    low - t - high or low' - t - high'.
+    """
+    far = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    t = far[np.ix_(left["cell"], right["cell"])]
+    (a, b), (c, d) = ((side[["low"]].to_numpy(), side[["high"]].to_numpy()) for side in (left, right))
+    bound = np.maximum.reduce([t - b - d.T, a - t - d.T, c.T - t - b])
+    # an angle is off by about sqrt(eps) where vectors all but coincide
+    return list(zip(*np.nonzero(bound <= np.arccos(min(1.0, least)) + 1e-6)))
+
+
+def threshold_pairs(queries: DataFrame, items: DataFrame, least: float, block: int = BLOCK, counted: dict | None = None) -> DataFrame:
+    """(query, item, score): all cosines of least or more. counted, if given, gets the products made and those of all pairs."""
+    scratch = Scratch(items.sparkSession)
+    centres = pivots(items)
+    if not len(centres):
+        return products(queries, items, True, block, least)
+    sides = {}
+    for name, rows in (("query", queries), ("item", items)):
+        cells = scratch.save(celled(rows, name, centres, block), name)
+        stats = cells.groupBy("cell", "band").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+        sides[name] = cells, stats.orderBy("cell", "band").toPandas()
+    (left, l_stats), (right, r_stats) = sides["query"], sides["item"]
+    pairs = block_pairs(l_stats, r_stats, centres, least) if len(l_stats) and len(r_stats) else []
+    if counted is not None:
+        counted |= {"made": int(sum(l_stats["n"][i] * r_stats["n"][j] for i, j in pairs)), "all": int(l_stats["n"].sum() * r_stats["n"].sum())}
+    lots = lambda n: -(-int(n) // block)
+    spark = items.sparkSession
+    plan = [(int(l_stats["cell"][i]), int(l_stats["band"][i]), int(r_stats["cell"][j]), int(r_stats["band"][j]), lots(l_stats["n"][i]), lots(r_stats["n"][j]), at) for at, (i, j) in enumerate(pairs)]
+    plan = spark.createDataFrame(plan, "lc int, lb int, rc int, rb int, l_lots int, r_lots int, pair long")
+    # a pair of blocks of more than block rows is dealt out to lots of both sides
+    span = F.lit(1 << 20)
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("long")
+    other = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    l_rows = left.join(F.broadcast(plan), (F.col("cell") == F.col("lc")) & (F.col("band") == F.col("lb"))).select("query", "v", "pair", own("query", "l_lots").alias("x"), other("r_lots").alias("y"))
+    r_rows = right.join(F.broadcast(plan), (F.col("cell") == F.col("rc")) & (F.col("band") == F.col("rb"))).select("item", "v", "pair", own("item", "r_lots").alias("y"), other("l_lots").alias("x"))
+    at = lambda df, key: df.select(key, "v", F.col("pair").alias("a"), (F.col("x") * span + F.col("y")).alias("b"))
+    kinds = f"query {queries.schema['query'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, {Pairs.fields}"
+    return met(at(l_rows, "query"), at(r_rows, "item"), lambda ids: Pairs(ids, least), kinds, True)

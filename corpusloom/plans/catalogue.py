@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.extraction import clean_entities, doubt, long_enough, valid_triples
-from corpusloom.functions.scores import mean_vector, min_max, truncated_min_max, unit
+from corpusloom.functions.scores import mean_vector, truncated_min_max, unit
 from corpusloom.functions.text import PUNCTUATION, SPACES, content_id, extracted_answer, normalize_answer, qa_prompt, text_processing
 from corpusloom.operators import graph as G
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import store as S
 from corpusloom.operators.evaluation import CUTS, at_cuts, exact_match, pooled_at_cuts, word_f1
+from corpusloom.session import Scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-ROUNDS = 20
+#: Rounds of the SQL, enough for residuals that halve each time to fall below LEAST.
+ROUNDS, LEAST = 24, 1e-7
 
 
 def query(sql: str | None = None):
@@ -64,7 +66,7 @@ fv AS (SELECT s, o, list(x ORDER BY dim) AS v FROM fd GROUP BY ALL),
 fs AS MATERIALIZED (SELECT query, s, o, s || '|' || o AS fact, list_dot_product(qv, v) AS raw FROM q, fv),
 fn AS (SELECT *, CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1.0::DOUBLE ELSE (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) END AS score FROM fs WINDOW w AS (PARTITION BY query)),
 pn AS (SELECT *, (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) AS score FROM ps WINDOW w AS (PARTITION BY query)),
-ft AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, fact) AS rank FROM fn QUALIFY rank <= 5),
+ft AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(raw, 9) DESC, fact) AS rank FROM fn QUALIFY rank <= 5),
 ec AS (SELECT entity, count(*) AS chunks FROM m GROUP BY 1),
 pw AS MATERIALIZED (SELECT query, entity, avg(score / chunks) AS weight FROM (SELECT query, score, unnest([s, o]) AS entity FROM ft) JOIN ec USING (entity) GROUP BY ALL),
 fe AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT s AS src, o AS dst FROM t UNION ALL SELECT o, s FROM t) WHERE src <> dst GROUP BY ALL),
@@ -84,16 +86,17 @@ rs AS MATERIALIZED (SELECT query, entity AS node, weight AS r FROM pw UNION ALL
 
 
 def ppr_sql(edges: str, keyed: bool) -> str:
-    """BASE, then one table expression per round."""
+    """BASE, then one table expression per round: residuals above LEAST are settled and passed on."""
     on = "query, src" if keyed else "src"
     out = BASE + f""", ed AS MATERIALIZED ({edges}),
 sh AS MATERIALIZED (SELECT *, weight / sum(weight) OVER (PARTITION BY {on}) AS share FROM ed WHERE weight > 0),
-r0 AS MATERIALIZED (SELECT query, node, r / sum(r) OVER (PARTITION BY query) AS rank FROM rs WHERE r > 0)"""
+x0 AS MATERIALIZED (SELECT query, node, 0.0::DOUBLE AS p, r / sum(r) OVER (PARTITION BY query) AS rank FROM rs WHERE r > 0)"""
     join = "x.node = sh.src AND x.query = sh.query" if keyed else "x.node = sh.src"
     for k in range(1, ROUNDS + 1):
         out += f""",
-r{k} AS MATERIALIZED (SELECT query, node, sum(part) AS rank FROM (SELECT x.query, sh.dst AS node, 0.5::DOUBLE * x.rank * sh.share AS part FROM r{k - 1} x JOIN sh ON {join} UNION ALL SELECT query, node, 0.5::DOUBLE * rank FROM r0) GROUP BY ALL)"""
-    return out
+x{k} AS MATERIALIZED (SELECT query, node, sum(p) AS p, sum(part) AS rank FROM (SELECT x.query, sh.dst AS node, 0.0::DOUBLE AS p, 0.5::DOUBLE * x.rank * sh.share AS part FROM x{k - 1} x JOIN sh ON {join} WHERE x.rank > {LEAST} UNION ALL SELECT query, node, p + CASE WHEN rank > {LEAST} THEN 0.5::DOUBLE * rank ELSE 0.0::DOUBLE END, CASE WHEN rank > {LEAST} THEN 0.0::DOUBLE ELSE rank END FROM x{k - 1}) GROUP BY ALL)"""
+    return out + f""",
+r{ROUNDS} AS MATERIALIZED (SELECT query, node, p + 0.5::DOUBLE * rank AS rank FROM x{ROUNDS})"""
 
 
 @query("SELECT doc_id, 'chunk-' || md5(text) AS chunk_id FROM documents")
@@ -204,21 +207,20 @@ def diversity_of(spark, d):
 
 
 def passages_of(spark, d):
-    return R.scored(asked(spark, d), vectors(spark, d), "chunk")
+    return R.scored_normal(asked(spark, d), vectors(spark, d), "chunk")
 
 
 def relevance_of(spark, d):
     return truncated_min_max(R.relevance(G.mentions(triples(spark, d)), passages_of(spark, d)), "relevance", "query")
 
 
-@query(BASE + "SELECT query, chunk, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM pn QUALIFY rank <= 10")
+@query(BASE + "SELECT query, chunk, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(raw, 9) DESC, chunk) AS rank FROM pn QUALIFY rank <= 10")
 def dense_retrieval(spark, d):
-    s = min_max(passages_of(spark, d), "raw", "query").select("query", "chunk", F.round("score", 9).alias("score"))
-    return R.ranked(s, "score", "chunk", 10).withColumn("score", F.round("score", 6))
+    return R.best_scored(asked(spark, d), vectors(spark, d), "chunk", 10).select("query", "chunk", F.round("score", 6).alias("score"), "rank")
 
 
 def facts_of(spark, d):
-    return min_max(R.scored(asked(spark, d), fact_vectors(spark, d), "fact", "s", "o"), "raw", "query").drop("raw")
+    return R.scored_normal(asked(spark, d), fact_vectors(spark, d), "fact").drop("raw")
 
 
 @query(BASE + "SELECT query, fact, round(score, 6) AS score FROM fn")
@@ -227,7 +229,7 @@ def fact_scores(spark, d):
 
 
 def picked_of(spark, d):
-    return R.ranked(facts_of(spark, d).withColumn("by", F.round("score", 9)), "by", "fact", 5)
+    return R.best_scored(asked(spark, d), Scratch(spark).save(fact_vectors(spark, d), "facts"), "fact", 5, "s", "o")
 
 
 @query(BASE + "SELECT query, fact, rank FROM ft")
@@ -247,7 +249,7 @@ def entity_relevance(spark, d):
 
 def reset_of(spark, d):
     seeds = R.phrase_weights(picked_of(spark, d), G.mentions(triples(spark, d))).select("query", F.col("entity").alias("node"), F.col("weight").alias("r"))
-    prior = min_max(passages_of(spark, d), "raw", "query").select("query", F.col("chunk").alias("node"), (0.08 * F.col("score")).alias("r"))
+    prior = passages_of(spark, d).select("query", F.col("chunk").alias("node"), (0.08 * F.col("score")).alias("r"))
     return seeds.unionByName(prior)
 
 
@@ -271,11 +273,15 @@ DIRECTED = "SELECT query, src, dst, weight FROM dw UNION ALL SELECT query, src,
 
 def vanilla_of(spark, d):
     t = triples(spark, d)
-    return R.pagerank(spark, G.fact_edges(t).unionByName(G.passage_edges(G.mentions(t))), reset_of(spark, d), rounds=ROUNDS)
+    return R.pagerank(spark, G.fact_edges(t).unionByName(G.passage_edges(G.mentions(t))), reset_of(spark, d), rounds=ROUNDS, least=LEAST)
+
+
+def factors_of(spark, d):
+    return R.factors(spark, G.fact_edges(triples(spark, d)), diversity_of(spark, d), relevance_of(spark, d))
 
 
 def directed_of(spark, d):
-    return R.pagerank(spark, G.passage_edges(G.mentions(triples(spark, d))), reset_of(spark, d), rounds=ROUNDS, keyed=weights_of(spark, d))
+    return R.pagerank(spark, G.passage_edges(G.mentions(triples(spark, d))), reset_of(spark, d), rounds=ROUNDS, own=factors_of(spark, d), least=LEAST)
 
 
 @query(ppr_sql(UNDIRECTED, False) + f"SELECT query, node, round(rank, 6) AS rank FROM r{ROUNDS}")
@@ -309,7 +315,7 @@ def graph_retrieval_directed(spark, d):
 
 @query(BASE + ", rk AS (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, chunk) AS rank FROM pn), g AS (SELECT a.vec_id AS query, b.chunk FROM t a JOIN t b ON a.o = b.o WHERE a.vec_id % 50 = 0), h AS (SELECT query, k, count(*) FILTER (rank <= k) / count(*) AS recall, count(*) FILTER (rank <= k) / least(k, any_value(n)) AS precision FROM g JOIN rk USING (query, chunk), (SELECT count(*) AS n FROM t), (SELECT unnest([1, 2, 5, 10, 20, 30, 50, 100, 150, 200])::BIGINT AS k) GROUP BY query, k) SELECT k, round(avg(recall), 4) AS recall, round(avg(precision), 4) AS precision, round(avg(CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END), 4) AS f1 FROM h GROUP BY k")
 def recall_at_k(spark, d):
-    s = min_max(passages_of(spark, d), "raw", "query").select("query", "chunk", F.round("score", 9).alias("score"))
+    s = passages_of(spark, d).select("query", "chunk", F.round("score", 9).alias("score"))
     t = triples(spark, d)
     gold = t.join(asked(spark, d).select("query", F.concat(F.lit("bucket "), F.floor(F.col("query") / 13)).alias("o")), "o").select("query", "chunk")
     return pooled_at_cuts(at_cuts(R.ranked(s, "score", "chunk", max(CUTS)), gold))

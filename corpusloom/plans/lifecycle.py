@@ -10,18 +10,20 @@ from corpusloom.functions import parsing
 from corpusloom.functions.extraction import merged_triples, reformatted
 from corpusloom.functions.scores import mean_vector
 from corpusloom.functions.text import embedding_text, merged_by_first_line, qa_prompt, too_long
-from corpusloom.models import PatternExtractor
+from corpusloom.functions.templates import Template
+from corpusloom.models import FunctionLLM, MemoLLM, PatternExtractor
 from corpusloom.operators import graph as G
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import store as S
 from corpusloom.operators.evaluation import exact_match, pooled, word_f1
 from corpusloom.operators.knn import nearest
 from corpusloom.plans import catalogue as C
-from corpusloom.plans.catalogue import BASE, GOLD, ROUNDS, TOP, UNDIRECTED, ppr_sql, query, table
+from corpusloom.plans.catalogue import BASE, GOLD, LEAST, ROUNDS, TOP, UNDIRECTED, ppr_sql, query, table
+from corpusloom.reasoning import reason
 from corpusloom.session import Scratch
 from corpusloom.sources.samples import gold_answers as answers_of
 from corpusloom.sources.samples import gold_documents as documents_of
-from corpusloom.sources.tables import entity_lengths, extraction_documents
+from corpusloom.sources.tables import Tables, entity_lengths, extraction_documents
 
 SIX = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
@@ -144,7 +146,7 @@ def entity_only_of(spark: SparkSession, d: str, directed: bool) -> DataFrame:
     entities = G.mentions(t).select(F.col("entity").alias("node")).distinct()
     edges = G.induced(G.fact_edges(t).unionByName(G.passage_edges(G.mentions(t))), entities)
     seeds = C.reset_of(spark, d).join(entities, "node", "left_semi").select("query", "node", "r")
-    ranks = R.pagerank(spark, edges.where("false") if directed else edges, seeds, rounds=ROUNDS, keyed=C.weights_of(spark, d) if directed else None)
+    ranks = R.pagerank(spark, edges.where("false") if directed else edges, seeds, rounds=ROUNDS, own=C.factors_of(spark, d) if directed else None, least=LEAST)
     top = R.ranked(ranks.withColumnRenamed("rank", "score").withColumn("by", F.round("score", 9)), "by", "node", 20)
     return top.select("query", "node", (F.col("rank") - 1).alias("rank"), *SIX("score"))
 
@@ -172,7 +174,7 @@ def black_hole_topk(spark, d):
 def retrieval_artifacts(spark, d):
     """Per query the first five seeds, passages by product and passages by rank, ranks from 0."""
     seeds = R.phrase_weights(C.picked_of(spark, d), G.mentions(C.triples(spark, d))).select("query", F.lit("seed").alias("part"), F.col("entity").alias("key"), "weight")
-    passages = R.min_max(C.passages_of(spark, d), "raw", "query").select("query", F.lit("passage").alias("part"), F.col("chunk").alias("key"), F.col("score").alias("weight"))
+    passages = C.passages_of(spark, d).select("query", F.lit("passage").alias("part"), F.col("chunk").alias("key"), F.col("score").alias("weight"))
     chunks = C.vectors(spark, d).select(F.col("chunk").alias("node"))
     found = C.vanilla_of(spark, d).join(chunks, "node", "left_semi").select("query", F.lit("found").alias("part"), F.col("node").alias("key"), F.col("rank").alias("weight"))
     first = [R.ranked(x.withColumn("by", F.round("weight", 9)), "by", "key", 5) for x in (seeds, passages, found)]
@@ -184,7 +186,7 @@ def retrieve_with_fallback(spark, d):
     """Queries whose id is divisible by 100 lose all their facts, as if a filter had refused them, and get dense ranks."""
     chunks = C.vectors(spark, d).select(F.col("chunk").alias("node"))
     found = C.vanilla_of(spark, d).join(chunks, "node", "left_semi").select("query", F.col("node").alias("chunk"), F.col("rank").alias("score"))
-    dense = R.min_max(C.passages_of(spark, d), "raw", "query").select("query", "chunk", "score")
+    dense = C.passages_of(spark, d).select("query", "chunk", "score")
     both = R.with_fallback(found, dense, C.picked_of(spark, d).where("query % 100 != 0"))
     return R.ranked(both.withColumn("by", F.round("score", 9)), "by", "chunk", 10).select("query", "chunk", "rank", *SIX("score"))
 
@@ -353,7 +355,7 @@ def fuzzy_fact_match(spark, d):
     return c.select("conv_id", "turn", F.array_join(found[0], "|").alias("fact"))
 
 
-# --- the life cycle of an index
+# --- the life cycle of an index, and reasoning over it
 
 DOCS = """WITH docs AS (SELECT n_name || ' is part of ' || r_name || '.' AS text, n_nationkey AS nation FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT s_name || ' is based in ' || n_name || '.', n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
@@ -439,4 +441,79 @@ def engine_retrieval(spark, d):
     return indexed(spark, docs).retrieve(nations, 5).select("query", "rank", "chunk", "content", *SIX("score"))
 
 
+class SubjectEmbedder:
+    """A direction in the plane for the first word of a text, so that a thought finds the passage that begins like it."""
 
+    def passages(self, text):
+        angle = F.conv(F.substring(F.md5(F.substring_index(text, " ", 1)), 1, 10), 16, 10).cast("double") / (1 << 38)
+        return F.array(F.cos(angle), F.sin(angle))
+
+    entities = query_to_fact = query_to_passage = passages
+
+
+def next_place(talk: list[tuple[str, str]]) -> str:
+    """A scripted model: from where someone lives to the land that this is part of, if the passages say so."""
+    told, asked = talk[-1][1].split("Question: ")
+    who = asked.split(" ")[0]
+    if "Thought: " in asked:
+        last = asked.split("Thought: ")[-1].split(" ")[0]
+        place = [s.split(" is part of ")[1].strip().rstrip(".") for s in told.split("\n") if s.startswith(f"{last} is part of ")]
+        return f"{last} is part of {place[0]}. So the answer is: {place[0]}." if place else ""
+    lives = [s for s in told.split(". ") if f"{who} lives in " in s]
+    return f"{lives[0].split(' lives in ')[1].split('.')[0]} is part of what?" if lives else ""
+
+
+@query("""SELECT c_custkey::BIGINT AS query, 'answer' AS ended, 2 AS rounds, r_name AS answer, n_name || ' is part of what?|' || n_name || ' is part of ' || r_name || '. So the answer is: ' || r_name || '.' AS thoughts
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE strpos(n_name, ' ') = 0
+UNION ALL SELECT s_suppkey + 1000000, 'error', 1, NULL, '' FROM supplier""")
+def iterative_reasoning(spark, d):
+    """In which region does each customer live: two steps over the indexed sentences; suppliers live nowhere, which ends them at once."""
+    docs = rel_docs(spark, d)
+    engine = Engine(spark, Scratch(spark).path("index"), embedder=SubjectEmbedder())
+    engine.index(docs, graph=False)
+    nation = table(spark, d, "nation").where("n_name not like '% %'").select(F.col("n_nationkey").alias("c_nationkey"))
+    customers = table(spark, d, "customer").join(F.broadcast(nation), "c_nationkey").select(F.col("c_custkey").cast("long").alias("query"), F.concat("c_name", F.lit(" lives in which region?")).alias("question"))
+    suppliers = table(spark, d, "supplier").select((F.col("s_suppkey") + 1_000_000).cast("long").alias("query"), F.concat("s_name", F.lit(" lives in which region?")).alias("question"))
+    steps, _ = reason(customers.unionByName(suppliers), lambda q: engine.retrieve_dense(q, 1), FunctionLLM(next_place))
+    return steps.select("query", "ended", "rounds", "answer", F.array_join("thoughts", "|").alias("thoughts"))
+
+
+class StopsAtEntities(NoSynonyms):
+    """Ends an index after the extractions, chunks, triples and mentions have been written."""
+
+    def entities(self, text):
+        raise InterruptedError
+
+
+@query(DOCS.format(keep="true") + STORED)
+def recovered_index(spark, d):
+    """Indexing that stops half way, then an engine opened anew that is given other documents first and then all."""
+    docs = rel_docs(spark, d)
+    engine = indexed(spark, docs.where("nation % 2 = 0"), embedder=NoSynonyms())
+    engine.embedder = StopsAtEntities()
+    try:
+        engine.index(docs)
+    except InterruptedError:
+        pass
+    again = Engine(spark, engine.tables.root, embedder=NoSynonyms(), extractor=engine.extractor)
+    again.index(docs.where("nation = 1"))
+    again.index(docs)
+    return stored(again)
+
+
+@query("SELECT conv_id, turn, role || ' ' || length(text) AS message, (role, text) IN (SELECT (role, text) FROM conversations WHERE turn % 2 = 1) AS hit FROM conversations")
+def memoised_replies(spark, d):
+    """A model asked about uneven turns, then about all: it is called for what is new only."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("who"), "text")
+    memo = MemoLLM(FunctionLLM(lambda talk: f"{talk[0][0]} {len(talk[0][1])}"), Tables(spark, Scratch(spark).path("memo")), "counter", limit=5)
+    talk = F.array(F.struct(F.col("who").alias("role"), F.col("text").alias("content")))
+    memo.replies(c.where("turn % 2 = 1"), talk, "reply").isEmpty()
+    return memo.replies(c, talk, "reply").select("conv_id", "turn", "reply.message", F.col("reply.cache_hit").alias("hit"))
+
+
+@query("SELECT conv_id, turn, 'system|Say it as ' || role || ' for $' || turn || '|user|' || role || ': turn ' || turn || chr(10) || 'Question: why?' AS prompt FROM conversations")
+def rendered_prompts(spark, d):
+    asked = Template("why", (("system", "Say it as ${who} for $$$turn"), ("user", "$who: turn ${turn}\nQuestion: ${q}")))
+    made = asked.render(who=F.col("role"), turn=F.col("turn").cast("string"), q=F.lit("why?"))
+    shown = F.array_join(F.flatten(F.transform(made, lambda m: F.array(m["role"], m["content"]))), "|")
+    return table(spark, d, "conversations").select("conv_id", "turn", shown.alias("prompt"))

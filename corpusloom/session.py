@@ -39,7 +39,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         bound_batches(spark)
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.named: list[str] = []
+        self.root = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -48,10 +49,32 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+        """df written in buckets of keys: joins on these read it where it lies, however often they come."""
+        table = f"corpusloom_{uuid.uuid4().hex}"
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", self.path(name)).saveAsTable(table)
+        self.named.append(table)
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         for name in names:
             remove(self.spark, self.path(name))
 
+    def close(self) -> None:
+        """Delete everything; only for tables that nothing reads any more."""
+        for table in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(self.spark, self.root)
+
+
+def clear_ended(spark: SparkSession, ended: set[str]) -> int:
+    """Delete the scratch tables of applications that have ended, named by their ids; returns how many had any."""
+    jvm, base = spark.sparkContext._jvm, shared_dir(spark)
+    own = spark.sparkContext.applicationId
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{base}/scratch-{a}") for a in sorted(ended - {own})]
+    return sum(bool(fs.delete(p, True)) for p in paths)
+
 
 def running_sum(rows: DataFrame, value: str, at: str, *by: str, step: int = 4096) -> DataFrame:
     """rows with upto: the sum of value over rows of the same by with a smaller at.

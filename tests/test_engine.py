@@ -39,11 +39,14 @@ def test_worked_example(spark):
     own = R.directed_weights(edges, spread, rel)
     weights = {r["src"] + r["dst"]: r["weight"] for r in own.collect()}
     assert weights == pytest.approx({"AB": 3.48e-6, "AC": 0.99999304, "AD": 3.48e-6, "BA": 0.1, "CA": 0.1, "CD": 0.9, "DA": 1.4e-7, "DC": 0.09999986, "BB": 0.9, "DD": 0.9}, abs=1e-7)
-    ranks = R.pagerank(spark, G.passage_edges(mentioned), reset, rounds=30, keyed=own)
+    ranks = R.pagerank(spark, G.passage_edges(mentioned), reset, keyed=own, least=1e-10)
     want = {"A": 0.35787598, "B": 0.225242, "C": 0.0791435, "D": 0.03974966, "p1": 0.12645796, "p2": 0.05792508, "p3": 0.11360582}
     assert {r["node"]: r["rank"] for r in ranks.collect()} == pytest.approx(want, abs=1e-7)
+    parts = R.factors(spark, edges, spread, rel)
+    ranks = R.pagerank(spark, G.passage_edges(mentioned), reset, own=parts, least=1e-10)
+    assert {r["node"]: r["rank"] for r in ranks.collect()} == pytest.approx(want, abs=1e-7)
     plain = edges.withColumn("weight", F.when(F.col("src").isin("A", "B") & F.col("dst").isin("A", "B"), 2.0).otherwise(1.0))
-    ranks = R.pagerank(spark, plain.unionByName(G.passage_edges(mentioned)), reset, rounds=30)
+    ranks = R.pagerank(spark, plain.unionByName(G.passage_edges(mentioned)), reset, least=1e-10)
     want = {"A": 0.4275605, "B": 0.22749519, "C": 0.06480514, "D": 0.05421053, "p1": 0.09386886, "p2": 0.03864068, "p3": 0.0934191}
     assert {r["node"]: r["rank"] for r in ranks.collect()} == pytest.approx(want, abs=1e-7)
     # without loops, a source without downward edges gives its whole budget up; entities without passages have relevance 0
@@ -56,7 +59,7 @@ def test_worked_example(spark):
 def test_nodes_without_an_edge_out_give_their_rank_back(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 1.0), ("c", "d", float("nan"))], "src string, dst string, weight double")
     reset = spark.createDataFrame([(0, "a", 1.0), (0, "b", 1.0), (1, "b", 2.0)], "query long, node string, r double")
-    got = {(r["query"], r["node"]): r["rank"] for r in R.pagerank(spark, edges, reset, rounds=25).collect()}
+    got = {(r["query"], r["node"]): r["rank"] for r in R.pagerank(spark, edges, reset).collect()}
     p = np.array([[0, 0, 0], [0.25, 0, 0], [0.75, 1, 0]])
     for q, r in ((0, np.array([0.5, 0.5, 0])), (1, np.array([0, 1.0, 0]))):
         x = r
@@ -84,9 +87,9 @@ NEW = ["Harrow is part of Estmark.", "Bel Orr lives in Norvik!"]
 def test_life_cycle(spark):
     docs = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
     queries = spark.createDataFrame([(0, "Where does Bel Orr live?"), (1, "Which land holds Norvik?"), (2, "Where does Bel Orr live?")], "query long, question string")
-    state = lambda e: {n: sorted(map(str, e.tables.read(n).collect())) for n in ("chunks", "entities", "facts", "extractions", "nodes", "edges")}
+    state = lambda e: {n: sorted(map(str, e.tables.read(n).collect())) for n in ("chunks", "entities", "facts", "extractions", "nodes", "edges", "triples", "mentions")}
     root = Scratch(spark).path("life")
-    engine = Engine(spark, root, options=Options(rounds=10))
+    engine = Engine(spark, root, options=Options(least=1e-4))
     engine.index(docs([]))
     engine.index(docs(DOCS))
     first = state(engine)
@@ -96,7 +99,7 @@ def test_life_cycle(spark):
     found = engine.retrieve(queries, 3).collect()
     assert {r["query"]: r["content"] for r in found if r["rank"] == 1}[0] == "Bel Orr lives in Norvik." and len(found) == 9
     assert sorted((r["rank"], r["chunk"]) for r in found if r["query"] == 0) == sorted((r["rank"], r["chunk"]) for r in found if r["query"] == 2)
-    again = Engine(spark, root, options=Options(rounds=10))
+    again = Engine(spark, root, options=Options(least=1e-4))
     again.index(docs(NEW))
     assert again.chunks().count() == 7
     counts = again.delete(docs([*NEW, "unknown"])).first()
@@ -107,8 +110,8 @@ def test_life_cycle(spark):
     assert out["qa"].first()["exact_match"] == 1.0 and {r["k"]: r["recall"] for r in out["retrieval"].collect()}[5] == 1.0
     # no fact is picked: dense ranks for all
     refused = Engine(spark, root, fact_filter=ReplyFilter(FunctionLLM(lambda talk: "I can't say")))
-    dense = sorted(map(str, refused.retrieve_dense(queries, 3).collect()))
-    assert sorted(map(str, refused.retrieve(queries, 3).collect())) == dense
+    shown = lambda df: sorted((r["query"], r["rank"], r["chunk"], round(r["score"], 9)) for r in df.collect())
+    assert shown(refused.retrieve(queries, 3)) == shown(refused.retrieve_dense(queries, 3))
 
 
 def test_stream(spark, tmp_path):
