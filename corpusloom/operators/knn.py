@@ -190,7 +190,8 @@ def all_normal(queries: DataFrame, items: DataFrame, block: int = BLOCK) -> Data
 
 def pivots(items: DataFrame) -> np.ndarray:
     """Directions far from each other, from the PIVOT_ROWS items with the least hashes. They decide what is compared, never what is found."""
-    x = matrix(items.orderBy(F.xxhash64("item")).limit(PIVOT_ROWS).toPandas()["v"], True)
+    x = matrix(items.where("v is not null").orderBy(F.xxhash64("item")).limit(PIVOT_ROWS).toPandas()["v"], True)
+    x = x[np.linalg.norm(x, axis=1) > 0.5]
     if not len(x):
         return x
     chosen, near = [0], x @ x[0]
@@ -230,7 +231,13 @@ def block_pairs(left: pd.DataFrame, right: pd.DataFrame, centres: np.ndarray, le
 
 
 def threshold_pairs(queries: DataFrame, items: DataFrame, least: float, block: int = BLOCK, counted: dict | None = None) -> DataFrame:
-    """(query, item, score): all cosines of least or more. counted, if given, gets the products made and those of all pairs."""
+    """(query, item, score): all cosines of least or more. counted, if given, gets the products made and those of all pairs.
+
+    Queries that fit one block go to the items, which costs queries times items; of larger sets, blocks that the
+    angles between their centres rule out never meet.
+    """
+    if queries.limit(block + 1).count() <= block:
+        return products(queries, items, True, block, least)
     scratch = Scratch(items.sparkSession)
     centres = pivots(items)
     if not len(centres):
