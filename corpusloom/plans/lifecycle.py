@@ -442,11 +442,12 @@ def engine_retrieval(spark, d):
 
 
 class SubjectEmbedder:
-    """A direction in the plane for the first word of a text, so that a thought finds the passage that begins like it."""
+    """A direction for the first word of a text, so that a thought finds the passage that begins like it."""
 
     def passages(self, text):
-        angle = F.conv(F.substring(F.md5(F.substring_index(text, " ", 1)), 1, 10), 16, 10).cast("double") / (1 << 38)
-        return F.array(F.cos(angle), F.sin(angle))
+        word = F.md5(F.substring_index(text, " ", 1))
+        angles = [F.conv(F.substring(word, at, 10), 16, 10).cast("double") / (1 << 38) for at in (1, 11, 21)]
+        return F.array(*[f(a) for a in angles for f in (F.cos, F.sin)])
 
     entities = query_to_fact = query_to_passage = passages
 
