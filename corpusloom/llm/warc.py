@@ -17,13 +17,15 @@ import base64
 import gzip
 import hashlib
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.session import Scratch, salted_join, small
+from corpusloom.llm.sharding import numbered
+from corpusloom.session import Scratch, running_sum, salted_join
 
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 SHARD_BYTES = 64 << 20
@@ -93,6 +95,29 @@ class Files:
             self.out = None
 
 
+def shard_starts(spark: SparkSession, keys: DataFrame, scratch: Scratch, shard_bytes: int) -> list[tuple]:
+    """The first (null, page_id, sha) of each shard: the sorted pages cut where their bytes pass multiples of shard_bytes.
+
+    Ids may lie anywhere in their range, be null or be one for all pages: cuts follow the bytes, and a key with more
+    than a shard's bytes starts several shards.
+    """
+    narrow = keys.select(F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("page_id"), "sha", (F.col("size") + 500).alias("bytes"))
+    rows = scratch.save(numbered(spark, narrow, scratch, "none", "page_id", "sha")[0], "summed")
+    summed = running_sum(rows, "bytes", "row").withColumn("shard", F.floor(F.col("upto") / shard_bytes))
+    found = summed.groupBy("shard").agg(F.min(F.struct("none", "page_id", "sha")).alias("first")).orderBy("shard").collect()
+    scratch.drop("ranges")
+    return [tuple(r["first"]) for r in found]
+
+
+def shard_of(starts: list[tuple], page_id: str | None, sha: str, salt: int) -> tuple[int, int]:
+    """The shard of a page and which of its key's shards that is; a key at which shards start is dealt over these and the one before them by salt."""
+    key = (page_id is None, int(page_id or 0), sha)
+    last = bisect_right(starts, key) - 1
+    begun = max(0, bisect_left(starts, key) - 1) if starts[last] == key else last
+    piece = salt % (last - begun + 1)
+    return begun + piece, piece
+
+
 def write_warc(spark: SparkSession, pages: DataFrame, root: str, scratch: Scratch, revisit_bytes: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
     """Write pages(page_id, url, html) under root, a folder that driver and executors share; returns the manifest."""
     from pyarrow import fs
@@ -105,22 +130,21 @@ def write_warc(spark: SparkSession, pages: DataFrame, root: str, scratch: Scratc
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
     equal = keys.where(F.col("size") >= revisit_bytes).groupBy("sha").agg(first.alias("f"), F.count("*").alias("rows")).where("rows > 1 and f is not null")
     equal = scratch.save(equal.select("sha", F.col("f.page_id").alias("first"), F.col("f.url").alias("first_url"), "rows"), "equal")
-    low, high, total = keys.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    cells = max(1024, 4 * ((total or 0) // shard_bytes))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
-    cell = F.coalesce(F.floor((F.col("page_id") - (low or 0)) / width), F.lit(0)).cast("long")
-    upto = F.sum("bytes").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    shards = keys.groupBy(cell.alias("cell")).agg(F.sum(F.col("size") + 500).alias("bytes")).select("cell", F.floor(F.coalesce(upto, F.lit(0)) / shard_bytes).cast("long").alias("shard"))
-    shards = scratch.save(shards, "shards")
-    n_shards = shards.agg(F.coalesce(F.max("shard"), F.lit(0))).first()[0] + 1
-    joined = salted_join(pages, equal, "sha", "rows", F.col("page_id")).withColumn("cell", cell).join(small(shards, cells + 1), "cell")
+    starts = shard_starts(spark, keys, scratch, shard_bytes)
+
+    @F.pandas_udf("shard long, piece long")
+    def dealt(page_id: pd.Series, sha: pd.Series, salt: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shard_of(starts, i, x, n) for i, x, n in zip(page_id, sha, salt)], columns=["shard", "piece"])
+
+    joined = salted_join(pages, equal, "sha", "rows", F.col("page_id"))
+    joined = joined.withColumn("at", dealt(F.col("page_id").cast("string"), "sha", F.xxhash64(F.monotonically_increasing_id())))
     # a range for each shard: hash partitions would put several shards into one task and none into others
-    ordered = joined.select("shard", "page_id", "url", "html", "first", "first_url").repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "html")
+    ordered = joined.select("at.shard", "at.piece", "page_id", "url", "html", "first", "first_url").repartitionByRange(max(1, len(starts)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "url", "html")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         files, done, led, last, nth = None, [], set(), None, 0
         for f in frames:
-            for shard, page_id, url, text, first, first_url in zip(f["shard"], f["page_id"], f["url"], f["html"], f["first"], f["first_url"]):
+            for shard, piece, page_id, url, text, first, first_url in zip(f["shard"], f["piece"], f["page_id"], f["url"], f["html"], f["first"], f["first_url"]):
                 if files is None or files.shard != shard:
                     if files is not None:
                         files.close()
@@ -129,12 +153,12 @@ def write_warc(spark: SparkSession, pages: DataFrame, root: str, scratch: Scratc
                 page_id, first = (None if pd.isna(x) else int(x) for x in (page_id, first))
                 payload = text.encode("utf-8", "surrogatepass")
                 sha = hashlib.sha1(payload).digest()
-                revisit = first is not None and (page_id != first or sha in led)
+                revisit = first is not None and (page_id != first or sha in led or piece > 0)
                 if first is not None and page_id == first:
                     led.add(sha)
                 url, first_url = (x if isinstance(x, str) else None for x in (url, first_url))
                 # rows come sorted, equal ones in a row
-                nth = nth + 1 if last == (shard, page_id, url, sha) else 0
+                nth = nth + 1 if last == (shard, page_id, url, sha) else int(piece) << 40
                 last = (shard, page_id, url, sha)
                 files.add(record(page_id, url, payload, first, first_url, revisit, nth, date))
         if files is not None:
@@ -144,7 +168,7 @@ def write_warc(spark: SparkSession, pages: DataFrame, root: str, scratch: Scratc
 
     ids = ordered.withColumns({c: F.col(c).cast("string") for c in ("page_id", "first")})
     ids.mapInPandas(write, MANIFEST).write.mode("overwrite").parquet(f"{root}/manifest")
-    scratch.drop("keys", "equal", "shards")
+    scratch.drop("keys", "equal", "summed")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 

@@ -152,3 +152,30 @@ def test_copies_of_a_graph_keep_its_verdicts(spark):
 
 def test_empty_pages(spark):
     assert judge(spark, odd(spark).where("false"), Scratch(spark)).count() == 0
+
+
+def test_shards_follow_the_bytes(spark):
+    """Ids at both ends of a long, one far from all others, a third of them null, and one id for all pages."""
+    html = lambda k: f"<p>{k}</p>" + "x" * 500
+    cases = {
+        "ends": [(-(1 << 63), "http://a/", html(1)), ((1 << 63) - 1, "http://b/", html(2)), (-5, "http://c/", html(1))] + [(k, "http://d/", html(k)) for k in range(300)],
+        "outlier": [(k, "http://a/", html(k)) for k in range(399)] + [(1 << 60, "http://a/", html(5))],
+        "null": [(None if k % 3 == 0 else k, "http://a/", html(k % 50)) for k in range(300)],
+        "one": [(7, "http://a/", html(0)) for _ in range(300)],
+    }
+    for name, rows in cases.items():
+        pages, scratch = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), Scratch(spark)
+        manifest = write_warc(spark, pages, scratch.path("w"), scratch, shard_bytes=20_000, file_bytes=1 << 30).collect()
+        total = sum(len(r[2]) + 500 for r in rows)
+        assert max(r["records"] for r in manifest) * 1010 <= 2 * 20_000 + 1010 and len(manifest) >= total // 40_000, name
+        got = read_warc(spark, scratch.path("w")).collect()
+        assert sorted(str(r["page_id"]) for r in got) == sorted(str(r[0]) for r in rows), name
+        first = {}
+        for i, _, t in rows:
+            if i is not None:
+                first[t] = min(i, first.get(t, i))
+        leads = {}
+        for r in got:
+            if r["record_type"] == "response" and r["page_id"] is not None:
+                leads.setdefault(r["payload_digest"], []).append(r["page_id"])
+        assert sorted(x for v in leads.values() for x in v) == sorted(first.values()), name
