@@ -185,27 +185,22 @@ def pagerank(spark: SparkSession, edges: DataFrame, reset: DataFrame, damping: f
     good = lambda df: df.where("weight > 0 and not isnan(weight)")
     edges = scratch.save(good(edges).select("src", "dst", "weight"), "edges")
     common = scratch.save(edges.groupBy("src").agg(F.sum("weight").alias("common")), "common")
-    heads, ends = common.select("src"), edges.select("dst")
     shares, hubs = dealt(scratch, edges.join(common, "src").select("src", "dst", "weight", (F.col("weight") / F.col("common")).alias("share")), "shares")
-    scales, leaks = None, False
+    scales = None
     if keyed is not None:
         keyed = scratch.save(good(keyed).select("query", "src", "dst", "weight"), "keyed")
         total = F.col("own") + F.coalesce("common", F.lit(0.0))
         sums = scratch.save(keyed.groupBy("query", "src").agg(F.sum("weight").alias("own")).join(common, "src", "left").select("query", "src", (1 / total).alias("a_common")), "totals")
         own_shares = scratch.save(keyed.join(sums, ["query", "src"]).select("query", "src", F.lit(2).alias("kind"), F.col("dst").alias("own_dst"), (F.col("weight") * F.col("a_common")).alias("own_share")), "own-shares")
-        scales, leaks = sums, not sums.join(common, "src", "left_anti").isEmpty()
-        heads, ends = heads.unionByName(sums.select("src")), ends.unionByName(keyed.select("dst"))
+        scales = sums
     elif own is not None:
         scales = scratch.save(own.scales(common), "scales")
         own_edges, own_hubs = dealt(scratch, own.edges.withColumnRenamed("dst", "own_dst"), "own-edges", "own_dst")
-        leaks = not scales.join(common, "src", "left_anti").isEmpty()
-        heads, ends = heads.unionByName(scales.select("src")), ends.unionByName(own.edges.select("dst"))
     reset = reset.select("query", "node", sane(F.col("r")).alias("r")).where("r > 0").groupBy("query", "node").agg(F.sum("r").alias("r"))
     reset = scratch.save(reset, "reset")
     whole = reset.groupBy("query").agg(F.sum("r").alias("_all"))
     carried = [c for c in ("a_common", "a_up", "a_down", "a_loop") if scales is not None and c in scales.columns]
     start = reset.join(whole, "query").select("query", "node", F.lit(0.0).alias("p"), (F.col("r") / F.col("_all")).alias("r"))
-    leaks = leaks or not ends.withColumnRenamed("dst", "src").unionByName(start.select(F.col("node").alias("src"))).join(heads, "src", "left_anti").isEmpty()
     none = [F.lit(None).cast("double").alias(c) for c in carried]
     if carried:
         start = start.select("*", *none).unionByName(scales.join(start.select("query").distinct(), "query", "left_semi").select("query", F.col("src").alias("node"), F.lit(0.0).alias("p"), F.lit(0.0).alias("r"), *carried))
@@ -245,8 +240,12 @@ def pagerank(spark: SparkSession, edges: DataFrame, reset: DataFrame, damping: f
         state = scratch.save(state, f"state-{turn}")
         scratch.drop(f"state-{begun}")
     out = state.where("p > 0 or r > 0").select("query", "node", (F.col("p") + (1 - damping) * F.col("r")).alias("rank"), (damping * F.col("r")).alias("left"))
-    if leaks:
-        out = out.join(out.groupBy("query").agg(F.sum("rank").alias("_all")), "query").select("query", "node", (F.col("rank") / F.col("_all")).alias("rank"), "left")
+    # queries with rank at a node that has no edge out for them have lost some of it
+    stuck = state.where("p > 0" + (" and a_common is null" if carried else "")).join(common.select(F.col("src").alias("node")), "node", "left_anti").select("query").distinct()
+    stuck = scratch.save(stuck, "stuck")
+    if not stuck.isEmpty():
+        sums = out.join(stuck, "query", "left_semi").groupBy("query").agg(F.sum("rank").alias("_all"))
+        out = out.join(sums, "query", "left").select("query", "node", (F.col("rank") / F.coalesce("_all", F.lit(1.0))).alias("rank"), "left")
     return out
 
 
