@@ -276,3 +276,50 @@ def test_token_counts_match_the_library(spark):
 @pytest.mark.parametrize("run", [lambda s, d: quality_rules(s, d, Scratch(s)), lambda s, d: scan(d), lambda s, d: token_counts(d)])
 def test_empty_table(spark, run):
     assert run(spark, table(spark, [])).count() == 0
+
+
+def test_secret_lexer_scores_short_and_many_word_literals():
+    assert literals('pwd = "hunter2"') == ["hunter2"]
+    assert literals("pwd: hunter2") == ["hunter2"]
+    assert literals('passphrase = "correct horse battery staple seven hills"') == ["correct horse battery staple seven hills"]
+    for text in ("pwd = None", "pwd = user", "tokens = 12345", 'pwd = "int"', 'passphrase: "must contain upper case lower case digits"', 'pwd = "please enter the password of your account"'):
+        assert literals(text) == [], text
+
+
+def test_secret_lexer_reads_nested_values_lists_arguments_and_templates():
+    secret, other = "Zx81kqPw92Lm", "Qq77aaBB12#k"
+    for text in (
+        f'{{"auth": {{"value": "{secret}"}}}}', f'passphrases = ["{secret}"]', f'passphrase = decode("{secret}")', f"auth:\n  value: {secret}\n", f"passphrases:\n- {secret}\nuser: bob\n",
+        f'credential = f"{{prefix}}{secret}"', f"credential = `${{prefix}}{secret}`", f'credentials: {{live: {{data: ["{secret}"]}}}}', f'k = "{secret}"\nauth = f"Bearer {{k}}"',
+    ):
+        assert literals(text) == [secret], text
+    assert literals(f'passphrases = ["{secret}", "{other}"]') == [other, secret]
+    for text in (
+        'credential = lookup("GITHUB_ACCOUNT9")', 'pwd = getpass("Type it here: ")', "auth = `Bearer ${jwt}`", f'{{"auth": {{"user": "{secret}"}}}}', 'auth: (see "Figure A12b" below)', f'auth:\n  title: {secret}\n', "passphrases:\n- Identification\n",
+    ):
+        assert literals(text) == [], text
+
+
+def test_secret_lexer_keeps_the_constants_of_functions_apart():
+    first, second = "Zk8#qPw2Lm5v", "Zq9#rrrW2Lm5v"
+    text = f'def a():\n    client_secret = k\n    k = "{first}"\n\ndef b():\n    k = "plain text here"\n    return k\n'
+    assert first in literals(text)
+    assert "plain text here" not in literals(text)
+    outer = f'k = "{second}"\n\ndef a():\n    k = "{first}"\n\ndef b():\n    client_secret = k\n'
+    assert literals(outer) == [second]
+    assert first in literals(f'def a():\n    k = "{first}"\n\ndef b():\n    client_secret = k\n')
+
+
+@pytest.mark.parametrize("line", [lambda i, n: f"token{i} = token{i + 1}", lambda i, n: f"token{n - i} = token{n - i - 1}", lambda i, n: f'k{i} = k{i - 1} + "Ab3"', lambda i, n: "  " * (i % 50) + f"def f{i}(a):", lambda i, n: "auth: (", lambda i, n: "auth:"])
+def test_secret_lexer_follows_long_chains_once(line):
+    def took(n: int) -> float:
+        text = "\n".join(line(i, n) for i in range(n))
+        start = time.process_time()
+        all_spans(text, base_spans(text))
+        return time.process_time() - start
+
+    assert took(20_000) < 12 * took(4_000) + 1
+
+
+def test_secret_lexer_ends_chains_that_close():
+    assert literals("a = b\nb = a\npwd = a") == []
