@@ -93,7 +93,7 @@ WITH u AS (SELECT page_id, html, {host('url')} AS host, regexp_extract({rest('ur
 , seeds AS MATERIALIZED (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS seed FROM chosen WHERE kind IS NOT NULL)
 , r0 AS MATERIALIZED (SELECT kind, host, seed AS rank FROM seeds){steps}
 , ranks AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN rank ELSE 0 END) AS trust, sum(CASE WHEN kind = 'distrust' THEN rank ELSE 0 END) AS distrust FROM r{rounds} GROUP BY host)
-SELECT page_id, seen.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust AND distrust > {floor} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, seen.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust AND distrust * (SELECT count(*) FROM seeds WHERE kind = 'distrust') > {floor} THEN 'block' ELSE 'allow' END) AS verdict
 FROM seen LEFT JOIN ranks ON seen.host = ranks.host
 """
 
