@@ -78,8 +78,8 @@ PAIR = re.compile(rf"""(?i)\b(?:key|name)=["'](?P<run>[{WORD}]+)["']\s+value=["'
 BLOCK = re.compile(rf"(?m)^(?P<indent>[\x20\t]*+)(?:-\x20)?(?P<run>[{WORD}]++):[\x20\t]*+[|>][+-]?[\x20\t]*+\n(?P<lines>(?:(?P=indent)[\x20\t]++\S[^\n]*+(?:\n|\Z))++)")
 #: name = [, name: {, name = (, name = call(
 OPENED = re.compile(rf"(?<![{WORD}])(?P<run>[{WORD}]++)[\"'\]]{{0,2}}[\x20\t]*+(?::=|=>|[=:])\s*+(?:[\[{{(]|(?P<call>[A-Za-z_][A-Za-z0-9_.]*+)\()")
-#: What a stretch in brackets is made of.
-INSIDE = re.compile(rf"(?P<triple>(?s:{TRIPLE}))|(?P<quoted>{QUOTED})|(?P<open>[\[{{(])|(?P<close>[\]}})])|(?P<comma>[,;])|(?P<sets>:=|=>|[=:])|(?P<word>[{WORD}]++)|(?P<other>\S)")
+#: What a stretch in brackets is made of; a quote that does not close takes the rest of its line.
+INSIDE = re.compile(rf"(?P<triple>(?s:{TRIPLE}))|(?P<note>(?<!\S)(?:\#|//)[^\n]*+)|(?P<empty>\"\"|''|``)|(?P<quoted>{QUOTED})|(?P<torn>\"(?:[^\"\\\n]|\\.)*+|'(?:[^'\\\n]|\\.)*+|`[^`\n]*+)|(?P<open>[\[{{(])|(?P<close>[\]}})])|(?P<comma>[,;])|(?P<sets>:=|=>|[=:])|(?P<word>[{WORD}]++)|(?P<other>\S)")
 #: A line: - name: value, where each part may be missing, and a name alone with its colon.
 LINE = re.compile(rf"(?m)^(?P<indent>[\x20\t]*+)(?P<dash>-[\x20\t]++)?(?:[\"']?(?P<run>[{WORD}]++)[\"']?:(?:[\x20\t]++|$))?(?P<value>[^\n]*)$")
 HEADED = re.compile(rf"(?m)^[\x20\t]*+(?:-[\x20\t]++)?[\"']?(?P<run>[{WORD}]++)[\"']?:[\x20\t]*+$")
@@ -232,6 +232,8 @@ def enclosed(text: str) -> list[tuple[str, int, int]]:
         before, key, held = "open", "", None  # kind of the last token, the name before a sign, a literal that waits for what follows
         for m in INSIDE.finditer(text, begin):
             kind, upto = m.lastgroup, m.end()
+            if kind == "note":
+                continue
             if held and kind in ("comma", "close"):
                 name, call, a, b = held
                 if not call or opaque(text[a:b]):

@@ -323,3 +323,13 @@ def test_secret_lexer_follows_long_chains_once(line):
 
 def test_secret_lexer_ends_chains_that_close():
     assert literals("a = b\nb = a\npwd = a") == []
+
+
+def test_secret_lexer_reads_empty_and_torn_quotes_in_brackets():
+    secret = "Zx81kqPw92Lm"
+    assert literals(f'passphrases = ["", "{secret}"]') == [secret]
+    assert literals(f'passphrases = [\n  "{secret}",  # don\'t\n  "Q{secret}",\n]') == [f"Q{secret}", secret]
+    start = time.process_time()
+    for text in ("auth: (" + '"\\' * 100_000, "auth: (" + "'\\" * 100_000, "auth: [" + "`x\n" * 50_000, "auth: [" + "'''" * 50_001):
+        all_spans(text, base_spans(text))
+    assert time.process_time() - start < 20
