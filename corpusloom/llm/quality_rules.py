@@ -1,13 +1,17 @@
 """Quality rules by distribution divergence.
 
 A document's character-class and common-word histograms are compared with a reference of its language
-by Jensen-Shannon distance. References are made from the rows that pass the base rule, each with one
-vote whatever its length. Languages without a list of common words are judged by characters alone; those
-of them with fewer than FEW such rows share one reference.
+by Jensen-Shannon distance. References are fitted on the rows of a table that pass the base rule, each with
+one vote whatever its length; they can be fitted apart from what is judged, stored with a version, and
+given to later runs, so that the verdict on a text does not depend on the table it stands in. Languages
+without a list of common words are judged by characters alone, and their references lean on a shared one
+of all such languages, by 1 / (1 + (rows / PRIOR)^2): with many rows of its own a language has its own
+reference, with few it has nearly the shared one, and no number of rows switches from one to the other.
 
 Defined results: a null or empty text has all counts 0 and fails the base rule; null ids and repeated
-rows give one row each; a null language uses the shared reference; without any row that passes the base
-rule all distances are 0; an empty table gives an empty result; columns that are not named are ignored.
+rows give one row each; a null or empty language counts as one language; one that the references lack uses
+the shared reference; without any row that passes the base rule all distances are 0; an empty table gives an empty
+result; columns that are not named are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.textbytes import FOLD, SPACE, Texts, batches, keyed
@@ -41,12 +45,15 @@ CLASS[192:] = 7
 CLASS[128:192] = 8
 LISTS = {k: list(dict.fromkeys(v.split())) for k, v in COMMON.items()}
 WIDTH = max(map(len, LISTS.values())) + 1
-#: Key of the shared reference, and the rows from which a language has its own.
-SHARED, FEW = "", 20
+#: Key of the shared reference, and the rows of a language without a list at which that is half of its reference.
+SHARED, PRIOR = "*", 5.0
+#: Languages without a list that may have references of their own, most rows first; they are kept on the driver.
+LANGUAGES = 5_000
 #: Steps of a share when medians are taken, and of a vote when votes are summed (whole numbers add up the same in any order).
 STEPS, VOTE = 4096, 1 << 30
 
 SCHEMA = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>"
+REFERENCES = "version string, lang string, n_rows long, chars array<double>, words array<double>"
 
 
 def word_keys() -> dict[str, np.ndarray]:
@@ -79,7 +86,7 @@ def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         line_doc = np.searchsorted(t.bounds, begins, side="right") - 1
         _, first = np.unique(keyed(line_doc, t.span_hash(begins, ends, plain)), return_index=True)
         n_lines, n_first = np.bincount(line_doc, minlength=t.n), np.bincount(line_doc[first], minlength=t.n)
-        lang = own["lang"].where(own["lang"].notna(), SHARED)
+        lang = own["lang"].where(own["lang"].notna(), "")
         words = np.zeros((t.n, WIDTH), np.int64)
         for name, known in keys.items():
             of = (lang == name).to_numpy()
@@ -118,32 +125,45 @@ def refer(lang: pd.Series, own: set[str]) -> pd.Series:
     return lang.where(lang.isin(list(own)), SHARED)
 
 
+def leaning(n: int, prior: float) -> float:
+    """Part of the shared reference in that of a language with n rows."""
+    return 1 / (1 + (n / prior) ** 2) if prior else 0.0
+
+
+def pooled(f: pd.DataFrame, own: set[str]) -> pd.DataFrame:
+    """Rows with the references they count for (ref): their language's, and the shared one if that has no list."""
+    f = f.assign(ref=refer(f["lang"], own))
+    return pd.concat([f, f[~f["ref"].isin([*LISTS, SHARED])].assign(ref=SHARED)], ignore_index=True)
+
+
 def tallied(frames: Iterator[pd.DataFrame], own: set[str]) -> Iterator[pd.DataFrame]:
     """How often each share occurs, for the character classes (slots 0 to 7) and the words that are on no list (8)."""
     for f in frames:
         if len(f):
+            f = pooled(f, own)
             share = np.column_stack([shares(f["chars"]), shares(f["words"])[:, -1]])
-            cells = pd.DataFrame({"ref": np.repeat(refer(f["lang"], own).to_numpy(), 9), "slot": np.tile(np.arange(9), len(f)), "step": np.rint(share * STEPS).astype(int).ravel()})
+            cells = pd.DataFrame({"ref": np.repeat(f["ref"].to_numpy(), 9), "slot": np.tile(np.arange(9), len(f)), "step": np.rint(share * STEPS).astype(int).ravel()})
             yield cells.groupby(["ref", "slot", "step"]).size().rename("n").reset_index()
 
 
-def medians(rows: DataFrame, own: set[str]) -> dict[str, tuple[np.ndarray, float]]:
-    """By reference: median share of each character class, and of words that are on no list."""
+def medians(rows: DataFrame, own: set[str], counts: dict[str, int], prior: float) -> dict[str, tuple[np.ndarray, float]]:
+    """By reference: median share of each character class, and of words that are on no list; the shared ones mixed in."""
     cells = rows.mapInPandas(lambda frames: tallied(frames, own), "ref string, slot int, step int, n long").groupBy("ref", "slot", "step").agg(F.sum("n").alias("n"))
     of = Window.partitionBy("ref", "slot")
     upto = cells.withColumn("upto", F.sum("n").over(of.orderBy("step"))).withColumn("all", F.sum("n").over(of))
     out = {}
     for r in upto.where("2 * upto >= all").groupBy("ref", "slot").agg(F.min("step").alias("step")).collect():
         out.setdefault(r["ref"], np.zeros(9))[r["slot"]] = r["step"] / STEPS
+    for ref in out.keys() - {*LISTS, SHARED}:
+        part = leaning(counts[ref], prior)
+        out[ref] = (1 - part) * out[ref] + part * out[SHARED]
     return {ref: (m[:8], m[8]) for ref, m in out.items()}
 
 
 def votes(frames: Iterator[pd.DataFrame], own: set[str], centres: dict, trim: float) -> Iterator[pd.DataFrame]:
     """Summed votes of the rows near their medians and of the others."""
     for f in frames:
-        ref = refer(f["lang"], own)
-        for name in ref.unique():
-            mine = f[ref == name]
+        for name, mine in pooled(f, own).groupby("ref"):
             chars, words = shares(mine["chars"]), shares(mine["words"])
             near = js_distance(chars, centres[name][0]) <= trim
             if name in LISTS:
@@ -155,34 +175,65 @@ def votes(frames: Iterator[pd.DataFrame], own: set[str], centres: dict, trim: fl
                     yield pd.DataFrame({"ref": [name], "near": [side], "chars": [added[0]], "words": [added[1]]})
 
 
-def references(rows: DataFrame, trim: float) -> tuple[set[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """Languages with a reference of their own, and the references: a row or two for each of them.
+def fitted(rows: DataFrame, trim: float, prior: float) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """Of measured rows that pass the base rule: by language, the number of rows and both histograms of the reference.
 
     The first reference has the median share of each class, which junk does not move while it is in less than half
     of the rows. The final one has the mean shares of the rows within trim of the first; where there are none,
-    the first one stays, with the mean word shares of all rows.
+    the first one stays, with the mean word shares of all rows. Both of a language without a list lean on the shared one.
     """
-    own = {r["lang"] for r in rows.groupBy("lang").count().where(F.col("lang").isin(list(LISTS)) | (F.col("count") >= FEW)).collect()} - {SHARED}
-    centres = medians(rows, own)
+    ranked = rows.where(F.col("lang") != SHARED).groupBy("lang").count().orderBy(~F.col("lang").isin(list(LISTS)), F.desc("count"), "lang")
+    counts = {r["lang"]: r["count"] for r in ranked.limit(len(LISTS) + LANGUAGES).collect()}
+    own = set(counts)
+    centres = medians(rows, own, counts, prior)
     add = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
     cells = rows.mapInPandas(lambda frames: votes(frames, own, centres, trim), "ref string, near boolean, chars array<long>, words array<long>")
     refs = {}
     for r in cells.groupBy("ref", "near").agg(add("chars", 8), add("words", WIDTH)).orderBy("near").collect():
         chars = np.array(r["chars"], float)
-        refs[r["ref"]] = (chars if r["near"] or not centres[r["ref"]][0].any() else centres[r["ref"]][0] * VOTE, np.array(r["words"], float))
-    return own, refs
+        chars = chars if r["near"] or not centres[r["ref"]][0].any() else centres[r["ref"]][0]
+        refs[r["ref"]] = (chars / max(chars.sum(), 1e-9), np.array(r["words"], float))
+    for ref in refs.keys() - {*LISTS, SHARED}:
+        part = leaning(counts[ref], prior)
+        refs[ref] = ((1 - part) * refs[ref][0] + part * refs[SHARED][0], refs[ref][1])
+    return {ref: (counts.get(ref, 0), *both) for ref, both in refs.items()}
 
 
-def distances(f: pd.DataFrame, own: set[str], refs: dict) -> tuple[np.ndarray, np.ndarray]:
+def passing(min_words: int, max_repeat_percent: int) -> Column:
+    return (F.col("n_words") >= min_words) & (100 * F.col("n_repeat_words") <= max_repeat_percent * F.col("n_words"))
+
+
+def counted(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    return scratch.save(rows.mapInPandas(measured, SCHEMA), "measured")
+
+
+def fit_references(spark: SparkSession, docs: DataFrame, scratch: Scratch, version: str, min_words: int = 50, max_repeat_percent: int = 50, trim: float = 0.2, prior: float = PRIOR) -> DataFrame:
+    """docs(doc_id, text, lang) -> REFERENCES, one row a language; for quality_rules here or in a later run."""
+    refs = fitted(counted(docs, scratch).where(passing(min_words, max_repeat_percent)), trim, prior)
+    return spark.createDataFrame([(version, ref, n, *[[float(x) for x in h / max(h.sum(), 1)] for h in both]) for ref, (n, *both) in sorted(refs.items())], REFERENCES)
+
+
+def given(references: DataFrame) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
+    """References of one version, by language; histograms of another form are refused."""
+    rows = references.select("version", "lang", "n_rows", "chars", "words").limit(len(LISTS) + LANGUAGES + 2).collect()
+    if len({r["version"] for r in rows}) > 1 or len({r["lang"] for r in rows}) < len(rows) or len(rows) > len(LISTS) + LANGUAGES + 1:
+        raise ValueError("references must be of one version, with one row a language")
+    if any(len(r["chars"]) != len(CLASSES) or len(r["words"]) != WIDTH for r in rows):
+        raise ValueError(f"references must have {len(CLASSES)} character classes and {WIDTH} word slots")
+    return {r["lang"]: (r["n_rows"], np.array(r["chars"]), np.array(r["words"])) for r in rows}
+
+
+def distances(f: pd.DataFrame, refs: dict) -> tuple[np.ndarray, np.ndarray]:
     """Character and word distance of each row to its reference."""
     chars, words = np.zeros(len(f)), np.zeros(len(f))
-    ref = refer(f["lang"], own)
+    ref = refer(f["lang"], set(refs))
     for name in ref.unique():
         of = np.flatnonzero(ref == name)
         if name in refs:
-            chars[of] = js_distance(np.stack(f["chars"].iloc[of]).astype(float), refs[name][0])
+            chars[of] = js_distance(np.stack(f["chars"].iloc[of]).astype(float), refs[name][1])
             if name in LISTS:
-                words[of] = js_distance(np.stack(f["words"].iloc[of]).astype(float), refs[name][1])
+                words[of] = js_distance(np.stack(f["words"].iloc[of]).astype(float), refs[name][2])
     return chars, words
 
 
@@ -197,21 +248,23 @@ def quality_rules(
     char_slack: float = 0.6,
     word_limit: float = 0.15,
     word_slack: float = 1.0,
+    prior: float = PRIOR,
+    references: DataFrame | None = None,
 ) -> DataFrame:
     """docs(doc_id, text, lang) -> base counts, base_failed, both distances and kept.
 
+    references are fit_references' of another table; without them they are fitted on docs.
+
     Texts under min_words are not judged by divergence. A text is rejected when its two distances, each
     divided by limit + slack / sqrt(n_words), add up to more than 2; the slack is there because short
     texts are far from any reference by chance alone.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    rows = scratch.save(rows.mapInPandas(measured, SCHEMA), "measured")
-    passing = (F.col("n_words") >= min_words) & (100 * F.col("n_repeat_words") <= max_repeat_percent * F.col("n_words"))
-    own, refs = references(rows.where(passing), trim)
+    rows = counted(docs, scratch)
+    refs = fitted(rows.where(passing(min_words, max_repeat_percent)), trim, prior) if references is None else given(references)
 
     def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["char_distance"], f["word_distance"] = distances(f, own, refs)
+            f["char_distance"], f["word_distance"] = distances(f, refs)
             f["base_failed"] = (f["n_words"] < min_words) | (100 * f["n_repeat_words"] > max_repeat_percent * f["n_words"])
             short = 1 / np.sqrt(f["n_words"].clip(lower=1))
             far = f["char_distance"] / (char_limit + char_slack * short) + f["word_distance"] / (word_limit + word_slack * short) > 2

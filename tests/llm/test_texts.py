@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from corpusloom.llm.quality_rules import COMMON, quality_rules
+from corpusloom.llm.quality_rules import COMMON, REFERENCES, fit_references, quality_rules
 from corpusloom.llm.secrets import all_spans, base_spans, redacted, scan
 from corpusloom.llm.token_counts import default_model, token_counts
 from corpusloom.session import Scratch
@@ -79,6 +79,49 @@ def test_quality_rules_judge_each_language_by_its_own_reference(spark):
     assert max(found.values()) < 0.05
 
 
+def sentences(lang, n, letters, at=0):
+    """n texts of 60 different words out of letters."""
+    return [(at + k, " ".join(letters[(k + i) % len(letters)] + letters[i % 7] + letters[i // 7 % 9] for i in range(60)), lang) for k in range(n)]
+
+
+def test_quality_references_fitted_apart_judge_a_text_alike_in_every_table(spark):
+    prose = parquet(spark, "documents", "0.01").where("n_chars > 1000").select("doc_id", "text", "lang")
+    refs = fit_references(spark, prose, Scratch(spark), "v1")
+    assert {r["version"] for r in refs.collect()} == {"v1"} and refs.schema.simpleString() == spark.createDataFrame([], REFERENCES).schema.simpleString()
+    junk = table(spark, [(10**6 + k, junk_text(k, 300), "en") for k in range(60)]).select("doc_id", "text", "lang")
+    few = prose.where("doc_id % 20 = 0")
+    alone = {r["doc_id"]: r["kept"] for r in quality_rules(spark, few, Scratch(spark), references=refs).collect()}
+    among = {r["doc_id"]: r["kept"] for r in quality_rules(spark, few.unionByName(junk), Scratch(spark), references=refs).collect()}
+    own = {r["doc_id"]: r["kept"] for r in quality_rules(spark, prose, Scratch(spark)).collect()}
+    # junk in most rows of a language is found out by references from elsewhere
+    assert len(alone) > 20 and alone == {i: among[i] for i in alone} == {i: own[i] for i in alone}
+    assert not any(kept for i, kept in among.items() if i >= 10**6)
+
+
+def test_quality_references_lean_on_the_shared_one_without_a_step(spark):
+    def distance(n):
+        rows = sentences("xx", n, "абвгдежзик") + sentences("yy", 60, "abcdefghij", 1_000)
+        found = quality_rules(spark, table(spark, rows).select("doc_id", "text", "lang"), Scratch(spark), max_repeat_percent=100, trim=1.0)
+        return found.where("doc_id = 0").first()["char_distance"]
+
+    at = [distance(n) for n in (1, 5, 19, 20, 21, 60)]
+    assert at == sorted(at, reverse=True) and at[0] > 2 * at[-1]
+    assert max(at[2] - at[3], at[3] - at[4]) < 0.1 * at[3]
+
+
+def test_quality_references_of_another_form_are_refused_and_missing_ones_shared(spark):
+    docs = table(spark, sentences("zz", 2, "abcdefghij")).select("doc_id", "text", "lang")
+    none = fit_references(spark, docs.limit(0), Scratch(spark), "v0")
+    assert none.count() == 0
+    assert [r["char_distance"] for r in quality_rules(spark, docs, Scratch(spark), references=none).collect()] == [0.0, 0.0]
+    refs = fit_references(spark, table(spark, sentences("xx", 30, "абвгдежзик")), Scratch(spark), "v1", max_repeat_percent=100)
+    assert all(r["char_distance"] > 0.5 for r in quality_rules(spark, docs, Scratch(spark), references=refs).collect())
+    short = spark.createDataFrame([("v1", "xx", 1, [1.0], [1.0])], REFERENCES)
+    for wrong in (short, refs.unionByName(refs), refs.limit(1).unionByName(refs.selectExpr("'v2' version", "'yy' lang", "n_rows", "chars", "words"))):
+        with pytest.raises(ValueError):
+            quality_rules(spark, docs, Scratch(spark), references=wrong)
+
+
 def char_class(c):
     sets = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\x0b\x0c\r", "\n")
     return next((k for k, s in enumerate(sets) if c in s), 6 if c in "#*$%&|<>" else 5 if c.isascii() else 7)
@@ -100,6 +143,7 @@ def verdicts(rows):
     fold = str.maketrans({chr(k): chr(k + 32) for k in range(65, 91)})
     facts = []
     for lang, text in rows:
+        lang = lang or ""
         known = COMMON.get(lang, "").split()
         w = words(text)
         folded = Counter(x if x in known else None for x in (y.translate(fold) for y in w))
@@ -107,12 +151,16 @@ def verdicts(rows):
         facts.append((lang, len(w), len(w) < 50 or 2 * n_repeat > len(w), spread(Counter(map(char_class, text or ""))), spread(folded)))
     passing = [f for f in facts if not f[2]]
     sizes = Counter(f[0] for f in passing)
-    own = {x for x, n in sizes.items() if x and (x in COMMON or n >= 20)}
-    refs = {}
-    for name in {f[0] if f[0] in own else "" for f in passing}:
-        group = [f for f in passing if (f[0] if f[0] in own else "") == name]
+    refs, shared = {}, {}
+    # the reference of languages without a list first; theirs lean on it
+    for name in ["*", *sizes]:
+        group = [f for f in passing if f[0] == name or name == "*" and f[0] not in COMMON]
+        if not group:
+            continue
+        lean = 0 if name in COMMON or name == "*" else 1 / (1 + (sizes[name] / 5) ** 2)
+        mix = lambda own, at: {k: (1 - lean) * own.get(k, 0) + lean * shared[at].get(k, 0) for k in range(8)} if lean else own
         middle = lambda xs: sorted(round(4096 * x) for x in xs)[(len(xs) + 1) // 2 - 1] / 4096
-        chars = {k: middle([f[3].get(k, 0) for f in group]) for k in range(8)}
+        chars = mix({k: middle([f[3].get(k, 0) for f in group]) for k in range(8)}, "middle")
         rest = middle([f[4].get(None, 0) for f in group])
         near = []
         for f in group:
@@ -126,10 +174,12 @@ def verdicts(rows):
         for f in near or group:
             for total, share in zip(sums, f[3:]):
                 total.update(share)
-        refs[name] = (spread(sums[0]) if near or not any(chars.values()) else spread(chars), spread(sums[1]))
+        own = spread(sums[0]) if near or not any(chars.values()) else spread(chars)
+        shared |= {"middle": chars, "own": own} if name == "*" else {}
+        refs[name] = (mix(own, "own"), spread(sums[1]))
     out = []
     for lang, n, failed, chars, share in facts:
-        name, far = lang if lang in own else "", 0
+        name, far = lang if lang in refs else "*", 0
         if name in refs and n:
             far = divergence(chars, refs[name][0]) / (0.1 + 0.6 / math.sqrt(n))
             far += divergence(share, refs[name][1]) / (0.15 + 1 / math.sqrt(n)) if name in COMMON else 0
