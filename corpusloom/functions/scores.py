@@ -37,6 +37,14 @@ def mean_vector(v: Column) -> Column:
     return vector_to_array(Summarizer.mean(array_to_vector(v)))
 
 
+def masked_mean(vectors: Column, counts: Column) -> Column:
+    """The mean of those of an array of vectors whose count is not 0; zeros if none is, null if there are no vectors at all."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), counts.alias("n")), lambda t: t["n"] != 0), lambda t: t["v"])
+    zeros = F.transform(vectors[0], lambda x: F.lit(0.0))
+    total = lambda own: F.aggregate(own, zeros, lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return F.when(F.size(vectors) > 0, bound(kept, lambda own: bound(total(own), lambda t: F.transform(t, lambda x: x / F.greatest(F.size(own), F.lit(1))))))
+
+
 def beside(df: DataFrame, by: tuple, **aggregates: Column) -> DataFrame:
     """df with aggregates over the rows of the same by: a small table joined back, instead of a window that sorts each group in one task."""
     if by:

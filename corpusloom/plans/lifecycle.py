@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from corpusloom.engine import Engine
 from corpusloom.functions import parsing
 from corpusloom.functions.extraction import merged_triples, reformatted
-from corpusloom.functions.scores import mean_vector
+from corpusloom.functions.scores import masked_mean, mean_vector
 from corpusloom.functions.text import embedding_text, merged_by_first_line, qa_prompt, too_long
 from corpusloom.functions.templates import Template
-from corpusloom.models import FunctionLLM, MemoLLM, PatternExtractor
+from corpusloom.models import FunctionLLM, MemoLLM, PatternExtractor, StrictExtractor
 from corpusloom.operators import graph as G
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import store as S
@@ -20,6 +20,7 @@ from corpusloom.operators.knn import nearest
 from corpusloom.plans import catalogue as C
 from corpusloom.plans.catalogue import BASE, GOLD, LEAST, ROUNDS, TOP, UNDIRECTED, ppr_sql, query, table
 from corpusloom.reasoning import reason
+from corpusloom.registry import open_engine
 from corpusloom.session import Scratch
 from corpusloom.sources.samples import gold_answers as answers_of
 from corpusloom.sources.samples import gold_documents as documents_of
@@ -518,3 +519,43 @@ def rendered_prompts(spark, d):
     made = asked.render(who=F.col("role"), turn=F.col("turn").cast("string"), q=F.lit("why?"))
     shown = F.array_join(F.flatten(F.transform(made, lambda m: F.array(m["role"], m["content"]))), "|")
     return table(spark, d, "conversations").select("conv_id", "turn", shown.alias("prompt"))
+
+
+def held_to_form(talk: list[tuple[str, str]]) -> str:
+    """A scripted model, whose reply is clean, cut short or with words around it, by the turn."""
+    role, turn = talk[-1][1].split("\n")[0].split("|")[:2]
+    if "named entities" in talk[0][1]:
+        clean = f'{{"named_entities": ["{role}", " turn {turn}"]}}'
+        return (clean, f"Here: {clean}", f"```json\n{clean}\n```")[int(turn) % 3]
+    clean = f'{{"triples": [["{role}", "says", "{turn}"], ["{role}"]]}}'
+    return clean if int(turn) % 2 == 0 else clean[:-1]
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role || '| turn ' || turn ELSE '' END AS entities, CASE WHEN turn % 2 = 0 THEN role || '|says|' || turn || '/' || role ELSE '' END AS triples FROM conversations""")
+def strict_extractions(spark, d):
+    """A model held to its replies' form: what is not clean JSON gives nothing, what is stays as it is."""
+    chunks = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("hash_id"), F.concat_ws("|", "role", "turn").alias("content"))
+    made = StrictExtractor(FunctionLLM(held_to_form)).extract(chunks)
+    key = F.split("hash_id", "-")
+    shown = F.array_join(F.transform("triples", lambda t: F.array_join(t, "|")), "/")
+    return made.select(key[0].cast("long").alias("conv_id"), key[1].cast("int").alias("turn"), F.array_join("entities", "|").alias("entities"), shown.alias("triples"))
+
+
+@query("""WITH t AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b, vec_id % 2 AS m, label % 2 AS n FROM embeddings),
+p AS (SELECT vec_id, unnest(range(1, 33)) AS i, unnest(list_transform(range(1, 33), lambda i: CASE WHEN m + n = 0 THEN 0.0::DOUBLE ELSE (m * a[i] + n * b[i]) / (m + n) END)) AS x FROM t)
+SELECT vec_id, i::INTEGER AS place, round(x, 6) AS x FROM p""")
+def masked_means(spark, d):
+    """Each vector as two tokens of half its length, none, one or both of which count."""
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    mean = masked_mean(F.array(F.slice("v", 1, 32), F.slice("v", 33, 32)), F.array(F.col("vec_id") % 2, F.col("label") % 2))
+    return v.select("vec_id", F.posexplode(mean).alias("place", "x")).select("vec_id", (F.col("place") + 1).alias("place"), *SIX("x"))
+
+
+@query(DOCS.format(keep="x.p <> 'works for'") + STORED)
+def named_index(spark, d):
+    """An index of models that are told by name, written in two runs of an engine that is opened anew."""
+    docs, folder = rel_docs(spark, d), Scratch(spark).path("indexes")
+    for part in (docs.where("nation % 2 = 0"), docs):
+        engine = open_engine(spark, folder, embedder="hashing/32", extractor="pattern/is part of|is based in|lives in")
+        engine.index(part)
+    return stored(engine)
