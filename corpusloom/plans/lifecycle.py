@@ -538,7 +538,7 @@ def strict_extractions(spark, d):
     made = StrictExtractor(FunctionLLM(held_to_form)).extract(chunks)
     key = F.split("hash_id", "-")
     shown = F.array_join(F.transform("triples", lambda t: F.array_join(t, "|")), "/")
-    return made.select(key[0].cast("long").alias("conv_id"), key[1].cast("int").alias("turn"), F.array_join("entities", "|").alias("entities"), shown.alias("triples"))
+    return made.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), F.array_join("entities", "|").alias("entities"), shown.alias("triples"))
 
 
 @query("""WITH t AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b, vec_id % 2 AS m, label % 2 AS n FROM embeddings),
