@@ -1,11 +1,13 @@
 """What larger tables showed: cuts, quadratic work on equal or zero vectors, memory of block products."""
 
 import numpy as np
-import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import graph as G
 from corpusloom.operators import knn
+from corpusloom.operators import retrieval as R
+from corpusloom.operators.ranks import ranks
 
 
 def test_all_synonyms_of_an_entity_with_many(spark):
@@ -35,3 +37,26 @@ def test_zero_vectors_meet_nothing(spark):
     assert {(r["query"], r["item"]) for r in got} == {(a, b) for a in range(5) for b in range(5)} and counted["made"] == 25
     zero = rows.where("item > 4")
     assert knn.threshold_pairs(zero.withColumnRenamed("item", "query"), zero, 0.5, 7).isEmpty()
+
+
+@pytest.mark.parametrize("how", [{}, {"loops": False, "down": 0.7, "up": 0.3}, {"directions": False, "prior": True, "by_prior": 0.4, "base": 0.1}])
+def test_ranks_leave_nothing_small_out(spark, how):
+    """Rank far below 1e-7 is passed on too; a graph beyond the bound goes round by round and comes to the same."""
+    rng = np.random.default_rng(3)
+    edges = [(f"n{a}", f"n{b}", 1.0) for a, b in {tuple(map(int, p)) for p in rng.integers(0, 12, (40, 2))} if a != b] + [("n0", "far", 1e-9)]
+    edges = spark.createDataFrame(edges, "src string, dst string, weight double")
+    reset = spark.createDataFrame([(q, f"n{k}", float(x)) for q in range(2) for k, x in enumerate(rng.uniform(size=12)) if (k + q) % 3] + [(0, "n1", None), (1, "n2", -1.0)], "query long, node string, r double")
+    own = None
+    if how:
+        common = spark.createDataFrame([(f"n{k}", "p", 1.0) for k in range(0, 12, 3)] + [("p", f"n{k}", 1.0) for k in range(0, 12, 3)] + [("n0", "far", 1e-9), ("far", "n0", 1.0)], "src string, dst string, weight double")
+        div = spark.createDataFrame([(f"n{k}", float(x)) for k, x in enumerate(rng.uniform(size=12))], "entity string, norm double")
+        rel = spark.createDataFrame([(q, f"n{k}", float(x)) for q in range(2) for k, x in enumerate(rng.uniform(size=12))], "query long, entity string, norm double")
+        own = R.factors(spark, edges.select("src", "dst", F.col("weight").alias("prior_norm")), div, rel, **how)
+        edges = common
+    at = lambda df: {(r["query"], r["node"]): r["rank"] for r in df.collect()}
+    near, far = (at(ranks(spark, edges, reset, own=own, held=held)) for held in (None, 0))
+    assert near.keys() == far.keys() and all(near[k] == pytest.approx(far[k], abs=1e-12) for k in near)
+    assert 0 < near[0, "far"] < 1e-7
+    names = spark.createDataFrame([("far",), ("n1",), ("n5",), ("p",)], "node string")
+    few = at(ranks(spark, edges, reset, own=own, best=2, among=names))
+    assert few == {k: pytest.approx(near[k]) for q in range(2) for k in sorted((k for k in near if k[0] == q and k[1] in ("far", "n1", "n5", "p")), key=lambda k: -near[k])[:2]}
