@@ -1,6 +1,7 @@
 """What larger tables showed: cuts, quadratic work on equal or zero vectors, memory of block products."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,13 @@ def test_ranks_leave_nothing_small_out(spark, how):
     names = spark.createDataFrame([("far",), ("n1",), ("n5",), ("p",)], "node string")
     few = at(ranks(spark, edges, reset, own=own, best=2, among=names))
     assert few == {k: pytest.approx(near[k]) for q in range(2) for k in sorted((k for k in near if k[0] == q and k[1] in ("far", "n1", "n5", "p")), key=lambda k: -near[k])[:2]}
+
+
+def test_block_products_come_in_pieces():
+    rng = np.random.default_rng(5)
+    q, v = rng.standard_normal((300, 4)), rng.standard_normal((2000, 4))
+    items = pd.DataFrame({"item": range(2000), "v": list(v)})
+    frames = list(knn.added(knn.Pairs(np.arange(300)), q, items, False))
+    assert max(map(len, frames)) <= knn.CELLS < 300 * 2000 == sum(map(len, frames))
+    both = pd.concat(frames).sort_values(["query", "item"])
+    assert np.allclose(both["score"].to_numpy().reshape(300, 2000), q @ v.T)
