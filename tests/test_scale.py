@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.operators import graph as G
 from corpusloom.operators import knn
 from corpusloom.operators import retrieval as R
+from corpusloom.engine import Engine
 from corpusloom.operators.ranks import ranks
+from corpusloom.sources.tables import Transaction
 
 
 def test_all_synonyms_of_an_entity_with_many(spark):
@@ -71,3 +73,16 @@ def test_block_products_come_in_pieces():
     assert max(map(len, frames)) <= knn.CELLS < 300 * 2000 == sum(map(len, frames))
     both = pd.concat(frames).sort_values(["query", "item"])
     assert np.allclose(both["score"].to_numpy().reshape(300, 2000), q @ v.T)
+
+
+def test_an_index_never_broadcasts_tables_that_grow(spark, tmp_path, monkeypatch):
+    """Synonyms, mentions and edges are small as files and large as a driver's hash tables."""
+    plans, stage = {}, Transaction._stage
+
+    def noted(self, kind, name, rows):
+        plans[name] = rows._jdf.queryExecution().sparkPlan().toString()
+        return stage(self, kind, name, rows)
+
+    monkeypatch.setattr(Transaction, "_stage", noted)
+    Engine(spark, str(tmp_path)).index(spark.createDataFrame([("Ann lives in Oslo. Bob lives in Oslo.",)], "text string"))
+    assert {name for name in ("mentions", "edges") if "BroadcastHashJoin" in plans[name]} == set()
