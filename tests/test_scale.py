@@ -9,6 +9,8 @@ from corpusloom.operators import graph as G
 from corpusloom.operators import knn
 from corpusloom.operators import retrieval as R
 from corpusloom.engine import Engine
+from corpusloom.operators import blocks
+from corpusloom.operators.blocks import ranks_in_blocks
 from corpusloom.operators.ranks import ranks
 from corpusloom.sources.tables import Transaction
 
@@ -86,3 +88,29 @@ def test_an_index_never_broadcasts_tables_that_grow(spark, tmp_path, monkeypatch
     monkeypatch.setattr(Transaction, "_stage", noted)
     Engine(spark, str(tmp_path)).index(spark.createDataFrame([("Ann lives in Oslo. Bob lives in Oslo.",)], "text string"))
     assert {name for name in ("mentions", "edges") if "BroadcastHashJoin" in plans[name]} == set()
+
+
+def test_ranks_in_blocks(spark, monkeypatch):
+    """Blocks of few edges, lots of few queries and sums in pieces give the ranks of the whole graph, nodes without an edge out included."""
+    rng = np.random.default_rng(5)
+    edges = [(f"n{a}", f"n{b}", float(w)) for (a, b), w in zip({tuple(map(int, p)) for p in rng.integers(0, 14, (60, 2))}, rng.uniform(size=60)) if a != b and a != 3] + [("n0", f"m{k}", 1.0) for k in range(9)]
+    edges = spark.createDataFrame(edges, "src string, dst string, weight double")
+    reset = spark.createDataFrame([(q, f"n{k}", float(x)) for q in range(5) for k, x in enumerate(rng.uniform(size=14)) if (k + q) % 3] + [(0, "alone", 0.5), (1, "n2", None)], "query long, node string, r double")
+    at = lambda df: {(r["query"], r["node"]): r["rank"] for r in df.collect()}
+    want = at(ranks(spark, edges, reset, rounds=40))
+    monkeypatch.setattr(blocks, "LOT", 2)
+    monkeypatch.setattr(blocks, "CELLS", 6)
+    got = at(ranks_in_blocks(spark, edges, reset, rounds=40, least=0.0, per=10))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    src, seg, share, x = rng.integers(0, 5, 30), np.sort(np.r_[np.arange(8), rng.integers(0, 8, 22)]), rng.uniform(size=30), rng.uniform(size=(5, 2))
+    assert np.allclose(blocks.sums(x, src, seg, share), [(x[src[seg == k]] * share[seg == k, None]).sum(axis=0) for k in range(8)])
+    monkeypatch.setattr(blocks, "LOTS", 2)
+    assert ranks_in_blocks(spark, edges, reset, per=10) is None
+
+
+def test_what_is_left_is_not_counted_as_rank(spark):
+    """Ranks are too small by at most what is left; only with whole do they hold all of it."""
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, weight double")
+    reset = spark.createDataFrame([(1, "a", 1.0)], "query long, node string, r double")
+    part, whole = (R.pagerank(spark, edges, reset, rounds=3, whole=w).agg(F.sum("rank"), F.sum("left")).first() for w in (False, True))
+    assert part[0] + part[1] == pytest.approx(1.0) and part[1] > 0.01 and whole[0] == pytest.approx(1.0)
