@@ -204,12 +204,16 @@ def mixed_texts(spark: SparkSession, docs: DataFrame, m: Mix, block_words: int =
     """docs with the mix applied: one row per document and epoch, its text the words taken in that epoch.
 
     Whole documents keep their text byte for byte; others keep the taken words with the white space before them.
+    What the plan of the mix gives is written first, so that the driver never holds all of it as one plan.
     """
+    scratch = Scratch(spark)
+    m = Mix(m.sources, scratch.save(m.slots, "slots"), scratch.save(m.rows, "rows"))
     ranges = pieces(m, block_words).where("hi > lo").join(m.slots.where("words > 0").select("sid", "block", "epoch", "words"), ["sid", "block"])
     ranges = ranges.withColumn("len", F.least("hi", "words") - F.col("lo")).where("len > 0")
     ranges = ranges.select(source_key(F.col("doc_id")).alias("m_id"), F.col("thash").alias("m_hash"), F.col("skey").alias("m_source"), F.col("copy").alias("m_copy"), "size", "epoch", "begin", "len")
     ranges = ranges.groupBy(*KEYS, "m_copy", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "len"))).alias("parts"), F.sum("len").alias("words"))
     ranges = ranges.groupBy(*KEYS, "m_copy", "size").agg(F.collect_list(F.struct("epoch", "words", "parts")).alias("takes"))
+    ranges = scratch.save(ranges, "ranges")
     marked = docs.select(source_key(F.col(id_column)).alias("m_id"), F.xxhash64(F.col(text)).alias("m_hash"), source_key(F.col(source)).alias("m_source"), F.struct(*docs.columns).alias("m_row"))
     out = numbered(spark, marked, m).join(ranges, [*KEYS, "m_copy"]).select("m_row", "size", F.explode("takes").alias("take"))
     words = F.regexp_extract_all(F.col(f"m_row.{text}"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

@@ -148,3 +148,10 @@ def test_empty_tables(spark):
     assert pack(spark, empty, Scratch(spark)).count() == 0
     m = mix(spark, empty, Scratch(spark))
     assert taken(m).count() == 0 and mixed_texts(spark, empty, m).count() == 0
+
+
+def test_mixed_texts_are_planned_in_parts(spark):
+    """The mix is written before texts are cut by it: its windows are no part of their plan, which the driver holds."""
+    docs = spark.createDataFrame([(k, "one two three " * (k + 1), "ab"[k % 2]) for k in range(6)], "doc_id long, text string, source string")
+    out = mixed_texts(spark, docs, mix(spark, docs, Scratch(spark), block_words=4), 4)
+    assert "Window" not in out._jdf.queryExecution().sparkPlan().toString() and not out.isEmpty()
