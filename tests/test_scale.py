@@ -12,6 +12,7 @@ from corpusloom.engine import Engine
 from corpusloom.operators import blocks
 from corpusloom.operators.blocks import ranks_in_blocks
 from corpusloom.operators.ranks import ranks
+from corpusloom.plans import catalogue, lifecycle
 from corpusloom.sources.tables import Transaction
 
 
@@ -114,3 +115,10 @@ def test_what_is_left_is_not_counted_as_rank(spark):
     reset = spark.createDataFrame([(1, "a", 1.0)], "query long, node string, r double")
     part, whole = (R.pagerank(spark, edges, reset, rounds=3, whole=w).agg(F.sum("rank"), F.sum("left")).first() for w in (False, True))
     assert part[0] + part[1] == pytest.approx(1.0) and part[1] > 0.01 and whole[0] == pytest.approx(1.0)
+
+
+def test_ranks_among_entities_score_no_passage(spark, monkeypatch):
+    """Seeds of the undirected ranks among entities come from facts alone; no row for a query and a passage is made."""
+    asked = []
+    monkeypatch.setattr(catalogue, "passages_of", lambda *a: asked.append(a))
+    assert not lifecycle.entity_only_of(spark, "/root/testdata/sf0.001", False).isEmpty() and not asked
