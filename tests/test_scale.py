@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph as G
-from corpusloom.operators import knn
+from corpusloom.operators import knn, passages
 from corpusloom.operators import retrieval as R
 from corpusloom.engine import Engine
 from corpusloom.operators import blocks
@@ -122,3 +122,35 @@ def test_ranks_among_entities_score_no_passage(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(catalogue, "passages_of", lambda *a: asked.append(a))
     assert not lifecycle.entity_only_of(spark, "/root/testdata/sf0.001", False).isEmpty() and not asked
+
+
+def test_best_passages_without_a_row_for_every_pair(spark, monkeypatch):
+    """Passages folded into their entities come to what ranks of the whole graph are, in one group of queries or in many."""
+    rng = np.random.default_rng(12)
+    n, k, asked = 60, 9, 7
+    v = rng.integers(-2, 3, (n, 3)).astype(float)
+    v[40:44] = v[3]
+    ends = [sorted({int(e) for e in rng.integers(0, k, 1 + c % 3)}) for c in range(n)]
+    ends[0] = list(range(k))
+    items = spark.createDataFrame([(f"c{c:02d}", None if c == 11 else v[c].tolist()) for c in range(n)], "chunk string, v array<double>").repartition(3)
+    mentioned = spark.createDataFrame([(f"e{e}", f"c{c:02d}") for c in range(n) for e in ends[c]], "entity string, chunk string")
+    edges = spark.createDataFrame([(f"e{a}", f"e{b}", float(w)) for a, b, w in {(int(a), int(b)): (int(a), int(b), w) for a, b, w in rng.integers(1, k, (20, 3)) if a != b}.values()] + [("e1", "e2", float("nan")), ("e2", "e0", 0.0)], "src string, dst string, weight double")
+    questions = spark.createDataFrame([(q, [0.0, 0.0, 0.0] if q == 6 else v[q].tolist()) for q in range(asked)] + [(99, None)], "query long, qv array<double>")
+    seeds = spark.createDataFrame([(q, f"e{(q * 5 + j) % k}", 0.3 * j + 0.1) for q in range(asked - 2) for j in range(3)] + [(0, "e1", None), (1, "e1", -2.0), (2, "e3", 0.25)], "query long, node string, r double")
+    prior = R.scored_normal(questions, items, "chunk").select("query", F.col("chunk").alias("node"), (0.08 * F.col("score")).alias("r"))
+    both = edges.unionByName(G.passage_edges(mentioned))
+    of = lambda df: sorted((r["query"], r["node"], round(r["rank"], 10)) for r in df.collect())
+    for rounds in (1, 24):
+        want = of(ranks(spark, both, seeds.unionByName(prior), rounds=rounds, best=5, among=items.select(F.col("chunk").alias("node"))))
+        assert len(want) == 5 * asked
+        for bound in (None, 1):
+            assert of(passages.best_passages(spark, edges, mentioned, seeds, questions, items, 0.08, 5, rounds=rounds, ranks=bound)) == want
+    found = lambda **how: passages.best_passages(spark, *[how.get(c, d) for c, d in (("edges", edges), ("mentioned", mentioned), ("seeds", seeds), ("questions", questions), ("items", items))], 0.08, 5, held=how.get("held"))
+    assert found(held=8) is None and found(items=items.union(items.limit(1))) is None and found(mentioned=mentioned.where("chunk <> 'c05'")) is None
+    assert found(items=items.withColumn("v", F.expr("if(chunk = 'c07', array(1D, double('nan'), 0D), v)"))) is None
+
+    def never(*a):
+        raise AssertionError("a row for every query and passage")
+
+    monkeypatch.setattr(catalogue, "passages_of", never)
+    assert catalogue.graph_retrieval(spark, "/root/testdata/sf0.001").count() == 100
