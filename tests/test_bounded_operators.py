@@ -110,3 +110,27 @@ def test_ranks_with_a_hub_and_what_is_left(spark, monkeypatch):
         parts = R.pagerank(spark, common, reset, own=R.factors(spark, pick, div, rel, **how), least=1e-3)
         a, b = ({(r["query"], r["node"]): r["rank"] for r in df.collect()} for df in (keyed, parts))
         assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+
+def test_best_by_cells_loses_nothing(spark):
+    """Many queries meet only the cells that can hold a best or least product, and equal ones are searched for once."""
+    rng = np.random.default_rng(10)
+    around = lambda n: np.stack([f(a) for a in rng.uniform(0, 2 * np.pi, (2, n)) for f in (np.cos, np.sin)], axis=1)
+    x = np.concatenate([around(1200), np.zeros((2, 4)), 2 * around(3)])
+    x[300:320] = x[7]
+    q = np.concatenate([x[:300], around(150), np.tile(x[20], (30, 1)), np.zeros((1, 4))])
+    items = spark.createDataFrame([(f"i{k:04d}", v.tolist()) for k, v in enumerate(x)] + [("none", None)], "item string, v array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)] + [(999, None)], "query long, v array<double>")
+    s = q @ x.T
+    span = np.where(np.ptp(s, axis=1) == 0, 1.0, np.ptp(s, axis=1))
+    score = np.where(np.ptp(s, axis=1)[:, None] == 0, 1.0, (s - s.min(axis=1)[:, None]) / span[:, None])
+    of = lambda df: sorted((r["query"], r["rank"], r["item"], round(r["raw"], 8), round(r["score"], 8)) for r in df.collect())
+    for k in (1, 3):
+        order = np.lexsort((np.broadcast_to(np.arange(len(x)), s.shape), -s.round(9)), axis=1)[:, :k]
+        want = [(j, r + 1, f"i{i:04d}", round(s[j, i], 8) + 0.0, round(score[j, i], 8)) for j in range(len(q)) for r, i in enumerate(order[j])]
+        assert of(knn.best_normal(asked, items, k, 100)) == sorted(want)
+    few = asked.where("query < 450")
+    assert of(knn.best_by_cells(few, items, 1, 100)) == [w for w in of(knn.best_normal(asked, items, 1, 4096)) if w[0] < 450]
+    # where cells rule nothing out, or a vector is not finite, all products are made
+    assert knn.best_by_cells(asked, items.withColumn("v", F.expr("array(1D, 1D, 0D, 0D)")), 1, 100) is None
+    assert knn.best_by_cells(asked, items.withColumn("v", F.expr("if(item = 'i0003', array(1D, double('nan'), 0D, 0D), v)")), 1, 100) is None
